@@ -7,6 +7,11 @@ from importlib import import_module
 #: query name -> (module, attribute)
 NAMES = {
     "op2_exact_dedup": "exact_dedup",
+    "op3_decontaminate": "decontaminate",
+    "op6_simhash": "simhash",
+    "op8_binary_output": "binary_output",
+    "op9_packing": "packing",
+    "op10_quality": "quality",
 }
 
 

@@ -87,3 +87,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+
+
+def filter_rows(ws: Workspace, docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``fate`` (doc, mark, keep; a row for each of them) keeps, all columns.
+
+    mark is the hash of the raw text, null as empty. A row is told by id and text; of rows that
+    repeat both, one stays. Only the rows to drop are joined, by shuffle or, if small, broadcast.
+    """
+    by = ws.write(fate.groupBy("doc", "mark").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).filter("not keep or n > 1"), "fate")
+    a, b = "__fate_doc", "__fate_mark"
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (mark == F.col(b))
+    out = docs.join(by.filter("not keep").select(F.col("doc").alias(a), F.col("mark").alias(b)), same, "left_anti")
+    twice = by.filter("keep").select(F.col("doc").alias(a), F.col("mark").alias(b))
+    if twice.isEmpty():
+        return out
+    one = out.join(twice, same, "left_semi").withColumn(b, mark).dropDuplicates([id_col, b]).drop(b)
+    return out.join(twice, same, "left_anti").unionByName(one)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, ascii_lower, partitions, table, text_of
+from .common import Workspace, ascii_lower, filter_rows, partitions, table, text_of
 
 #: Bytes of distinct texts that a bucket holds before it splits, and the deepest split.
 BUCKET_BYTES, MAX_DEPTH = 16 << 20, 14
@@ -151,8 +151,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, Directory]:
     """(keys: a row for each document, entries: a row for each distinct text, directory)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), ascii_lower(text_of(text_col)).alias("t")).select("doc", "t", F.xxhash64("t").alias("h"))
-    keys = ws.write(texts.select("doc", "h", F.sha2("t", 256).alias("sha"), F.octet_length("t").alias("bytes"), F.monotonically_increasing_id().alias("rid")), "keys")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), ascii_lower(text_of(text_col)).alias("t")).withColumn("h", F.xxhash64("t"))
+    keys = ws.write(texts.select("doc", "mark", "h", F.sha2("t", 256).alias("sha"), F.octet_length("t").alias("bytes"), F.monotonically_increasing_id().alias("rid")), "keys")
     cell = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
     cells = keys.groupBy("h").agg(F.max("bytes").alias("bytes")).groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 200).alias("w"))
     directory = Directory({r["cell"]: r["w"] for r in cells.collect()}, bucket_bytes, max_depth)
@@ -165,7 +165,10 @@ def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, id_col: str
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each document, dropped ones too."""
+    """doc_id, keep_id, group_size, kept, text_sha256, mark: a row for each document, dropped ones too.
+
+    mark, the hash of the raw text, is what stages tell rows by beside the id.
+    """
     ws = Workspace(spark, "exact-dedup")
     keys, entries, _ = build_index(spark, docs, ws, id_col, text_col)
     many = entries.filter("group_size > 1").select("h", F.col("text_sha256").alias("sha"), "keep_id", "group_size", "ties")
@@ -181,26 +184,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         F.coalesce("group_size", F.lit(1).cast(T.LongType())).alias("group_size"),
         F.when(grouped, F.col("doc").eqNullSafe(F.col("keep_id")) & F.col("_first")).otherwise(F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "mark",
     )
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     found = exact_dedup(spark, docs, id_col, text_col)
-    ws = Workspace(spark, "exact-drop")
-    gone = ws.write(found.filter(~F.col("kept")).select("doc_id", "text_sha256", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("tie")), "gone")
-    a, b = "__gone_id", "__gone_sha"
-    sha = F.sha2(ascii_lower(text_of(text_col)), 256)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (sha == F.col(b))
-    rest = docs.join(gone.filter(~F.col("tie")).select(F.col("doc_id").alias(a), F.col("text_sha256").alias(b)), same, "left_anti")
-    ties = gone.filter("tie").select(F.col("doc_id").alias(a), F.col("text_sha256").alias(b)).distinct()
-    if ties.isEmpty():
-        return rest
-    return rest.join(ties, same, "left_anti").unionByName(rest.join(ties, same, "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    fate = found.select(F.col("doc_id").alias("doc"), "mark", F.col("kept").alias("keep"))
+    return filter_rows(Workspace(spark, "exact-drop"), docs, fate, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, table(spark, sf_dir, "documents"))
+    return exact_dedup(spark, table(spark, sf_dir, "documents")).drop("mark")
 
 
 SQL = f"""
