@@ -6,9 +6,13 @@ from importlib import import_module
 
 #: query name -> (module, attribute)
 NAMES = {
+    "op1_licenses": "licenses",
     "op2_exact_dedup": "exact_dedup",
     "op3_decontaminate": "decontaminate",
+    "op4_secrets": "secrets",
+    "op5_chat_quotes": "chat_quotes",
     "op6_simhash": "simhash",
+    "op7_pii": "pii",
     "op8_binary_output": "binary_output",
     "op9_packing": "packing",
     "op10_quality": "quality",
