@@ -1,11 +1,660 @@
-"""Queries and SQL of the library."""
+"""The query catalogue: each operator over the tables, with SQL for DuckDB where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fixtures as X
+from .functions import casts as C
+from .functions import jsonx as J
+from .functions import text as T
+from .functions.urls import url_join
+from .operators import augment as A
+from .operators import badcases as B
+from .operators import compare as O
+from .operators import evaluate as L
+from .operators import html as H
+from .operators import infer as I
+from .operators import profile as P
+from .operators import render as R
+from .operators import robots as RB
+from .operators import sanitize as S
+from .operators import split as G
+from .plans import build as plan
+from .schemas import DROP_REASONS, LEAVES, NUMERIC_4, RATES
+from .streaming import ingest as N
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+WS = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+BUCKET = "(concat('0x', substr(sha256({}), 1, 8))::BIGINT % 100)"
+
+# ---- documents: white space, deduplication, splits, profiles
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, lang, {WS} AS t FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS r FROM n),
+s AS (SELECT lang, length(t) AS n, CASE WHEN {BUCKET.format('t')} < 5 THEN 'val' ELSE 'train' END AS split FROM k WHERE r = 1)
+SELECT split, lang, count(*) AS docs, round(avg(n), 2) AS mean_chars, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95 FROM s GROUP BY ALL""")
+def doc_slice(spark, d):
+    return plan.document_slice(read(spark, d, "documents"))
+
+
+@query(f"SELECT doc_id, sha256({WS}) AS digest, length({WS}) AS n FROM documents")
+def ws_normalize(spark, d):
+    t = T.collapse(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.char_length(t).alias("n"))
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def doc_keep_first(spark, d):
+    return G.keep_first(read(spark, d, "documents"), ["text"], "doc_id").select("doc_id", "lang", "source")
+
+
+@query("SELECT count(*) AS total, count(DISTINCT text) AS kept, count(*) - count(DISTINCT text) AS removed FROM documents")
+def doc_dedup_report(spark, d):
+    docs = read(spark, d, "documents")
+    kept = G.keep_first(docs, ["text"], "doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    return docs.agg(F.count(F.lit(1)).alias("total")).crossJoin(kept).withColumn("removed", F.col("total") - F.col("kept"))  # one row each
+
+
+@query(f"SELECT doc_id, {BUCKET.format('text')} AS bucket FROM documents")
+def hash_bucket(spark, d):
+    return read(spark, d, "documents").select("doc_id", G.bucket(F.col("text")).alias("bucket"))
+
+
+@query("SELECT lang, count(*) AS n, round(avg(n_chars), 2) AS mean, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
+def doc_length_profile(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 2).alias("mean"), P.nearest_rank("n_chars", 0.5, whole=True).alias("p50"), P.nearest_rank("n_chars", 0.95, whole=True).alias("p95"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3")
+def first_per_group(spark, d):
+    return G.first_per_group(read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 3)
+
+
+_INJECT = "CASE doc_id % 5 WHEN 0 THEN 'Â£5 ' || {t} WHEN 1 THEN {t} || ' donâ\u0080\u0099t' WHEN 2 THEN 'Â' || {t} ELSE {t} END"
+_HEAD = "substr(text, 1, 400)"
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in T.MARKERS)
+
+
+@query(f"SELECT doc_id, ({_MARKED}) AS marked FROM (SELECT doc_id, {_INJECT.format(t='text')} AS t FROM documents)")
+def mojibake_flag(spark, d):
+    return read(spark, d, "documents").selectExpr("doc_id", _INJECT.format(t="text") + " AS t").select("doc_id", T.has_mojibake(F.col("t")).alias("marked"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(replace('€' || t, 'Â£', '£'), 'Â', ''), 'â\u0080\u0099', '’')) AS digest FROM (SELECT doc_id, " + _INJECT.format(t="text") + " AS t FROM documents)")
+def mojibake_replace(spark, d):
+    """A euro sign keeps the Latin-1 way closed, so the replacements alone act."""
+    return read(spark, d, "documents").selectExpr("doc_id", "'€' || " + _INJECT.format(t="text") + " AS t").select("doc_id", F.sha2(T.repair(F.col("t")), 256).alias("digest"))
+
+
+@query()
+def mojibake_decode(spark, d):
+    """UTF-8 read as Latin-1 and back: the text itself, wherever a marker shows."""
+    t = F.concat(F.lit("Ã"), F.col("text"))
+    bad = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    return read(spark, d, "documents").select("doc_id", (T.repair(bad) == T.repair(t)).alias("restored"))
+
+
+_MARK = "lower(regexp_replace(p, '\\s+', '', 'g'))"
+_SENTENCES = """
+s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([。！？.!?])\\s+', '\\1' || chr(31), 'g'), chr(31))) AS p, generate_subscripts(string_split(regexp_replace(t, '([。！？.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), 1) AS i FROM n),
+u AS (SELECT doc_id, i, trim(p) AS p, row_number() OVER (PARTITION BY doc_id, """ + _MARK + """ ORDER BY i) AS r FROM s WHERE trim(p) <> ''),
+o AS (SELECT doc_id, string_agg(p, ' ' ORDER BY i) AS o FROM u WHERE r = 1 GROUP BY doc_id)"""
+
+
+@query(f"WITH n AS (SELECT doc_id, {WS} AS t FROM documents), {_SENTENCES} SELECT doc_id, length(t) AS before_len, length(o) AS after_len, sha256(o) AS digest FROM n JOIN o USING (doc_id)")
+def sentence_dedup(spark, d):
+    t = T.collapse(F.col("text"))
+    x = read(spark, d, "documents").select("doc_id", t.alias("t")).withColumn("o", T.sentence_dedup(F.col("t"))).filter("t <> ''")
+    return x.select("doc_id", F.char_length("t").alias("before_len"), F.char_length("o").alias("after_len"), F.sha2("o", 256).alias("digest"))
+
+
+@query(f"""WITH n AS (SELECT doc_id, {WS} AS t FROM documents), {_SENTENCES},
+m AS (SELECT length(t) AS b, length(o) AS a FROM n JOIN o USING (doc_id)),
+g AS (SELECT b, a, b > 0 AND a < greatest(1, floor(b * 0.30)) AS over FROM m)
+SELECT count(*) AS n, count(*) FILTER (over) AS over_shrink, count(*) FILTER (NOT over AND a <> b) AS deduped, round(avg(round(CASE WHEN over THEN 1.0 ELSE a::DOUBLE / b END, 4)), 4) AS ratio, quantile_disc(a, 0.5) AS p50 FROM g""")
+def dedup_shrink_stats(spark, d):
+    x = T.clean_description(read(spark, d, "documents").withColumnRenamed("text", "src").filter("trim(src) <> ''"), "src", halves=False)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if("over_shrink").alias("over_shrink"), F.count_if("deduped").alias("deduped"), F.round(F.avg("shrink_ratio"), 4).alias("ratio"), P.nearest_rank("after_len", 0.5, whole=True).alias("p50"))
+
+
+@query()
+def half_trim(spark, d):
+    x = read(spark, d, "documents").select("doc_id", T.collapse(F.col("text")).alias("t"))
+    return x.select("doc_id", (F.char_length(T.half_trim(F.col("t"))) < F.char_length("t")).alias("trimmed"))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS head, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, (length(text) // 2) - 100 + 1, 200) END AS mid FROM documents")
+def previews(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.head_preview(F.col("text")).alias("head"), T.mid_preview(F.col("text")).alias("mid"))
+
+
+# ---- casts over product records
+
+
+@query("SELECT seq, CAST(nullif(regexp_replace(price_text, '[^0-9.]', '', 'g'), '') AS DOUBLE) AS price, CASE WHEN contains(price_text, '£') THEN 'GBP' ELSE '' END AS currency FROM (" + X.PRODUCT_SQL + ")")
+def parse_price(spark, d):
+    p = C.price(F.col("price_text"))
+    return X.raw_products(spark, d).select("seq", p["price"].alias("price"), p["currency"].alias("currency"))
+
+
+@query("SELECT seq, CAST(nullif(regexp_extract(availability_text, '\\((\\d+)\\s+available\\)', 1), '') AS INT) AS stock_count, contains(lower(availability_text), 'in stock') AS in_stock FROM (" + X.PRODUCT_SQL + ")")
+def stock_counts(spark, d):
+    a = F.col("availability_text")
+    return X.raw_products(spark, d).select("seq", C.stock_count(a).alias("stock_count"), C.in_stock(a).alias("in_stock"))
+
+
+@query("SELECT seq, w AS rating FROM (" + X.FATE_SQL + ")")
+def rating_words(spark, d):
+    return X.raw_products(spark, d).select("seq", C.rating_word(F.col("raw_rating_text")).alias("rating"))
+
+
+@query("SELECT seq, coalesce(w, n) AS raw, CASE WHEN coalesce(w, n) BETWEEN 1 AND 5 THEN coalesce(w, n) END AS value, (n IS NOT NULL AND w IS NOT NULL AND n <> w) AS mismatch FROM (" + X.FATE_SQL + ")")
+def rating_lenient(spark, d):
+    r = C.rating(F.col("rating"), F.col("raw_rating_text"), False)
+    return X.raw_products(spark, d).select("seq", F.coalesce(C.rating_word(F.col("raw_rating_text")), F.col("rating")).alias("raw"), r["value"].alias("value"), r["mismatch"].alias("mismatch"))
+
+
+@query("SELECT seq, CASE WHEN lower(p_type) SIMILAR TO '.*(comment|review).*' THEN p_name ELSE p_type END AS category FROM (" + X.PRODUCT_SQL + ")")
+def category_from_breadcrumb(spark, d):
+    return X.products(spark, d).select("seq", C.category_of(F.col("raw_breadcrumb")).alias("category"))
+
+
+@query("SELECT seq, CASE WHEN seq % 61 <> 0 THEN CAST(replace(price_excl, '£', '') AS DOUBLE) END AS price_excl_tax, CASE WHEN seq % 67 <> 0 THEN CAST(reviews AS INT) END AS review_count, upc, product_type FROM (" + X.PRODUCT_SQL + ")")
+def key_attributes(spark, d):
+    k = F.col("product_information")
+    kv = lambda n: S.lookup(k, n)
+    return X.products(spark, d).select("seq", C.money(kv("Price (excl. tax)"))["value"].alias("price_excl_tax"), C.parse_int(kv("Number of reviews")).alias("review_count"), T.optional(kv("UPC")).alias("upc"), T.optional(kv("Product Type")).alias("product_type"))
+
+
+# ---- records: sanitising, drop routing, counters, rendering
+
+
+def _prepared(spark, d, strict=True, drop_default=False):
+    return S.sanitize(X.products(spark, d), strict, drop_default)
+
+
+@query("SELECT seq, drop_reason, price, t AS title, c AS category FROM (" + X.FATE_SQL + ")")
+def sanitize_strict(spark, d):
+    return _prepared(spark, d).select("seq", "drop_reason", "price", "title", "category")
+
+
+@query("""SELECT seq, CASE WHEN NOT coalesce(price > 0, false) THEN 'price_parse_failed' WHEN seq % 29 = 0 THEN 'mojibake_detected' END AS drop_reason,
+CASE WHEN coalesce(w, n) BETWEEN 1 AND 5 THEN coalesce(w, n) END AS rating, CASE WHEN seq % 61 <> 0 THEN CAST(replace(price_excl, '£', '') AS DOUBLE) END AS price_excl_tax FROM (""" + X.FATE_SQL + ")")
+def sanitize_lenient(spark, d):
+    return _prepared(spark, d, False).select("seq", "drop_reason", "rating", F.col("key_attributes.price_excl_tax").alias("price_excl_tax"))
+
+
+@query("SELECT seq, CASE WHEN c IS NULL THEN 'category_default_dropped' ELSE drop_reason END AS drop_reason FROM (" + X.FATE_SQL + ")")
+def sanitize_drop_default(spark, d):
+    return _prepared(spark, d, True, True).select("seq", "drop_reason")
+
+
+_DOMAIN = ", ".join(f"('{r}')" for r in DROP_REASONS)
+
+
+@query(f"SELECT r AS drop_reason, count(seq) AS n FROM (VALUES {_DOMAIN}) v(r) LEFT JOIN ({X.FATE_SQL}) f ON f.drop_reason = r GROUP BY r")
+def drop_reasons(spark, d):
+    return S.drop_counts(_prepared(spark, d))
+
+
+@query("SELECT seq, drop_reason FROM (" + X.FATE_SQL + ") WHERE drop_reason IS NOT NULL ORDER BY seq LIMIT 20")
+def drop_samples(spark, d):
+    return S.drop_samples(_prepared(spark, d)).select("seq", "drop_reason")
+
+
+@query("""
+WITH f AS (SELECT *, drop_reason IS NULL OR drop_reason IN ('key_attr_parse_failed', 'mojibake_detected') AS passed FROM (""" + X.FATE_SQL + """)),
+g AS (SELECT *, seq % 61 <> 0 AS a1, seq % 61 <> 0 AS a2, seq % 61 <> 0 AND seq % 67 <> 0 AS a4 FROM f)
+SELECT sum((seq % 29 <> 0 AND seq % 31 = 0)::INT + (seq % 53 <> 0 AND seq % 47 = 0)::INT)::BIGINT AS mojibake_fixed,
+ sum(CASE WHEN passed THEN (a1)::INT + 2 * (a1)::INT ELSE 0 END)::BIGINT AS currency_symbol_stripped, sum((category = 'Default')::INT)::BIGINT AS category_default_to_null,
+ sum((seq % 4 = 0 AND seq % 53 <> 0)::INT)::BIGINT AS description_deduped, sum(CASE WHEN passed THEN 3 * (a1)::INT + (a4)::INT ELSE 0 END)::BIGINT AS key_attr_numeric_cast,
+ sum((coalesce(price > 0, false) AND n IS NOT NULL AND w IS NOT NULL AND n <> w)::INT)::BIGINT AS rating_mismatch_count,
+ sum((coalesce(price > 0, false) AND NOT (n IS NOT NULL AND w IS NOT NULL AND n <> w) AND coalesce(coalesce(n, w) NOT BETWEEN 1 AND 5, false))::INT)::BIGINT AS rating_out_of_range_count FROM g""")
+def fix_counters(spark, d):
+    return S.fix_counts(_prepared(spark, d))
+
+
+_ACCEPTED = f"(SELECT * FROM ({X.FATE_SQL}) WHERE drop_reason IS NULL)"
+
+
+@query(f"SELECT seq, {X.OUTPUT_SQL} AS output FROM {_ACCEPTED}")
+def stable_json(spark, d):
+    return S.sft_rows(_prepared(spark, d)).select("seq", "output")
+
+
+_DESC = "CASE WHEN seq % 53 = 0 THEN trim(description) ELSE p_name || ' is good. It is made of ' || p_type || '. ' || CASE WHEN seq % 47 = 0 THEN '£ ' ELSE '' END || 'The end of ' || p_brand || '!' END"
+_INPUT = f"""'Title: ' || t || chr(10) || 'Category: ' || coalesce(c, 'null') || chr(10) || 'Price: ' || CAST(CAST(price AS DECIMAL(18,2)) AS STRING) || ' GBP' || chr(10) || 'Availability: ' || availability_text || chr(10) || 'Description: ' || {_DESC} || chr(10)
+ || 'Product Information:' || chr(10) || coalesce('UPC: ' || upc || chr(10), '') || 'Product Type: ' || product_type || chr(10) || 'Price (excl. tax): ' || price_excl || chr(10) || 'Price (incl. tax): ' || price_incl || chr(10) || 'Tax: ' || tax || chr(10) || 'Availability: ' || availability_text || chr(10) || 'Number of reviews: ' || reviews"""
+_SFT = f"(SELECT seq, '{S.INSTRUCTION}' AS instruction, {_INPUT} AS input, {X.OUTPUT_SQL} AS output FROM {_ACCEPTED})"
+
+
+@query(f"SELECT seq, input FROM {_SFT}")
+def render_input(spark, d):
+    return S.sft_rows(_prepared(spark, d)).select("seq", "input")
+
+
+@query(f"SELECT seq, instruction, input, output FROM {_SFT}")
+def sft_rows(spark, d):
+    return S.sft_rows(_prepared(spark, d))
+
+
+def _chat_sql(user: str, answer: str) -> str:
+    return f"'<|im_start|>system' || chr(10) || '{R.TRAIN_SYSTEM}' || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {user} || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {answer} || chr(10) || '<|im_end|>'"
+
+
+@query("SELECT seq, " + _chat_sql(f"instruction || chr(10) || chr(10) || '{R.INPUT_HEAD}' || chr(10) || input", "output") + f" AS prompt FROM {_SFT}")
+def train_prompt(spark, d):
+    return R.training_chat(S.sft_rows(_prepared(spark, d)))
+
+
+@query("SELECT conv_id, turn, " + _chat_sql("text", "answer") + " AS prompt FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'")
+def chat_prompt(spark, d):
+    return R.chat_pairs(read(spark, d, "conversations"))
+
+
+@query()
+def baseline_prompt(spark, d):
+    return R.baseline_chat(S.sft_rows(_prepared(spark, d)))
+
+
+@query()
+def api_payload(spark, d):
+    return R.api_payload(S.sft_rows(_prepared(spark, d)), "model", 512, guided=True)
+
+
+@query("SELECT seq, list_concat(list_transform(range(least(seq % 7, 9)), lambda x: -100), range(least(seq % 7, 9), 9)) AS labels, 9 AS n FROM (" + X.PRODUCT_SQL + ")")
+def label_mask(spark, d):
+    x = X.raw_products(spark, d).select("seq", F.expr("transform(sequence(0, 11), x -> cast(x as bigint))").alias("full_ids"), F.expr("slice(sequence(0, 11), 1, cast(seq % 7 as int))").alias("prompt_ids"))
+    return R.mask_labels(x, 9).select("seq", F.transform("labels", lambda v: v.cast("bigint")).alias("labels"), F.size("attention_mask").alias("n"))
+
+
+# ---- splits and profiles of records
+
+_KEY = "coalesce(nullif(upc, ''), nullif(product_url, ''), 'null')"
+_SPLIT = f"(SELECT *, {_KEY} AS key, {BUCKET.format(_KEY)} AS bucket, CASE WHEN {BUCKET.format(_KEY)} < 10 THEN 'val' ELSE 'train' END AS split FROM {_ACCEPTED})"
+
+
+def _split(spark, d, by="upc", ratio=0.1):
+    return plan.prepared_rows(X.products(spark, d), by=by, val_ratio=ratio)[1]
+
+
+@query(f"SELECT seq, key, bucket, split FROM {_SPLIT}")
+def split_train_val(spark, d):
+    return _split(spark, d).select("seq", "key", "bucket", "split")
+
+
+@query(f"SELECT split, value, n, rows, rank FROM (SELECT split, coalesce(c, 'null') AS value, count(*) AS n, (sum(count(*)) OVER (PARTITION BY split))::BIGINT AS rows, row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, min(seq)) AS rank FROM {_SPLIT} GROUP BY split, coalesce(c, 'null')) WHERE rank <= 10")
+def split_report(spark, d):
+    return P.split_report(_split(spark, d)).select("split", "value", "n", "rows", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id = max(doc_id) OVER () THEN 'val' ELSE 'train' END AS split FROM documents WHERE {BUCKET.format('text')} >= 5")
+def split_rescue(spark, d):
+    """No document of these falls to val by itself, so the last one does."""
+    x = read(spark, d, "documents").filter(G.bucket(F.col("text")) >= 5).withColumn("upc", F.col("text")).withColumn("product_url", F.lit(None).cast("string"))
+    return G.split(x, "upc", 0.05, "doc_id").select("doc_id", "split")
+
+
+@query("SELECT product_url, rating FROM (" + X.PRODUCT_SQL + ") WHERE product_url IS NOT NULL ORDER BY sha256(product_url) LIMIT 20")
+def audit_sample20(spark, d):
+    return G.audit_sample(X.raw_products(spark, d).filter("product_url is not null").select("product_url", "rating"))
+
+
+@query("SELECT count(price) AS n, min(price) AS min, median(price) AS median, max(price) AS max FROM (" + X.FATE_SQL + ")")
+def price_distribution(spark, d):
+    return P.price_distribution(X.products(spark, d))
+
+
+_MISS = {"title": "title IS NULL OR trim(title) = ''", "category": "category IS NULL OR trim(category) = ''", "price": "price IS NULL", "currency": "NOT coalesce(contains(price_text, '£'), false)", "availability_text": "false", "in_stock": "false", "stock_count": "stock IS NULL", "rating": "rating IS NULL", "description": "false", "product_information": "false", "image_url": "true"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(({c})::INT), 4) AS missing_rate FROM ({X.FATE_SQL})" for f, c in _MISS.items()))
+def missing_rates(spark, d):
+    return P.missing_rates(X.products(spark, d))
+
+
+@query("SELECT coalesce(nullif(category, ''), 'UNKNOWN') AS category, count(*) AS n FROM (" + X.PRODUCT_SQL + ") GROUP BY 1")
+def category_distribution(spark, d):
+    return P.distribution(X.products(spark, d), "category")
+
+
+@query(f"SELECT coalesce(c, 'null') AS value, count(*) AS n, min(seq) AS first FROM {_ACCEPTED} GROUP BY 1 ORDER BY n DESC, first LIMIT 20")
+def top20_category(spark, d):
+    return P.top_k(S.accepted(_prepared(spark, d)), "category")
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (coalesce(n, w) = {k}) AS rating_{k}" for k in range(1, 6)) + f", count(*) FILTER (coalesce(n, w) IS NULL) AS rating_null FROM {_ACCEPTED}")
+def rating_distribution(spark, d):
+    return S.accepted(_prepared(spark, d)).agg(*P.histogram("rating"))
+
+
+@query(f"SELECT round(avg(length({_DESC})), 2) AS description_avg, quantile_disc(length({_DESC}), 0.5) AS description_p50, quantile_disc(length({_DESC}), 0.95) AS description_p95, round(avg(price), 2) AS price_avg, quantile_disc(price, 0.5) AS price_p50, quantile_disc(price, 0.95) AS price_p95, " + ", ".join(f"count(*) FILTER (coalesce(n, w) = {k}) AS rating_{k}" for k in range(1, 6)) + f", count(*) FILTER (coalesce(n, w) IS NULL) AS rating_null FROM {_ACCEPTED}")
+def dataset_stats(spark, d):
+    return P.dataset_stats(S.accepted(_prepared(spark, d)))
+
+
+_BEFORE = "length(trim(regexp_replace(replace(replace(description, 'Â£', '£'), 'Â', ''), '\\s+', ' ', 'g')))"
+_AFTER = f"CASE WHEN seq % 53 = 0 THEN length('Same words here.') ELSE length({_DESC}) END"
+
+
+@query(f"""WITH m AS (SELECT {_BEFORE} AS b, {_AFTER} AS a, seq % 53 = 0 AS over FROM ({X.FATE_SQL}))
+SELECT round(avg(b), 2) AS before_avg, quantile_disc(b, 0.5) AS before_p50, quantile_disc(b, 0.95) AS before_p95, round(avg(a), 2) AS after_avg, quantile_disc(a, 0.5) AS after_p50, quantile_disc(a, 0.95) AS after_p95,
+ sum((NOT over AND a <> b)::INT)::BIGINT AS dedup_applied, round(avg(round(CASE WHEN over THEN 1.0 ELSE a::DOUBLE / b END, 4)), 4) AS shrink_ratio_mean, count(*) FILTER (over) AS over_shrink_count FROM m""")
+def text_quality(spark, d):
+    return P.text_quality(_prepared(spark, d))
+
+
+@query("SELECT round(avg(coalesce(length(description), 0)), 2) AS mean_length FROM (" + X.PRODUCT_SQL + ")")
+def description_mean_length(spark, d):
+    return P.mean_length(X.products(spark, d))
+
+
+# ---- JSON and evaluation
+
+_LABELS = f"(SELECT p_partkey AS idx, p_partkey % 11 AS m, {X.GOLD} AS gold, p_partkey % 5 + 1 AS rating FROM part)"
+
+
+@query(f"SELECT idx, m NOT IN (3, 4, 8) AS parse_ok, CASE WHEN m = 8 THEN 'empty_output' WHEN m IN (3, 4) THEN 'parse_fail' END AS error FROM {_LABELS}")
+def json_parse_lenient(spark, d):
+    x = X.predictions(spark, d).withColumn("v", J.lenient_object(F.col("raw_response")))
+    return x.select("idx", F.col("v").isNotNull().alias("parse_ok"), J.parse_error(F.col("raw_response"), F.col("v")).alias("error"))
+
+
+@query(f"SELECT idx, CASE WHEN m IN (3, 4, 8) THEN 'invalid_output_json' WHEN m = 5 THEN 'schema_price_invalid' WHEN m = 6 THEN 'schema_rating_invalid' END AS reason FROM {_LABELS}")
+def schema_validate(spark, d):
+    return X.predictions(spark, d).select("idx", J.schema_error(J.lenient_object(F.col("raw_response"))).alias("reason"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def nested_path(spark, d):
+    return read(spark, d, "events").select("event_id", J.leaf(J.as_object(F.col("props")), "k")["number"].cast("bigint").alias("k"))
+
+
+_OK = "(m NOT IN (3, 4, 8))"
+_WRONG = {"category": 0, "price": (1, 5), "availability.stock_count": 2, "rating": 6}
+
+
+def _match(path: str) -> str:
+    w = _WRONG.get(path)
+    return _OK + ("" if w is None else f" AND m NOT IN ({', '.join(map(str, w if isinstance(w, tuple) else (w,)))})")
+
+
+def _metric_sql() -> str:
+    out = ["count(*) AS total", f"round(avg(({_OK})::INT), 4) AS json_parse_rate", f"round(avg(({_OK} AND m NOT IN (5, 6))::INT), 4) AS schema_valid_rate"]
+    out += [f"round(avg(({_match(p)})::INT), 4) AS {r}" for p, r in zip(LEAVES, RATES)]
+    for p in NUMERIC_4:
+        e = f"CASE WHEN NOT {_OK} THEN NULL " + ("WHEN m = 5 THEN NULL WHEN m = 1 THEN 1.0::DOUBLE " if p == "price" else "") + "ELSE 0.0::DOUBLE END"
+        s = p.rpartition(".")[2]
+        out += [f"round(avg({e}), 4) AS {s}_abs_error_avg", f"round(quantile_disc({e}, 0.5), 4) AS {s}_abs_error_p50", f"round(quantile_disc({e}, 0.95), 4) AS {s}_abs_error_p95"]
+    return f"SELECT {', '.join(out)} FROM {_LABELS}"
+
+
+@query(_metric_sql())
+def eval_metrics(spark, d):
+    return L.metrics(L.evaluate(X.predictions(spark, d)))
+
+
+@query(f"SELECT error_reason, n FROM (SELECT CASE WHEN m = 8 THEN 'empty_output' WHEN m IN (3, 4) THEN 'parse_fail' WHEN m = 5 THEN 'schema_price_invalid' WHEN m = 6 THEN 'schema_rating_invalid' END AS error_reason, count(*) AS n FROM {_LABELS} GROUP BY 1) WHERE error_reason IS NOT NULL")
+def failure_top10(spark, d):
+    return L.failure_reasons(L.evaluate(X.predictions(spark, d)))
+
+
+@query(f"SELECT idx FROM {_LABELS} WHERE m IN (3, 4, 5, 6, 8) ORDER BY idx LIMIT 10")
+def failure_samples(spark, d):
+    return L.failure_samples(L.evaluate(X.predictions(spark, d))).select("idx")
+
+
+@query("SELECT count(*) AS n, round(avg((quality = (n_chars > 500)::INT)::INT), 4) AS agreement, round(avg(toxic), 4) AS toxic_rate FROM documents JOIN labels USING (doc_id)")
+def label_metrics(spark, d):
+    x = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id")
+    n = F.count(F.lit(1))
+    return x.agg(n.alias("n"), P.safe_rate(F.count_if(F.col("quality") == (F.col("n_chars") > 500).cast("int")), n).alias("agreement"), F.round(F.avg("toxic"), 4).alias("toxic_rate"))
+
+
+# ---- bad cases
+
+
+def _analyzed(spark, d):
+    x = X.predictions(spark, d)
+    v = J.lenient_object(F.col("raw_response"))
+    gold = x.select(F.col("idx").alias("pos"), F.concat("p_name", F.when(F.col("idx") % 3 == 0, F.lit(" é")).otherwise(F.lit(""))).alias("input"), "gold_text")
+    pred = x.select(F.col("idx").alias("pos"), F.to_json(v).alias("pred_text"), "raw_response", v.isNotNull().alias("parse_ok"), (v.isNotNull() & J.schema_error(v).isNull()).alias("schema_ok"))
+    j = B.align(gold, pred)
+    return B.analyze(j.select("pos", "input", "gold_text", F.col("pred_pred_text").alias("pred_text"), F.col("pred_raw_response").alias("raw_response"), F.col("pred_parse_ok").alias("parse_ok"), F.col("pred_schema_ok").alias("schema_ok")), 30)
+
+
+_FIELDS = "CASE m WHEN 0 THEN 'category' WHEN 1 THEN 'price' WHEN 2 THEN 'availability.stock_count' WHEN 5 THEN 'price' WHEN 6 THEN 'rating' WHEN 3 THEN {all} WHEN 4 THEN {all} WHEN 8 THEN {all} ELSE '' END".replace("{all}", "'" + ",".join(LEAVES) + "'")
+
+
+@query(f"SELECT idx AS pos, {_FIELDS} AS fields FROM {_LABELS}")
+def badcase_fields(spark, d):
+    return _analyzed(spark, d).select("pos", F.array_join("mismatch_fields", ",").alias("fields"))
+
+
+_TAGS = "concat_ws(',', CASE WHEN length(input) > 30 THEN 'long_input' END, CASE WHEN idx % 3 = 0 THEN 'has_non_ascii' END, CASE WHEN m IN (3, 4, 8) THEN 'parse_fail' END, CASE WHEN m IN (3, 4, 5, 6, 8) THEN 'schema_fail' END)"
+_WITH_INPUT = "(SELECT p_partkey AS idx, p_partkey % 11 AS m, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' é' ELSE '' END AS input FROM part)"
+_TYPE = "CASE WHEN m = 8 THEN 'extraction_error' WHEN m = 3 THEN 'truncation_suspected' WHEN m = 4 THEN 'extraction_error' WHEN m IN (5, 6) THEN 'type_error' WHEN m IN (0, 2) THEN 'null_handling_error' WHEN m = 1 THEN 'normalization_error' ELSE 'extraction_error' END"
+
+
+@query(f"SELECT idx AS pos, {_TAGS} AS tags FROM {_WITH_INPUT}")
+def bucket_tags(spark, d):
+    return _analyzed(spark, d).select("pos", F.array_join("bucket_tags", ",").alias("tags"))
+
+
+@query(f"SELECT idx AS pos, {_TYPE} AS error_type FROM {_LABELS}")
+def error_types(spark, d):
+    return _analyzed(spark, d).select("pos", "error_type")
+
+
+@query(f"SELECT error_type, count(*) AS n FROM (SELECT {_TYPE} AS error_type FROM {_LABELS}) GROUP BY 1")
+def top_error_types(spark, d):
+    return B.top_error_types(_analyzed(spark, d))
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(string_split({_TAGS}, ',')) AS tag FROM {_WITH_INPUT}) WHERE tag <> '' GROUP BY 1")
+def tag_counts(spark, d):
+    return B.tag_counts(_analyzed(spark, d))
+
+
+@query(f"SELECT error_type, pos FROM (SELECT error_type, pos, row_number() OVER (PARTITION BY error_type ORDER BY pos) AS r FROM (SELECT idx AS pos, {_TYPE} AS error_type FROM {_LABELS} WHERE m NOT IN (7, 9, 10))) WHERE r <= 3")
+def badcase_samples(spark, d):
+    return B.samples_by_type(_analyzed(spark, d)).select("error_type", "pos")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (m NOT IN (7, 9, 10)) AS badcases, round(avg((m NOT IN (7, 9, 10))::INT), 4) AS badcase_rate, round(avg({_OK}::INT), 4) AS parse_rate, round(avg(({_OK} AND m NOT IN (5, 6))::INT), 4) AS schema_rate, round(avg(({_OK} AND m <> 0)::INT), 4) AS accuracy_category FROM {_LABELS}")
+def badcase_summary(spark, d):
+    return B.summary(_analyzed(spark, d)).select("total", "badcases", "badcase_rate", "parse_rate", "schema_rate", "accuracy_category")
+
+
+# ---- comparison of reports
+
+
+def _diff(spark, d):
+    x = X.predictions(spark, d)
+    a = O.long_table(L.metrics(L.evaluate(x.filter("idx % 2 = 0"))))
+    b = O.long_table(L.metrics(L.evaluate(x.filter("idx % 2 = 1")))).filter("metric <> 'tax_exact_match_rate'")
+    return O.diff(a, b)
+
+
+_RATE_NAMES = ", ".join(["json_parse_rate", "schema_valid_rate", *RATES, *(f"{p.rpartition('.')[2]}_abs_error_{s}" for p in NUMERIC_4 for s in ("avg", "p50", "p95"))])
+_DIFF = f"""(WITH a AS (UNPIVOT (SELECT * EXCLUDE (total) FROM ({_metric_sql()} WHERE idx % 2 = 0)) ON COLUMNS(*) INTO NAME metric VALUE v), b AS (UNPIVOT (SELECT * EXCLUDE (total, tax_exact_match_rate) FROM ({_metric_sql()} WHERE idx % 2 = 1)) ON COLUMNS(*) INTO NAME metric VALUE v)
+SELECT metric, a.v AS baseline, b.v AS other, round(b.v - a.v, 4) AS delta, CASE WHEN metric IN ('json_parse_rate', 'schema_valid_rate') THEN 'headline' WHEN contains(metric, '_abs_error_') THEN 'numeric' ELSE 'field' END AS family,
+ CASE WHEN contains(metric, '_abs_error_') THEN round(b.v - a.v, 4) <= 0 ELSE round(b.v - a.v, 4) >= 0 END AS improved FROM a FULL JOIN b USING (metric))"""
+
+
+@query(f"SELECT * FROM {_DIFF}")
+def compare_reports(spark, d):
+    return _diff(spark, d)
+
+
+@query(f"SELECT metric, delta FROM {_DIFF} WHERE family = 'headline'")
+def compare_headline(spark, d):
+    return O.headline(_diff(spark, d)).select("metric", "delta")
+
+
+@query(f"SELECT family, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (improved), '') AS wins, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (NOT improved), '') AS losses FROM {_DIFF} WHERE delta IS NOT NULL GROUP BY family")
+def compare_wins(spark, d):
+    return O.wins(_diff(spark, d)).select("family", F.array_join("wins", ",").alias("wins"), F.array_join("losses", ",").alias("losses"))
+
+
+@query(f"SELECT family, metric, delta FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY CASE WHEN family = 'field' THEN -delta ELSE delta END, metric) AS r FROM {_DIFF} WHERE delta IS NOT NULL AND family <> 'headline') WHERE r <= 5")
+def compare_top5(spark, d):
+    return O.top_improvements(_diff(spark, d))
+
+
+# ---- augmentation
+
+
+def _parsed(spark, d):
+    return A.parse(S.sft_rows(_prepared(spark, d)))
+
+
+@query(f"SELECT seq, t AS title, coalesce(c, 'null') AS category, CAST(CAST(price AS DECIMAL(18,2)) AS STRING) || ' GBP' AS price, availability_text AS availability, {_DESC} AS description, (6 + (upc IS NOT NULL)::INT)::INT AS items FROM {_ACCEPTED}")
+def aug_parse(spark, d):
+    return _parsed(spark, d).select("seq", "title", "category", "price", "availability", "description", F.size("info").alias("items"))
+
+
+def _aug(strategy: str, sql: str | None):
+    def f(spark, d):
+        return A.apply(_parsed(spark, d), strategy).select("seq", "input", "output")
+
+    f.__name__ = f"aug_{strategy}"
+    query(sql)(f)
+
+
+_HEAD_LINES = "'Title: ' || t || chr(10) || {cat} || 'Price: ' || CAST(CAST(price AS DECIMAL(18,2)) AS STRING) || ' GBP' || chr(10) || 'Availability: ' || {avail} || chr(10) || {desc} || 'Product Information:' || chr(10) || {upc} || 'Product Type: ' || product_type || chr(10) || 'Price (excl. tax): ' || {excl} || chr(10) || 'Price (incl. tax): ' || {incl} || chr(10) || 'Tax: ' || {tax} || chr(10) || 'Availability: ' || availability_text || chr(10) || 'Number of reviews: ' || reviews"
+
+
+def _in(**k) -> str:
+    base = {"cat": "'Category: ' || coalesce(c, 'null') || chr(10)", "avail": "availability_text", "desc": f"'Description: ' || {_DESC} || chr(10)", "upc": "coalesce('UPC: ' || upc || chr(10), '')", "excl": "price_excl", "incl": "price_incl", "tax": "tax"}
+    out = _HEAD_LINES
+    for n, v in (base | {a: b.replace("{desc}", base["desc"]) for a, b in k.items()}).items():
+        out = out.replace("{" + n + "}", "(" + v + ")")
+    return out
+
+
+def _aug_sql(inp: str, out: str = X.OUTPUT_SQL, where: str = "true") -> str:
+    return f"SELECT seq, {inp} AS input, {out} AS output FROM {_ACCEPTED} WHERE {where}"
+
+
+_aug("drop_category_line", _aug_sql(_in(cat="''"), X.OUTPUT_SQL.replace("coalesce('\"' || c || '\"', 'null')", "'null'")))
+_aug("drop_upc_line", _aug_sql(_in(upc="''"), X.OUTPUT_SQL.replace("coalesce('\"' || upc || '\"', 'null')", "'null'")))
+_aug("drop_stock_count_line", _aug_sql(_in(avail="trim(regexp_replace(availability_text, '\\(\\s*\\d+\\s+available\\s*\\)', ''))"), X.OUTPUT_SQL.replace("coalesce(CAST(stock AS STRING), 'null')", "'null'")))
+_aug("drop_description_line", _aug_sql(_in(desc="''")))
+_aug("pi_numeric_surface_perturb", _aug_sql(_in(excl="replace(price_excl, '£', 'GBP ')", incl="replace(price_incl, '£', 'GBP ')", tax="replace(tax, '£', 'GBP ')")))
+_aug("description_repeat_variant", _aug_sql(_in(desc=f"'Description: ' || {_DESC} || ' ' || CASE WHEN seq % 53 = 0 THEN 'Same words here.' ELSE p_name || ' is good.' END || chr(10)")))
+_aug("special_char_perturb", None)
+_aug("trim_description", None)
+_aug("trim_product_information", None)
+_aug("shuffle_fields", None)
+_aug("shuffle_product_information_order", None)
+
+
+_RULES = ", ".join(f"('{k}', '{s}')" for k, s in (*A.BY_TAG, *A.BY_ERROR))
+
+
+@query(f"""WITH b AS (SELECT {_TAGS} AS tags, {_TYPE} AS e FROM {_WITH_INPUT} WHERE m NOT IN (7, 9, 10)), x AS (SELECT unnest(string_split(tags, ',')) AS k FROM b UNION ALL SELECT e FROM b), r AS (SELECT * FROM (VALUES {_RULES}) v(k, strategy))
+SELECT strategy, count(*) AS n FROM x JOIN r USING (k) GROUP BY 1 UNION ALL SELECT s, 0 FROM (VALUES ('shuffle_fields'), ('shuffle_product_information_order'), ('drop_description_line')) v(s)""")
+def strategy_activation(spark, d):
+    return A.active_strategies(_analyzed(spark, d).filter("is_badcase"))
+
+
+_RANK = "sha256('42~' || CAST(seq AS STRING) || '~' || s)"
+
+
+@query(f"""SELECT seq, string_agg(s, ',' ORDER BY s) AS strategies FROM (SELECT seq, s, row_number() OVER (PARTITION BY seq ORDER BY {_RANK}) AS r FROM {_ACCEPTED}, (VALUES ('drop_category_line'), ('drop_upc_line'), ('pi_numeric_surface_perturb')) v(s)) WHERE r <= 2 GROUP BY seq""")
+def aug_choice(spark, d):
+    x = A.augment(S.sft_rows(_prepared(spark, d)), ["drop_category_line", "drop_upc_line", "pi_numeric_surface_perturb"], dedup=False)
+    return x.filter("strategy is not null").groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("strategy")), ",").alias("strategies"))
+
+
+@query()
+def aug_all(spark, d):
+    return A.augment(S.sft_rows(_prepared(spark, d)), list(A.rewrites()))
+
+
+# ---- robots, pages, ingestion, prediction
+
+ROBOTS = "User-agent: *\nDisallow: /p\nAllow: /page\nDisallow: /page/1 # tail\nDisallow:\n\nUser-agent: other\nDisallow: /\n"
+_RULE_ROWS = "(VALUES ('disallow', '/p'), ('allow', '/page'), ('disallow', '/page/1')) r(d, p)"
+_PATH = "coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), '^\\?', '/?'), ''), '/')"
+
+
+@query("SELECT seq, directive, prefix FROM (VALUES (1, 'disallow', '/p'), (2, 'allow', '/page'), (3, 'disallow', '/page/1')) v(seq, directive, prefix)")
+def robots_parse(spark, d):
+    return RB.parse_rules(spark.createDataFrame([("", ROBOTS)], "host string, text string")).select("seq", "directive", "prefix")
+
+
+@query(f"SELECT page_id, coalesce(arg_max(d, length(p) * 2 + (d = 'allow')::INT), 'allow') AS directive FROM (SELECT page_id, {_PATH} AS path FROM pages) LEFT JOIN {_RULE_ROWS} ON starts_with(path, p) GROUP BY page_id")
+def robots_match(spark, d):
+    rules = RB.parse_rules(spark.createDataFrame([("", ROBOTS)], "host string, text string")).select("directive", "prefix")
+    return RB.match(read(spark, d, "pages"), rules).select("page_id", "directive")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::INT AS n_links FROM pages")
+def page_title_links(spark, d):
+    return H.page_texts(read(spark, d, "pages")).select("page_id", "title", F.size("links").alias("n_links"))
+
+
+@query()
+def page_text_length(spark, d):
+    return H.page_texts(read(spark, d, "pages")).select("page_id", F.char_length("text").alias("n"))
+
+
+@query("SELECT page_id, i, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || h ELSE h END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) - 1 AS i FROM pages) WHERE starts_with(h, '/') OR contains(h, '://')")
+def url_joined(spark, d):
+    pages = read(spark, d, "pages")
+    x = H.page_texts(pages).select("page_id", F.posexplode("links").alias("i", "h")).filter(F.col("h").startswith("/") | F.contains("h", F.lit("://"))).join(pages.select("page_id", "url"), "page_id")
+    return x.select("page_id", F.col("i").cast("long").alias("i"), url_join("url", "h").alias("link"))
+
+
+@query("SELECT min(page_id) AS page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def incremental_ingest(spark, d):
+    pages = read(spark, d, "pages").select("page_id", "url")
+    return N.new_rows(pages, pages.filter("page_id % 3 = 0").select("url").distinct(), "url", "page_id")
+
+
+@query("SELECT count(*) AS pages, count(*) FILTER (page_id % 3 = 0) AS ok, count(*) FILTER (page_id % 3 = 1) AS blocked, count(*) FILTER (page_id % 3 = 2) AS failed FROM pages")
+def crawl_counters(spark, d):
+    return N.counters(read(spark, d, "pages").selectExpr("CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'blocked' ELSE 'failed' END AS status"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_by_hour(spark, d):
+    return N.events_by_window(read(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"SELECT seq AS idx, coalesce(nullif(upc, ''), CAST(seq AS STRING)) AS sample_id, true AS parse_ok, CASE WHEN upc IS NULL THEN 'schema_upc_invalid' END AS error_reason FROM {_ACCEPTED}")
+def rule_predictions(spark, d):
+    return I.predict(I.samples(S.sft_rows(_prepared(spark, d))), I.Rules, "rules").select("idx", "sample_id", "parse_ok", "error_reason")
