@@ -393,12 +393,12 @@ def json_parse_lenient(spark, d):
 
 @query(f"SELECT idx, CASE WHEN m IN (3, 4, 8) THEN 'invalid_output_json' WHEN m = 5 THEN 'schema_price_invalid' WHEN m = 6 THEN 'schema_rating_invalid' END AS reason FROM {_LABELS}")
 def schema_validate(spark, d):
-    return X.predictions(spark, d).select("idx", J.schema_error(J.lenient_object(F.col("raw_response"))).alias("reason"))
+    return X.predictions(spark, d).withColumn("v", J.lenient_object(F.col("raw_response"))).select("idx", J.schema_error("v").alias("reason"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def nested_path(spark, d):
-    return read(spark, d, "events").select("event_id", J.leaf(J.as_object(F.col("props")), "k")["number"].cast("bigint").alias("k"))
+    return read(spark, d, "events").withColumn("v", J.as_object(F.col("props"))).select("event_id", J.leaf("v", "k")["number"].cast("bigint").alias("k"))
 
 
 _OK = "(m NOT IN (3, 4, 8))"
@@ -446,10 +446,10 @@ def label_metrics(spark, d):
 
 
 def _analyzed(spark, d):
-    x = X.predictions(spark, d)
-    v = J.lenient_object(F.col("raw_response"))
+    x = X.predictions(spark, d).withColumn("v", J.lenient_object(F.col("raw_response"))).withColumn("bad", J.schema_error("v"))
+    v = F.col("v")
     gold = x.select(F.col("idx").alias("pos"), F.concat("p_name", F.when(F.col("idx") % 3 == 0, F.lit(" é")).otherwise(F.lit(""))).alias("input"), "gold_text")
-    pred = x.select(F.col("idx").alias("pos"), F.to_json(v).alias("pred_text"), "raw_response", v.isNotNull().alias("parse_ok"), (v.isNotNull() & J.schema_error(v).isNull()).alias("schema_ok"))
+    pred = x.select(F.col("idx").alias("pos"), F.to_json(v).alias("pred_text"), "raw_response", v.isNotNull().alias("parse_ok"), (v.isNotNull() & F.col("bad").isNull()).alias("schema_ok"))
     j = B.align(gold, pred)
     return B.analyze(j.select("pos", "input", "gold_text", F.col("pred_pred_text").alias("pred_text"), F.col("pred_raw_response").alias("raw_response"), F.col("pred_parse_ok").alias("parse_ok"), F.col("pred_schema_ok").alias("schema_ok")), 30)
 
@@ -581,11 +581,11 @@ _aug("shuffle_fields", None)
 _aug("shuffle_product_information_order", None)
 
 
-_RULES = ", ".join(f"('{k}', '{s}')" for k, s in (*A.BY_TAG, *A.BY_ERROR))
+_RULES = ", ".join([f"('tag', '{k}', '{s}')" for k, s in A.BY_TAG] + [f"('error', '{k}', '{s}')" for k, s in A.BY_ERROR])
 
 
-@query(f"""WITH b AS (SELECT {_TAGS} AS tags, {_TYPE} AS e FROM {_WITH_INPUT} WHERE m NOT IN (7, 9, 10)), x AS (SELECT unnest(string_split(tags, ',')) AS k FROM b UNION ALL SELECT e FROM b), r AS (SELECT * FROM (VALUES {_RULES}) v(k, strategy))
-SELECT strategy, count(*) AS n FROM x JOIN r USING (k) GROUP BY 1 UNION ALL SELECT s, 0 FROM (VALUES ('shuffle_fields'), ('shuffle_product_information_order'), ('drop_description_line')) v(s)""")
+@query(f"""WITH b AS (SELECT {_TAGS} AS tags, {_TYPE} AS e FROM {_WITH_INPUT} WHERE m NOT IN (7, 9, 10)), x AS (SELECT 'tag' AS kind, unnest(string_split(tags, ',')) AS k FROM b UNION ALL SELECT 'error', e FROM b), r AS (SELECT * FROM (VALUES {_RULES}) v(kind, k, strategy))
+SELECT strategy, count(*) AS n FROM x JOIN r USING (kind, k) GROUP BY 1 UNION ALL SELECT s, 0 FROM (VALUES ('shuffle_fields'), ('shuffle_product_information_order'), ('drop_description_line')) v(s)""")
 def strategy_activation(spark, d):
     return A.active_strategies(_analyzed(spark, d).filter("is_badcase"))
 
@@ -622,7 +622,7 @@ def robots_match(spark, d):
     return RB.match(read(spark, d, "pages"), rules).select("page_id", "directive")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::INT AS n_links FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g').replace('&amp;', '&')) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::INT AS n_links FROM pages")
 def page_title_links(spark, d):
     return H.page_texts(read(spark, d, "pages")).select("page_id", "title", F.size("links").alias("n_links"))
 

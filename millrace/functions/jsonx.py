@@ -45,56 +45,71 @@ def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, "$." + path, "variant")
 
 
-def schema_error(v: Column) -> Column:
-    """The first failing check of a label, in fixed order; null if it is valid."""
-    return let(v, _schema_error)
-
-
-def _schema_error(v: Column) -> Column:
-    k = lambda p: F.coalesce(kind(at(v, p)), F.lit("null"))
-    number = lambda p: k(p).isin("int", "number")
-    checks = (
-        ("invalid_output_json", v.isNotNull()),
-        ("schema_title_invalid", k("title") == "string"),
-        ("schema_category_invalid", k("category").isin("string", "null")),
-        ("schema_price_invalid", number("price")),
-        ("schema_currency_invalid", (k("currency") == "string") & (F.try_variant_get(v, "$.currency", "string") == "GBP")),
-        ("schema_availability_invalid", k("availability") == "object"),
-        ("schema_in_stock_invalid", k("availability.in_stock") == "bool"),
-        ("schema_stock_count_invalid", k("availability.stock_count").isin("int", "null")),
-        ("schema_rating_invalid", (k("rating") == "null") | ((k("rating") == "int") & F.try_variant_get(v, "$.rating", "long").between(1, 5))),
-        ("schema_key_attributes_invalid", k("key_attributes") == "object"),
-        ("schema_upc_invalid", k("key_attributes.upc") == "string"),
-        ("schema_product_type_invalid", k("key_attributes.product_type") == "string"),
-        ("schema_price_excl_tax_invalid", number("key_attributes.price_excl_tax")),
-        ("schema_price_incl_tax_invalid", number("key_attributes.price_incl_tax")),
-        ("schema_tax_invalid", number("key_attributes.tax")),
-        ("schema_availability_text_invalid", k("key_attributes.availability_text") == "string"),
-        ("schema_review_count_invalid", k("key_attributes.review_count") == "int"),
-    )
-    out = F.lit(None).cast("string")
-    for reason, good in reversed(checks):
-        out = F.when(~F.coalesce(good, F.lit(False)), reason).otherwise(out)
-    return out
+# The checks of a label and its leaves are written as SQL text: each is one expression for the
+# driver to parse, where Column calls would be hundreds.
+
+
+def _kind(x: str) -> str:
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in KINDS.items())
+    return f"try_element_at(map({pairs}), regexp_extract(schema_of_variant({x}), '^[A-Z]+', 0))"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
 
+def _k(path: str) -> str:
+    at_path = f"try_variant_get(v, '$.{path}', 'variant')"
+    return f"coalesce({_kind(at_path)}, 'null')"
 
-def leaf(v: Column, path: str) -> Column:
+
+# Checks in order; the first that does not hold is the reason.
+CHECKS = (
+    ("schema_title_invalid", "title", "= 'string'"),
+    ("schema_category_invalid", "category", "IN ('string', 'null')"),
+    ("schema_price_invalid", "price", "IN ('int', 'number')"),
+    ("schema_currency_invalid", "currency", "= 'string' AND try_variant_get(v, '$.currency', 'string') = 'GBP'"),
+    ("schema_availability_invalid", "availability", "= 'object'"),
+    ("schema_in_stock_invalid", "availability.in_stock", "= 'bool'"),
+    ("schema_stock_count_invalid", "availability.stock_count", "IN ('int', 'null')"),
+    ("schema_rating_invalid", "rating", "IN ('int', 'null') AND coalesce(try_variant_get(v, '$.rating', 'bigint') BETWEEN 1 AND 5, true)"),
+    ("schema_key_attributes_invalid", "key_attributes", "= 'object'"),
+    ("schema_upc_invalid", "key_attributes.upc", "= 'string'"),
+    ("schema_product_type_invalid", "key_attributes.product_type", "= 'string'"),
+    ("schema_price_excl_tax_invalid", "key_attributes.price_excl_tax", "IN ('int', 'number')"),
+    ("schema_price_incl_tax_invalid", "key_attributes.price_incl_tax", "IN ('int', 'number')"),
+    ("schema_tax_invalid", "key_attributes.tax", "IN ('int', 'number')"),
+    ("schema_availability_text_invalid", "key_attributes.availability_text", "= 'string'"),
+    ("schema_review_count_invalid", "key_attributes.review_count", "= 'int'"),
+)
+
+
+def schema_error(column: str) -> Column:
+    """The first failing check of the label in a variant column; null if it is valid."""
+    cases = " ".join(f"WHEN NOT coalesce({_k(path)} {test}, false) THEN '{reason}'" for reason, path, test in CHECKS)
+    return F.expr(_let(column, "v", f"CASE WHEN v IS NULL THEN 'invalid_output_json' {cases} END"))
+
+
+def leaf_sql(v: str, path: str) -> str:
     """struct(family, number, text): comparable, a missing leaf is like null."""
+    body = (
+        "named_struct('family', CASE WHEN k IN ('int', 'number') THEN 'number' ELSE k END, 'number', CASE WHEN k IN ('int', 'number') THEN try_variant_get(x, '$', 'double') END, "
+        "'text', CASE WHEN k = 'string' THEN try_variant_get(x, '$', 'string') WHEN k IN ('object', 'array', 'bool') THEN to_json(x) END)"
+    )
+    inner = _let(f"coalesce({_kind('x')}, 'null')", "k", body)
+    return _let(f"try_variant_get({v}, '$.{path}', 'variant')", "x", inner)
 
-    def out(x):
-        value = lambda t: F.try_variant_get(x, "$", t)
-        return let(F.coalesce(kind(x), F.lit("null")), lambda k: F.struct(
-            F.when(k.isin("int", "number"), "number").otherwise(k).alias("family"),
-            F.when(k.isin("int", "number"), value("double")).alias("number"),
-            F.when(k == "string", value("string")).when(k.isin("object", "array", "bool"), F.to_json(x)).alias("text"),
-        ))
 
-    return let(at(v, path), out)
+def leaf(column: str, path: str) -> Column:
+    return F.expr(leaf_sql(column, path))
 
 
-def leaves(v: Column) -> Column:
-    return let(v, lambda x: F.struct(*(leaf(x, p).alias(p.replace(".", "_")) for p in LEAVES)))
+def leaves(column: str) -> Column:
+    """A struct of all leaves, named by their paths."""
+    fields = ", ".join(f"'{p.replace('.', '_')}', {leaf_sql('v', p)}" for p in LEAVES)
+    return F.expr(_let(column, "v", f"named_struct({fields})"))
 
 
-def last_names(paths=LEAVES) -> tuple[str, ...]:
-    return tuple(p.rpartition(".")[2] for p in paths)
+def equal_sql(g: str, p: str) -> str:
+    """Numbers by value, the rest by family and text; missing is null."""
+    return f"({g}.family = {p}.family AND {g}.number <=> {p}.number AND {g}.text <=> {p}.text)"

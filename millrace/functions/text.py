@@ -33,24 +33,40 @@ def has_mojibake(c: Column) -> Column:
     return c.rlike("|".join(MARKERS))
 
 
+def _repair_sql(c: str) -> str:
+    fixed = f"CASE WHEN {c} RLIKE '{'|'.join(MARKERS)}' AND NOT {c} RLIKE '[^\\\\x00-\\\\xFF]' THEN coalesce(try_validate_utf8(encode({c}, 'ISO-8859-1')), {c}) ELSE {c} END"
+    for old, new in REPLACEMENTS:
+        fixed = f"replace({fixed}, '{old}', '{new}')"
+    return f"CASE WHEN {c} RLIKE 'Â|â|Ã' THEN {fixed} ELSE {c} END"  # no marker nor replacement is without one of these
+
+
+def _fix_sql(c: str) -> str:
+    both = f"named_struct('text', trim(regexp_replace(f, '(?U)\\\\s+', ' ')), 'changed', f <> r)"
+    return f"get(transform(transform(array(coalesce(cast({c} as string), '')), r -> named_struct('r', r, 'f', {_repair_sql('r')})), p -> {both.replace('(f,', '(p.f,').replace('f <> r', 'p.f <> p.r')}), 0)"
+
+
+def repair_column(c: Column) -> Column:
+    """The same for a column or a lambda's variable."""
+    latin = ~c.rlike(r"[^\x00-\xFF]")
+    fixed = F.when(has_mojibake(c) & latin, F.coalesce(F.try_validate_utf8(F.encode(c, "ISO-8859-1")), c)).otherwise(c)
+    for old, new in REPLACEMENTS:
+        fixed = F.replace(fixed, F.lit(old), F.lit(new))
+    return F.when(c.rlike("Â|â|Ã"), fixed).otherwise(c)
+
+
 def repair(text: Column) -> Column:
     """Text that was UTF-8 read as Latin-1 is read again, if it can be; then the replacements."""
+    return let(text, repair_column)
 
-    def out(c):
-        latin = ~c.rlike(r"[^\x00-\xFF]")
-        again = F.try_validate_utf8(F.encode(c, "ISO-8859-1"))
-        fixed = F.when(has_mojibake(c) & latin, F.coalesce(again, c)).otherwise(c)
-        for old, new in REPLACEMENTS:
-            fixed = F.replace(fixed, F.lit(old), F.lit(new))
-        return F.when(c.rlike("Â|â|Ã"), fixed).otherwise(c)  # no marker nor replacement is without one of these
 
-    return let(text, out)
+def fix_all(columns: list[str]) -> Column:
+    """An array with struct(text, changed) of each column: changed tells of the repair, not of white space."""
+    return F.expr(f"transform(array({', '.join(f'cast({c} as string)' for c in columns)}), x -> {_fix_sql('x')})")
 
 
 def fix(c: Column) -> Column:
-    """struct(text, changed): changed tells of the repair, not of white space."""
-    both = lambda raw: let(repair(raw), lambda fixed: F.struct(collapse(fixed).alias("text"), (fixed != raw).alias("changed")))
-    return let(F.coalesce(c.cast("string"), F.lit("")), both)
+    """struct(text, changed) of one text."""
+    return let(c, lambda x: let(let(F.coalesce(x.cast("string"), F.lit("")), lambda r: F.struct(r.alias("r"), repair_column(r).alias("f"))), lambda p: F.struct(collapse(p["f"]).alias("text"), (p["f"] != p["r"]).alias("changed"))))
 
 
 def optional(c: Column) -> Column:
@@ -106,12 +122,11 @@ def clean_description(df, source: str, halves: bool = True):
     """Adds description, before_len, after_len, shrink_ratio, over_shrink, deduped. source: a fixed text."""
     df = df.withColumn("_before", collapse(F.col(source))).withColumn("_cut", sentence_dedup(F.col("_before")))
     df = df.withColumn("_cut", half_trim(F.col("_cut"))) if halves else df
-    df = df.withColumn("before_len", F.char_length("_before")).withColumn("_cut_len", F.char_length("_cut")).withColumn("over_shrink", shrink_guard(F.col("_before"), F.col("_cut")))
-    df = df.withColumn("description", F.when(F.col("over_shrink"), F.col("_before")).otherwise(F.col("_cut")))
-    df = df.withColumn("after_len", F.col("_cut_len"))
-    kept = F.when(F.col("over_shrink"), F.col("before_len")).otherwise(F.col("_cut_len"))
-    df = df.withColumn("shrink_ratio", F.when(F.col("before_len") > 0, F.round(kept / F.col("before_len"), 4)).otherwise(F.lit(1.0)))
-    return df.withColumn("deduped", F.col("description") != F.col("_before")).drop("_before", "_cut", "_cut_len")
+    df = df.withColumns({"before_len": F.char_length("_before"), "after_len": F.char_length("_cut"), "over_shrink": shrink_guard(F.col("_before"), F.col("_cut"))})
+    kept = F.when(F.col("over_shrink"), F.col("before_len")).otherwise(F.col("after_len"))
+    ratio = F.when(F.col("before_len") > 0, F.round(kept / F.col("before_len"), 4)).otherwise(F.lit(1.0))
+    text = F.when(F.col("over_shrink"), F.col("_before")).otherwise(F.col("_cut"))
+    return df.withColumns({"description": text, "shrink_ratio": ratio, "deduped": text != F.col("_before")}).drop("_before", "_cut")
 
 
 def head_preview(c: Column) -> Column:

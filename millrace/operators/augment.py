@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import collapse, let
 from .sanitize import ATTRIBUTES
 from .split import keep_first
 
@@ -50,12 +50,11 @@ def parse(rows: DataFrame) -> DataFrame:
     info = F.array_position(lines, "Product Information:")
     head = F.when(info > 0, F.slice(lines, F.lit(1), info.cast("int") - 1)).otherwise(lines)
     tail = F.when(info > 0, F.slice(lines, info.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    d = rows.withColumn("_head", head).withColumn("_tail", tail)
-    for b, h in zip(BLOCKS, HEADS):
-        d = d.withColumn(b, F.substr(_first_with(h), F.lit(len(h) + 1)))
+    d = rows.withColumns({"_head": head, "_tail": tail})
+    d = d.withColumns({b: F.substr(_first_with(h), F.lit(len(h) + 1)) for b, h in zip(BLOCKS, HEADS)})
     pair = lambda x: F.struct(F.trim(F.get(F.split(x, ":", 2), 0)).alias("k"), F.trim(F.get(F.split(x, ":", 2), 1)).alias("v"))
-    d = d.withColumn("info", F.transform(F.filter("_tail", lambda x: F.contains(x, F.lit(":"))), pair))
-    d = d.withColumn("label", defaults(F.from_json("output", LABEL_SCHEMA), F.try_parse_json("output"))).withColumn("blocks", F.array(*map(F.lit, BLOCKS)))
+    label = defaults(F.from_json("output", LABEL_SCHEMA), F.try_parse_json("output"))
+    d = d.withColumns({"info": F.transform(F.filter("_tail", lambda x: F.contains(x, F.lit(":"))), pair), "label": label, "blocks": F.array(*map(F.lit, BLOCKS))})
     return d.drop("_head", "_tail")
 
 
@@ -102,10 +101,9 @@ def rewrites(seed: int = 42) -> dict[str, tuple[Column, dict[str, Column]]]:
     parts = sentences(F.col("description"))
     half = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 2).cast("int"))), " ")
     kept = F.slice(info, F.lit(1), F.greatest(F.lit(3), F.floor(F.size(info) / 2).cast("int")))
-    gone = F.transform(F.array_except(F.transform(info, lambda x: x["k"]), F.transform(kept, lambda x: x["k"])), lambda k: k)
-    trimmed = label
-    for name, key in ATTRIBUTES:
-        trimmed = F.when(F.array_contains(gone, name), trimmed.withField(f"key_attributes.{key}", F.lit(None))).otherwise(trimmed)
+    gone = F.array_except(F.transform(info, lambda x: x["k"]), F.transform(kept, lambda x: x["k"]))
+    keys = sorted((key, name) for name, key in ATTRIBUTES)
+    trimmed = let(gone, lambda g: label.withField("key_attributes", F.struct(*(F.when(~F.array_contains(g, name), label["key_attributes"][key]).alias(key) for key, name in keys))))
     priced = F.transform(info, lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].rlike("Price|Tax"), F.replace(x["v"], F.lit("£"), F.lit("GBP "))).otherwise(x["v"]).alias("v")))
     yes = F.lit(True)
     return {

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
+from ..functions.text import let
 from ..schemas import LEAVES, NUMERIC_7
-from .evaluate import equal, name
+from .evaluate import name
 from .profile import nearest_rank, safe_rate
 from .split import first_per_group
 
@@ -20,35 +21,28 @@ def align(gold: DataFrame, pred: DataFrame, order: str = "pos") -> DataFrame:
     return gold.join(p, order)
 
 
-def tolerant(g: Column, p: Column) -> Column:
+def tolerant_sql(g: str, p: str) -> str:
     """Within the tolerance; two values that are no numbers are equal, one alone is not."""
-    a, b = g["number"], p["number"]
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(a - b) <= TOLERANCE)
+    return f"(CASE WHEN {g}.number IS NULL AND {p}.number IS NULL THEN true WHEN {g}.number IS NULL OR {p}.number IS NULL THEN false ELSE abs({g}.number - {p}.number) <= {TOLERANCE} END)"
 
 
 def analyze(rows: DataFrame, long_input: int = LONG_INPUT) -> DataFrame:
     """rows: pos, input, gold_text, pred_text, raw_response, parse_ok, schema_ok. Adds all but drops none."""
-    d = rows.withColumn("_g", J.as_object(F.col("gold_text"))).withColumn("_p0", J.as_object(F.col("pred_text")))
-    empty = F.to_json(F.col("_p0")) == "{}"
-    d = d.withColumn("_p", F.when(~empty, F.col("_p0"))).withColumn("_gl", J.leaves(F.col("_g"))).withColumn("_pl", J.leaves(F.col("_p")))
-    leaf = lambda side, p: F.col(f"{side}.{name(p)}")
-    same = {p: (tolerant if p in NUMERIC_7 else equal)(leaf("_gl", p), leaf("_pl", p)) for p in LEAVES}
-    wrong = F.array_compact(F.array(*(F.when(~same[p], F.lit(p)) for p in LEAVES)))
-    d = d.withColumn("gold_ok", F.col("_g").isNotNull())
+    d = rows.withColumns({"_g": J.as_object(F.col("gold_text")), "_p": let(J.as_object(F.col("pred_text")), lambda v: F.when(F.to_json(v) != "{}", v)), "parse_ok": F.coalesce("parse_ok", F.lit(False)), "schema_ok": F.coalesce("schema_ok", F.lit(False))})
+    d = d.withColumns({"_gl": J.leaves("_g"), "_pl": J.leaves("_p"), "gold_ok": F.col("_g").isNotNull()})
+    same = {p: (tolerant_sql if p in NUMERIC_7 else J.equal_sql)("_gl." + name(p), "_pl." + name(p)) for p in LEAVES}
+    d = d.withColumns({f"_same_{name(p)}": F.expr(same[p]) for p in LEAVES})
+    wrong = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN NOT _same_{name(p)} THEN '{p}' END" for p in LEAVES) + "))")
     d = d.withColumn("mismatch_fields", F.when(F.col("gold_ok"), wrong).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("parse_ok", F.coalesce("parse_ok", F.lit(False))).withColumn("schema_ok", F.coalesce("schema_ok", F.lit(False)))
     gold_category = F.coalesce(F.col("_gl.category.text"), F.lit(""))
     tags = F.array_compact(F.array(
         F.when(F.char_length("input") > long_input, "long_input"), F.when(F.col("input").rlike(r"[^\x00-\x7F]"), "has_non_ascii"), F.when(~F.col("parse_ok"), "parse_fail"),
         F.when(~F.col("schema_ok"), "schema_fail"), F.when(F.col("gold_ok") & (gold_category == ""), "missing_category"),
     ))
-    d = d.withColumn("bucket_tags", tags).withColumn("error_type", error_type())
-    for p in NUMERIC_7:
-        d = d.withColumn("error_" + name(p), F.when(F.col("gold_ok"), F.abs(leaf("_pl", p)["number"] - leaf("_gl", p)["number"])))
-    for p in LEAVES:
-        d = d.withColumn("same_" + name(p), F.col("gold_ok") & same[p])
-    d = d.withColumn("is_badcase", (F.size("mismatch_fields") > 0) | ~F.col("parse_ok") | ~F.col("schema_ok"))
-    return d.drop("_g", "_p0", "_p", "_gl", "_pl")
+    errors = {"error_" + name(p): F.expr(f"CASE WHEN gold_ok THEN abs(_pl.{name(p)}.number - _gl.{name(p)}.number) END") for p in NUMERIC_7}
+    flags = {"same_" + name(p): F.expr(f"gold_ok AND _same_{name(p)}") for p in LEAVES}
+    d = d.withColumns({"bucket_tags": tags, "error_type": error_type(), "is_badcase": (F.size("mismatch_fields") > 0) | ~F.col("parse_ok") | ~F.col("schema_ok"), **errors, **flags})
+    return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
 def error_type() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
@@ -14,20 +14,13 @@ def name(path: str) -> str:
     return path.replace(".", "_")
 
 
-def equal(g: Column, p: Column) -> Column:
-    """Numbers by value, the rest by family and text; missing is null."""
-    return (g["family"] == p["family"]) & g["number"].eqNullSafe(p["number"]) & g["text"].eqNullSafe(p["text"])
-
-
 def evaluate(rows: DataFrame, gold: str = "gold_text", raw: str = "raw_response") -> DataFrame:
     """idx, parse and schema outcomes, a match flag a leaf, absolute errors. Rows with unparsable gold are not evaluated."""
-    d = rows.withColumn("_g", J.as_object(F.col(gold))).filter("_g is not null").withColumn("_p", J.lenient_object(F.col(raw)))
-    d = d.withColumn("_bad", J.schema_error(F.col("_p"))).withColumn("parse_ok", F.col("_p").isNotNull())
-    d = d.withColumn("error_reason", F.coalesce(J.parse_error(F.col(raw), F.col("_p")), "_bad")).withColumn("schema_ok", F.col("parse_ok") & F.col("_bad").isNull())
-    d = d.withColumn("_gl", J.leaves(F.col("_g"))).withColumn("_pl", J.leaves(F.col("_p")))
-    leaf = lambda side, p: F.col(f"{side}.{name(p)}")
-    out = [F.coalesce(F.col("parse_ok") & equal(leaf("_gl", p), leaf("_pl", p)), F.lit(False)).alias("match_" + name(p)) for p in LEAVES]
-    out += [F.when(F.col("parse_ok"), F.abs(leaf("_pl", p)["number"] - leaf("_gl", p)["number"])).alias("error_" + name(p)) for p in NUMERIC_4]
+    d = rows.withColumns({"_g": J.as_object(F.col(gold)), "_p": J.lenient_object(F.col(raw))}).filter("_g is not null")
+    d = d.withColumns({"_bad": J.schema_error("_p"), "parse_ok": F.col("_p").isNotNull(), "_gl": J.leaves("_g"), "_pl": J.leaves("_p")})
+    d = d.withColumns({"error_reason": F.coalesce(J.parse_error(F.col(raw), F.col("_p")), "_bad"), "schema_ok": F.col("parse_ok") & F.col("_bad").isNull()})
+    out = [F.expr(f"coalesce(parse_ok AND {J.equal_sql('_gl.' + name(p), '_pl.' + name(p))}, false) AS match_{name(p)}") for p in LEAVES]
+    out += [F.expr(f"CASE WHEN parse_ok THEN abs(_pl.{name(p)}.number - _gl.{name(p)}.number) END AS error_{name(p)}") for p in NUMERIC_4]
     return d.select("idx", "parse_ok", "schema_ok", "error_reason", *out)
 
 

@@ -89,11 +89,11 @@ def predict(rows: DataFrame, make: Callable[[], Predictor], model: str, max_toke
     cols = rows.select("idx", "sample_id", "instruction", "input", "gold_text")
     raw = cols.mapInPandas(run, "idx long, sample_id string, instruction string, input string, gold_text string, raw_response string, request_error string")
     v = J.lenient_object(F.col("raw_response"))
-    d = raw.withColumn("_v", v)
+    d = raw.withColumn("_v", v).withColumn("_bad", J.schema_error("_v"))
     return d.select(
         "idx", "sample_id", F.lit(model).alias("model_name"), F.substring("input", 1, 500).alias("input"), F.substring("raw_response", 1, 2000).alias("raw_response"), F.to_json("_v").alias("parsed_json"),
-        F.col("_v").isNotNull().alias("parse_ok"), (F.col("_v").isNotNull() & J.schema_error(F.col("_v")).isNull()).alias("schema_ok"),
-        F.coalesce("request_error", J.parse_error(F.col("raw_response"), F.col("_v")), J.schema_error(F.col("_v"))).alias("error_reason"), "gold_text",
+        F.col("_v").isNotNull().alias("parse_ok"), (F.col("_v").isNotNull() & F.col("_bad").isNull()).alias("schema_ok"),
+        F.coalesce("request_error", J.parse_error(F.col("raw_response"), F.col("_v")), "_bad").alias("error_reason"), "gold_text",
     )
 
 

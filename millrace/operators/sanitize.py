@@ -38,28 +38,34 @@ def _count(*flags: Column) -> Column:
 
 def sanitize(products: DataFrame, strict: bool = True, drop_default: bool = False, halves: bool = True) -> DataFrame:
     """Every record with drop_reason (null if accepted), payload, input, output, fix counts, description metrics."""
-    d = products.select(
-        F.col("seq"), F.col("product_url").alias("raw_url"), F.coalesce("product_url", F.lit("None")).alias("product_url"), F.coalesce("raw_breadcrumb", F.array().cast("array<string>")).alias("raw_breadcrumb"),
-        X.fix(F.col("title")).alias("_title"), C.category(F.col("category")).alias("_category"), X.fix(F.col("category")).alias("_category_fix"),
-        X.fix(F.col("description")).alias("_description"), X.fix(F.col("availability_text")).alias("_availability"),
-        F.transform(F.coalesce("product_information", F.array().cast("array<struct<k:string,v:string>>")), lambda x: F.struct(X.fix(x["k"]).alias("k"), X.fix(x["v"]).alias("v"))).alias("_kv"),
-        C.parse_float(F.col("price")).alias("_price"), C.rating(F.col("rating"), F.col("raw_rating_text"), strict).alias("_rating"), X.fix(F.col("raw_rating_text")).alias("_rating_text"),
+    kv = F.coalesce("product_information", F.array().cast("array<struct<k:string,v:string>>"))
+    d = products.withColumns({"_fixed": X.fix_all(["title", "category", "description", "availability_text", "raw_rating_text"]), "_kv_texts": F.flatten(F.transform(kv, lambda x: F.array(x["k"], x["v"])))})
+    d = d.withColumn("_kv_fixed", F.expr(f"transform(_kv_texts, x -> {X._fix_sql('x')})"))
+    d = d.select(
+        F.col("seq"), F.coalesce("product_url", F.lit("None")).alias("product_url"), F.coalesce("raw_breadcrumb", F.array().cast("array<string>")).alias("raw_breadcrumb"),
+        *(F.get("_fixed", i).alias(c) for i, c in enumerate(("_title", "_category_fix", "_description", "_availability", "_rating_text"))),
+        F.expr("transform(filter(_kv_fixed, (x, i) -> i % 2 = 0), (x, i) -> named_struct('k', x, 'v', get(_kv_fixed, 2 * i + 1)))").alias("_kv"),
+        C.parse_float(F.col("price")).alias("_price"), C.rating(F.col("rating"), F.col("raw_rating_text"), strict).alias("_rating"),
         F.coalesce("in_stock", F.lit(False)).alias("in_stock"), C.parse_int(F.col("stock_count")).alias("stock_count"), F.struct(*[F.col(c) for c in ("title", "category", "description")]).alias("_raw"),
     )
+    d = d.withColumn("_category", X.let(F.nullif(F.col("_category_fix.text"), F.lit("")), lambda v: F.struct(F.when(v != C.DEFAULT_CATEGORY, v).alias("value"), F.coalesce(v == C.DEFAULT_CATEGORY, F.lit(False)).alias("is_default"))))
     d = d.withColumn("_text", F.col("_description.text"))
     d = X.clean_description(d, "_text", halves)
     d = d.withColumn("product_information", last_wins(F.transform("_kv", lambda x: F.struct(x["k"]["text"].alias("k"), x["v"]["text"].alias("v")))))
     label = {key: name for name, key in ATTRIBUTES}
-    for key in NUMERIC:
-        raw = lookup(F.col("product_information"), label[key])
-        d = d.withColumn(f"_has_{key}", F.coalesce(raw != "", F.lit(False)))
-        if key == "review_count":
-            f = X.fix(raw)
-            d = d.withColumn(f"_{key}", X.let(f, lambda f: F.struct(C.parse_int(f["text"]).alias("value"), F.lit(False).alias("stripped"), f["changed"].alias("changed"))))
-        else:
-            d = d.withColumn(f"_{key}", C.money(raw))
-    for key in ("availability_text", "product_type", "upc"):
-        d = d.withColumn(f"_{key}", X.fix(lookup(F.col("product_information"), label[key])))
+    names = (*NUMERIC, "availability_text", "product_type", "upc")
+    d = d.withColumn("_values", F.array(*(lookup(F.col("product_information"), label[key]) for key in names)))
+    d = d.withColumn("_values_fixed", F.expr(f"transform(_values, x -> {X._fix_sql('x')})"))
+    new = {}
+    for i, key in enumerate(names):
+        new[f"_{key}"] = F.get("_values_fixed", i)
+        if key in NUMERIC:
+            number = f"regexp_extract(replace(x.text, '£', ''), '-?[0-9]+{'' if key == 'review_count' else '(?:[.][0-9]+)?'}', 0)"
+            value = f"try_cast({number} AS INT)" if key == "review_count" else f"round(try_cast({number} AS DOUBLE), 2)"
+            stripped = "false" if key == "review_count" else "contains(x.text, '£')"
+            new[f"_{key}"] = F.expr(f"get(transform(array(get(_values_fixed, {i})), x -> named_struct('value', {value}, 'stripped', {stripped}, 'changed', x.changed)), 0)")
+            new[f"_has_{key}"] = F.coalesce(F.get("_values", i) != "", F.lit(False))
+    d = d.withColumns(new)
     # how far a numeric attribute is reached: in strict mode a failure ends the reading
     reached: list[Column] = []
     going = F.lit(True)
@@ -73,18 +79,17 @@ def sanitize(products: DataFrame, strict: bool = True, drop_default: bool = Fals
     passed_rating = passed_price & ~F.col("_rating.drop")
     passed_attributes = passed_rating & ~attributes_failed
 
-    d = d.withColumn("reached_description", passed_category)
     plain = lambda key: F.nullif(F.col(f"_{key}.text"), F.lit(""))
     number = lambda key: F.when(F.col(f"_has_{key}"), F.col(f"_{key}.value"))
     keys = F.struct(
         plain("availability_text").alias("availability_text"), number("price_excl_tax").alias("price_excl_tax"), number("price_incl_tax").alias("price_incl_tax"),
         plain("product_type").alias("product_type"), number("review_count").alias("review_count"), number("tax").alias("tax"), plain("upc").alias("upc"),
     )
-    d = (
-        d.withColumn("title", F.col("_title.text")).withColumn("category", F.col("_category.value")).withColumn("availability_text", F.col("_availability.text"))
-        .withColumn("price", F.round("_price", 2)).withColumn("currency", F.lit("GBP")).withColumn("rating", F.col("_rating.value")).withColumn("raw_rating_text", F.nullif(F.col("_rating_text.text"), F.lit(""))).withColumn("key_attributes", keys)
-    )
-    d = d.withColumn("payload", payload().cast(PAYLOAD)).withColumn("output", stable_json(F.col("payload"))).withColumn("input", model_input())
+    d = d.withColumns({
+        "title": F.col("_title.text"), "category": F.col("_category.value"), "availability_text": F.col("_availability.text"), "price": F.round("_price", 2), "currency": F.lit("GBP"),
+        "rating": F.col("_rating.value"), "raw_rating_text": F.nullif(F.col("_rating_text.text"), F.lit("")), "key_attributes": keys, "reached_description": passed_category,
+    })
+    d = d.withColumn("payload", payload().cast(PAYLOAD)).withColumns({"output": stable_json(F.col("payload")), "input": model_input()})
     reason = (
         F.when(~passed_category, "category_default_dropped").when(~passed_price, "price_parse_failed").when(~passed_rating, "rating_out_of_range")
         .when(~passed_attributes, "key_attr_parse_failed").when(F.try_parse_json("output").isNull(), "invalid_output_json").when(X.has_mojibake(F.col("output")), "mojibake_detected")
@@ -97,15 +102,14 @@ def sanitize(products: DataFrame, strict: bool = True, drop_default: bool = Fals
         + gate(passed_rating, _count(*(F.col(f"_{k}.changed") for k in ("availability_text", "product_type", "upc")), *(r & F.col(f"_{k}.changed") for r, k in zip(reached, NUMERIC))))
         + gate(passed_attributes, _count(F.col("_rating_text.changed")))
     )
-    d = d.withColumn("drop_reason", reason)
-    d = d.withColumn("mojibake_fixed", mojibake)
-    d = d.withColumn("currency_symbol_stripped", gate(passed_rating, _count(*(r & F.col(f"_{k}.stripped") for r, k in zip(reached, NUMERIC)))))
-    d = d.withColumn("category_default_to_null", F.col("_category.is_default").cast("int"))
-    d = d.withColumn("description_deduped", gate(passed_category, F.col("deduped").cast("int")))
-    d = d.withColumn("key_attr_numeric_cast", gate(passed_rating, _count(*(r & F.col(f"_{k}.value").isNotNull() for r, k in zip(reached, NUMERIC)))))
-    d = d.withColumn("rating_mismatch", passed_price & F.col("_rating.mismatch")).withColumn("rating_out_of_range", passed_price & F.col("_rating.out_of_range"))
     excerpt = F.concat_ws(" | ", *(F.when(F.col(f"_raw.{c}").isNull(), "None").when(F.col(f"_raw.{c}") != "", F.col(f"_raw.{c}")) for c in ("title", "category", "description")))
-    d = d.withColumn("excerpt", X.head_preview(excerpt)).withColumn("instruction", F.lit(INSTRUCTION))
+    d = d.withColumns({
+        "drop_reason": reason, "mojibake_fixed": mojibake, "category_default_to_null": F.col("_category.is_default").cast("int"), "description_deduped": gate(passed_category, F.col("deduped").cast("int")),
+        "currency_symbol_stripped": gate(passed_rating, _count(*(r & F.col(f"_{k}.stripped") for r, k in zip(reached, NUMERIC)))),
+        "key_attr_numeric_cast": gate(passed_rating, _count(*(r & F.col(f"_{k}.value").isNotNull() for r, k in zip(reached, NUMERIC)))),
+        "rating_mismatch": passed_price & F.col("_rating.mismatch"), "rating_out_of_range": passed_price & F.col("_rating.out_of_range"),
+        "excerpt": X.head_preview(excerpt), "instruction": F.lit(INSTRUCTION),
+    })
     return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 

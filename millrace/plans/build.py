@@ -38,7 +38,7 @@ def build(products: DataFrame, strict: bool = True, drop_default: bool = False,
         "total_read": read, "total_written": written, "dropped_count": read - written, "strict": strict, "category_missing_count": fixes["category_default_to_null"] or 0,
         "drop_reasons": {k: drops.get(k, 0) for k in DROP_REASONS}, "fixes_applied": {k: fixes[k] or 0 for k in FIXES}, "text_quality": one(P.text_quality(prepared)),
         "output_quality": {"stable_json_serialization_enabled": True, "schema_valid_rate": round(written / read, 4) if read else 0.0},
-        "label_quality": {"rating_distribution": {k: stats.pop(f"rating_{k}") for k in (1, 2, 3, 4, 5, "null")}, "rating_out_of_range_count": fixes["rating_out_of_range_count"] or 0, "rating_mismatch_count": fixes["rating_mismatch_count"] or 0},
+        "label_quality": {"rating_distribution": {str(k): stats.pop(f"rating_{k}") for k in (1, 2, 3, 4, 5, "null")}, "rating_out_of_range_count": fixes["rating_out_of_range_count"] or 0, "rating_mismatch_count": fixes["rating_mismatch_count"] or 0},
         "stats": stats | {"top_categories": {r["value"]: r["n"] for r in P.top_k(rows, "category").collect()}},
         "sample_badcases": [r.asDict() for r in S.drop_samples(prepared).collect()],
         "split_config": {"enabled": val_ratio > 0, "split_by": by, "val_ratio": val_ratio, "upc_samples_count": usage.get("upc", 0), "product_url_fallback_count": usage.get("product_url", 0)},
