@@ -174,7 +174,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares, w, names = Shares(totals), text_ids(tokenizer).dtype.itemsize, list(place)
-        rates = [t / n for t in totals]
+        rates = [t / max(1, n) for t in totals]
 
         def windows(b: int, held: list[list[tuple]]) -> pa.RecordBatch:
             first, last = shares.given(b * block_ids), shares.given(min(n, (b + 1) * block_ids))
