@@ -127,6 +127,8 @@ def _table() -> list[tuple[list[str], list[int]]]:
         ssn = f"{100 + 37 * i}-{10 + 7 * i}-{1000 + 811 * i}"
         rows += [
             out0("My name is") + name(p) + out0("and the work was done."),
+            out0("My name is") + name(p + ".") + out0("The work was done."),
+            out0("We met Mr.") + name(p + ",") + out0("and then the others."),
             out0("The letter was signed by " + ("Mr.", "Ms.", "Prof.")[i % 3]) + name(p) + out0("on the day."),
             out0("Dear Mrs.") + name(p) + out0("the order is on the way."),
             out0("We met Dr.") + name(p) + out0("in the hall."),
