@@ -33,25 +33,63 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"  # maximal runs: a shorter one holds no longer one
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+#: Matches of a text that are walked at a time.
+CHUNK = 512
 SPAN = "array<struct<start:int, rank:int, end:int, hash:bigint>>"
 
 
+def _fold(items: Column, zero: Column, step, kind: str) -> Column:
+    """What ``step(state, item) -> (state, array of what it gives)`` gives over an array, as ``kind``.
+
+    The array is evaluated once (a lambda would evaluate it for each item) and walked in chunks,
+    so that growing the output copies little: the cost is linear in practice.
+    """
+    none = F.array().cast(kind)
+
+    def chunk(all_items, acc, k):
+        def one(a, x):
+            state, given = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], given).alias("out"))
+
+        start = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return F.aggregate(F.slice(all_items, k * CHUNK + 1, CHUNK), start, one, lambda a: F.struct(a["state"].alias("state"), F.concat(acc["parts"], F.array(a["out"])).alias("parts")))
+
+    def walk(bound):
+        begin = F.struct(zero.alias("state"), F.array().cast(f"array<{kind}>").alias("parts"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(bound) - 1) / CHUNK).cast("int"))
+        found = F.aggregate(chunks, begin, lambda acc, k: chunk(bound, acc, k), lambda a: F.flatten(a["parts"]))
+        return F.when(F.size(bound) > 0, found).otherwise(none)
+
+    return F.get(F.transform(F.array(items), walk), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int) -> Column:
     """Matches as (start, rank, end, hash of the value); the value must have ``least`` characters."""
-    gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, value_group))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+
+    def step(at, x):
+        start = at + F.char_length(x["gap"])
+        end = start + F.coalesce(F.char_length(x["whole"]), F.lit(0))  # the last gap has no match behind it
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.xxhash64(x["value"]).alias("hash"))
+        return end, F.when(F.char_length(x["value"]) >= least, F.array(span)).otherwise(F.array().cast(SPAN))
+
+    return F.when(text.rlike(pattern), _fold(pieces, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
+
+
+def _free(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``: one pass for bases that start before, one for later ones."""
+    none = F.array().cast(SPAN)
+
+    def behind(reached, x):
+        return F.when(x["rank"] < 3, F.greatest(reached, x["end"])).otherwise(reached), F.when((x["rank"] < 3) | (reached <= x["start"]), F.array(x)).otherwise(none)
 
-    def step(acc, i):
-        start = acc["at"] + F.char_length(F.get(gaps, i))
-        end = start + F.get(sizes, i)
-        value = F.get(values, i)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.xxhash64(value).alias("hash"))
-        return F.struct(end.alias("at"), F.when(F.char_length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def ahead(least, x):
+        return F.when(x["rank"] < 3, x["start"]).otherwise(least), F.when((x["rank"] == 3) & (least >= x["end"]), F.array(x)).otherwise(none)
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), zero, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    kept = _fold(F.array_sort(F.concat(base, more)), F.lit(0), behind, SPAN)
+    kept = F.reverse(_fold(F.reverse(kept), F.lit(2**31 - 1), ahead, SPAN))
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(kept)
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
@@ -60,8 +98,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_co
     low = text.rlike("(?i:passw|secret|token|key)")
     base = F.concat(F.when(low, _spans(text, ASSIGN, 0, 2, 12)).otherwise(F.array().cast(SPAN)), _spans(text, ACCESS, 1, 0, 18), _spans(text, HEX, 2, 0, 16))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), base.alias("base"), _spans(text, CANDIDATE, 3, 0, 20).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return rows.select("doc", "mark", "owner", "repo", F.array_sort("base").alias("base"), free.alias("more"))
+    return rows.select("doc", "mark", "owner", "repo", F.array_sort("base").alias("base"), _free(F.col("base"), F.col("more")).alias("more"))
 
 
 def _text(spans: Column) -> Column:
