@@ -62,7 +62,9 @@ KNOWN = (
 )
 
 #: A copyright line starts so; (c) alone counts only before a year.
-COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\) *[0-9]|©|all rights reserved)"
+COPYRIGHT = r"^[^a-z0-9]*((portions )?copyright|\(c\) *(copyright|[0-9])|©|all rights reserved)"
+#: A line break before such words only wraps a sentence of the licence.
+WRAPPED = r"\n[^a-z0-9\n]*copyright (holder|owner|notice|licen[sc]e|law|statement)"
 
 
 def canonical(line: Column) -> Column:
@@ -75,7 +77,7 @@ def canonical(line: Column) -> Column:
 
 def canonical_text(text: Column) -> Column:
     """Copyright lines are dropped before the lines are joined."""
-    dropped = F.regexp_replace(F.lower(text), r"(?m)" + COPYRIGHT + r"[^\n]*$", " ")
+    dropped = F.regexp_replace(F.regexp_replace(F.lower(text), WRAPPED, " copyright $1"), r"(?m)" + COPYRIGHT + r"[^\n]*$", " ")
     return F.trim(canonical(dropped))
 
 
@@ -118,7 +120,7 @@ def _sql_known(known) -> str:
 
 
 def _sql_text(low: str) -> str:
-    return _sql_canonical(f"regexp_replace({low}, '(?m){COPYRIGHT}[^\\n]*$', ' ', 'g')")
+    return _sql_canonical(f"regexp_replace(regexp_replace({low}, '{WRAPPED}', ' copyright \\1', 'g'), '(?m){COPYRIGHT}[^\\n]*$', ' ', 'g')")
 
 
 SQL = f"""
