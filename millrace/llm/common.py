@@ -87,6 +87,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A key is hot if it has over this share of all rows, and this many at least: there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 1000
+
+
+def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined to ``side``, a row a key with the number of rows of that key in ``weight``.
+
+    The rows of hot keys meet a broadcast of at most 1 / HOT_SHARE keys where they lie, the others are
+    shuffled; so no key gathers its rows in one task, whatever its size.
+    """
+    heavy = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = side.filter(heavy).drop(weight)
+    here = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.filter(~heavy).drop(weight), on)
+    return here.unionByName(rest)
 
 
 def filter_rows(ws: Workspace, docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, filter_rows, partitions, table
+from .common import Workspace, filter_rows, join_by_weight, partitions, table
 
 BITS, SHARED = 4, 4
 LIST_ROWS, MANY = 8192, 1 << 25
@@ -220,8 +220,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     rows = ws.write(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("t")).mapInArrow(prints, "doc long, mark long, fp long"), "prints")
     # nulls last: a struct whose first field tells null ids apart
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark"))
-    nodes = ws.write(rows.groupBy("fp").agg(first.alias("first")), "nodes")
-    sets = triples() if nodes.count() <= many else list(combinations(range(8), SHARED))
+    nodes = ws.write(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    distinct, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    sets = triples() if distinct <= many else list(combinations(range(8), SHARED))
     byte = lambda p: F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255))
     key = lambda i, s: reduce(lambda x, p: x * 256 + byte(p), s, F.lit(i).cast("long"))
     lists = nodes.select("fp", F.explode(F.array(*(key(i, s) for i, s in enumerate(sets)))).alias("key"))
@@ -240,8 +241,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     member = member.join(nodes, "fp")
     tops = member.groupBy("top").agg(F.min("first").alias("lead"))
     led = ws.write(member.select("fp", "top").join(tops, "top").select("fp", "lead"), "led")
-    of = nodes.join(led, "fp", "left").select("fp", F.coalesce("lead", "first").alias("lead"))
-    return rows.join(of, "fp").select(
+    of = ws.write(nodes.join(led, "fp", "left").select("fp", "copies", F.coalesce("lead", "first").alias("lead")), "of")
+    return join_by_weight(rows, of, ["fp"], "copies", total).select(
         F.col("doc").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("lead.doc").alias("component_id"),
