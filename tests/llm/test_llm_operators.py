@@ -184,6 +184,19 @@ def test_secrets(spark, docs, empty, rows):
     assert secrets.find_secrets(spark, empty).count() == 0
 
 
+def test_secrets_many_in_one_text(spark):
+    """More matches than a chunk holds; candidates that a base span before, around or behind them meets."""
+    parts = [(f"{i:016x}", f"é Ab{i:05d}QzQzQzQzQzQzQzQz0", f"Q/Zz9{i:05d}-{i:020x}", f"token={i:04d}aaaaaaaaBBBBcccc1234", "😀")[i % 5] for i in range(4000)]
+    text = " ".join(parts)
+    d = spark.createDataFrame([(1, text, "en", "o1")], "doc_id long, text string, lang string, source string")
+    r = secrets.find_secrets(spark, d).first()
+    base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 12] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    more = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+    free = [x for x in more if not any(x[0] < e and b < x[2] for b, _, e in base)]
+    assert 0 < len(free) < len(more) and len(base) > 2 * secrets.CHUNK
+    assert r["spans"] == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(base + free))
+
+
 def test_quotes(spark):
     m = [(1, 0, "u", "hello world\nhow are you"), (1, 1, "a", "> Hello   World\n> how are you\nfine"), (1, 2, "u", ">> how are you\n> fine\nOn x, y wrote:\n> fine\nok"), (2, 0, "u", "> hello world\n> how are you\ncopied"), (2, 1, "a", None), (None, 3, "u", "> nothing"), (1, 2, "u", "repeated")]
     d = spark.createDataFrame([(*r, "x", 1) for r in m], "conv_id long, turn long, role string, text string, body string, rid int")
@@ -353,3 +366,24 @@ def test_licenses(spark, docs, empty, rows):
     assert got[300]["license"] == "MIT-0" and got[301]["license"] is None and (got[301]["n_notices"], got[301]["notices"]) == (2, "CC-BY-NC-4.0,MIT")
     assert got[302]["license"] is None and got[0]["n_notices"] == 0
     assert licenses.scan(spark, empty).count() == 0
+
+
+def test_license_lines_that_begin_with_copyright(spark):
+    """A wrapped sentence stays; lines that state a copyright go."""
+    bsd = dict(licenses.KNOWN)["BSD-2-Clause"].replace("BY THE COPYRIGHT HOLDERS", "BY THE\n * COPYRIGHT HOLDERS").replace("the above copyright notice", "the above\n * copyright notice")
+    heads = ["", "Copyright 2020 A\n", "(c) Copyright 2020 A\nAll rights reserved.\n", "/* Portions Copyright A\n © B */\n"]
+    d = spark.createDataFrame([(i, h + bsd) for i, h in enumerate(heads)], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(spark, d).orderBy("doc_id").collect()] == ["BSD-2-Clause"] * 4
+
+
+def test_simhash_one_hot_fingerprint(spark):
+    """Over HOT_ROWS copies, whose rows meet a broadcast, beside rows that are shuffled."""
+    from millrace.llm.common import HOT_ROWS
+
+    texts = [BASE] * (HOT_ROWS + 200) + [f"{BASE} {i}" for i in range(30)] + [f"other {i * 7919} text {i * 104729} here {i} now" for i in range(30)] + [None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.near_dedup(spark, d).collect()}
+    comp, first = brute_components({brute_fingerprint(t) for t in texts}), {}
+    for i, t in enumerate(texts):
+        first.setdefault(comp[brute_fingerprint(t)], i)
+    assert len(got) == len(texts) and all(got[i]["component_id"] == first[comp[brute_fingerprint(t)]] for i, t in enumerate(texts))
