@@ -1,15 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and benchmark items are lower-cased and every run of other characters than letters and
-digits becomes a blank. An item is cut into windows of about ``WINDOW`` characters (UTF-8
-bytes) that overlap by half, each with an edit budget k of ``RATE`` of its length.
+digits, of any script, becomes a blank. An item is cut into windows of ``WINDOW`` characters
+(UTF-8 bytes), at most ``STRIDE`` apart and the last at its end, each with an edit budget k of
+``RATE`` of its length; an item of up to ``WINDOW`` is one window, its k as large as the bound
+below allows. So a verbatim passage of WINDOW + STRIDE - 1 bytes of any item is found.
 
 An occurrence of a window of w characters with at most k edits shares at least
 w - q + 1 - k * q of the window's q-grams with the text, on diagonals that differ by at most
 k. Shared q-grams of (item, text) are counted in two overlapping sets of bands of 2k
 diagonals, so every such run of diagonals lies whole in one band; windows that reach the
-bound are verified by alignment within the band, with free ends in the text. A document is
-contaminated by an item if verified windows are at least ``COVER`` of the item's.
+bound are verified by alignment about the band, with free ends in the text. A document is
+contaminated by an item if any of its windows verifies, and they are at least ``cover`` of the
+item's (``COVER``: no least share).
 
 The benchmark is collected and sent to the tasks in slices of at most ``INDEX_BYTES``, each
 with a pass of its own over the documents: a benchmark of any size fits.
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
-Q, WINDOW, RATE, COVER, SHORTEST, INDEX_BYTES = 10, 100, 0.06, 0.5, 20, 8 << 20
+Q, WINDOW, STRIDE, RATE, COVER, SHORTEST, INDEX_BYTES = 8, 60, 10, 0.1, 0.0, 20, 8 << 20
+#: Beyond ASCII, what is no letter or digit; ``_KEEP`` does the rest.
+_MARK = re.compile(r"[^\w\x00-\x7f]+")
 _KEEP = np.full(256, 32, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789\x00":
     _KEEP[_c] = _c
@@ -42,7 +47,8 @@ _MAP_BITS = 22
 
 def normalise(text: str) -> np.ndarray:
     """Bytes of a text, or of several with NUL between them; runs of blanks are one."""
-    data = _KEEP[np.frombuffer(text.lower().encode(), np.uint8)]
+    text = text.lower()
+    data = _KEEP[np.frombuffer((text if text.isascii() else _MARK.sub(" ", text)).encode(), np.uint8)]
     blank = data == 32
     keep = np.ones(len(data), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
@@ -61,7 +67,7 @@ def codes(data: np.ndarray) -> np.ndarray:
 
 class Index:
     def __init__(self, items: list[str]):
-        parts, self.windows, self.need, at = [], [], [], 0
+        parts, begin, last, edits, self.count, at = [], [], [], [], [], 0
         self.start, owner = [], []
         for i, text in enumerate(items):
             data = normalise(re.sub("\x00", " ", text or ""))
@@ -69,29 +75,31 @@ class Index:
             data = data[:-1] if len(data) and data[-1] == 32 else data
             size = len(data)
             self.start.append(at)
-            ws = []
-            if size >= SHORTEST:
-                w = size if size <= 1.2 * WINDOW else WINDOW
-                steps = max(1, round((size - w) / (w / 2)) + 1) if size > w else 1
-                for s in range(steps):
-                    a = round(s * (size - w) / max(1, steps - 1))
-                    k = int(w * RATE)
-                    ws.append((a, a + w, k, w - Q + 1 - k * Q))
-            self.windows.append(ws)
-            self.need.append(min((x[3] for x in ws), default=1 << 30))
+            w = min(size, WINDOW)
+            own = np.append(np.arange(0, size - w, STRIDE), size - w) if size >= SHORTEST else np.zeros(0, np.int64)
+            begin.append(own)
+            last.append(own + w - Q)
+            edits.append(np.full(len(own), min(int(w * RATE), (w - Q) // Q)))
+            self.count.append(len(own))
             parts.append(data)
             owner.append(np.full(size, i, np.int32))
             at += size
-        self.band = 2 * max([1, *(x[2] for ws in self.windows for x in ws)])
+        none = np.zeros(0, np.int64)
+        # by window: place of the first and of the last q-gram in the item, edits, least number of shared q-grams
+        self.begin, self.last, self.edits = (np.concatenate([*x, none]) for x in (begin, last, edits))
+        self.least = self.last - self.begin + 1 - self.edits * Q
+        self.first_window = np.cumsum([0, *self.count])
+        self.need = np.array([self.least[a : a + n].min() if n else 1 << 30 for a, n in zip(self.first_window, self.count)], np.int64)
+        self.band = 2 * int(max(1, self.edits.max(initial=1)))
         self.data = np.concatenate([*parts, np.zeros(0, np.uint8)])
         self.owner = np.concatenate([*owner, np.zeros(0, np.int32)])
-        self.start, self.need = np.array([*self.start, at]), np.array(self.need, np.int64)
+        self.start, self.count = np.array([*self.start, at]), np.array(self.count, np.int64)
         places, grams = [], []
-        for a, part, ws in zip(self.start, parts, self.windows):
-            c = codes(part) if ws else np.zeros(0, np.uint64)
+        for a, part, n in zip(self.start, parts, self.count):
+            c = codes(part) if n else np.zeros(0, np.uint64)
             grams.append(c)
             places.append(a + np.arange(len(c)))
-        grams, places = np.concatenate([*grams, np.zeros(0, np.uint64)]), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+        grams, places = np.concatenate([*grams, np.zeros(0, np.uint64)]), np.concatenate([*places, none]).astype(np.int64)
         order = np.argsort(grams, kind="stable")
         self.places = places[order]
         self.grams, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
@@ -121,56 +129,72 @@ class Index:
         item, diagonal = self.owner[place].astype(np.int64), at - place + len(self.data)
         ends = np.flatnonzero(data == 0)
         starts = np.append(0, ends + 1)
-        todo = []
-        for shift in (0, self.band // 2):
-            band = (diagonal + shift) // self.band
-            key = item * (int(band.max()) + 1) + band
-            order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-            size = np.diff(np.append(new, len(key)))
-            enough = np.flatnonzero(size >= self.need[item[order[new]]])
-            for g in enough.tolist():
-                hits = order[new[g] : new[g] + size[g]]
-                i = int(item[hits[0]])
-                low = int(band[hits[0]]) * self.band - shift - len(self.data)
-                where, doc = place[hits] - self.start[i], np.searchsorted(ends, at[hits])
-                for d in np.unique(doc).tolist():
-                    own = where[doc == d]
-                    for w, (a, b, k, need) in enumerate(self.windows[i]):
-                        if np.count_nonzero((own >= a) & (own <= b - Q)) >= need:
-                            todo.append((d, i, w, int(self.start[i]) + a, b - a, k, low))
-        if not todo:
-            return []
+        doc, local = np.searchsorted(ends, at), place - self.start[item]
         limits = np.append(ends, len(data))
         found: dict[tuple[int, int], set] = {}
-        for a in range(0, len(todo), 1024):
-            some = todo[a : a + 1024]
-            for (d, i, w, *_), good in zip(some, self._align(data, starts, limits, some)):
-                if good:
-                    found.setdefault((d, i), set()).add(w)
+        for shift in (0, self.band // 2):
+            for d, i, w, low in self._candidates(item, doc, local, diagonal + shift, shift):
+                good = self._occurs(data, starts[d], limits[d], w, self.start[i] + self.begin[w] + low)
+                for x, y, z in zip(d[good].tolist(), i[good].tolist(), w[good].tolist()):
+                    found.setdefault((x, y), set()).add(z)
         return [(d, i, len(ws)) for (d, i), ws in found.items()]
 
-    def _align(self, data: np.ndarray, starts: np.ndarray, limits: np.ndarray, todo: list[tuple]) -> np.ndarray:
-        """Whether each window occurs within its band and edit budget."""
-        doc, _, _, place, size, k, low = (np.array(x, np.int64) for x in zip(*todo))
+    def _candidates(self, item: np.ndarray, doc: np.ndarray, local: np.ndarray, diagonal: np.ndarray, shift: int) -> Iterator[tuple]:
+        """(document, item, window, lowest diagonal) of windows that reach their bound in a band, in chunks."""
+        band = diagonal // self.band
+        key = item * (int(band.max()) + 1) + band
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        size = np.diff(np.append(new, len(key)))
+        enough = size >= self.need[item[order[new]]]
+        hits = order[np.repeat(enough, size)]
+        hits = hits[np.lexsort((local[hits], doc[hits], key[hits]))]
+        if not len(hits):
+            return
+        # distinct places of the item, by band and document
+        group = np.append(True, (np.diff(key[hits]) != 0) | (np.diff(doc[hits]) != 0))
+        fresh = group | np.append(True, np.diff(local[hits]) != 0)
+        head = hits[group]
+        wide = int(np.diff(self.start).max()) + 1
+        spots = ((np.cumsum(group) - 1) * wide + local[hits])[fresh]
+        size = np.bincount((np.cumsum(group) - 1)[fresh])
+        picked = np.flatnonzero(size >= self.need[item[head]])
+        for a in range(0, len(picked), 4096):
+            g = picked[a : a + 4096]
+            i = item[head[g]]
+            n = self.count[i]
+            g, i, w = np.repeat(g, n), np.repeat(i, n), np.repeat(self.first_window[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.searchsorted(spots, g * wide + self.last[w], "right") - np.searchsorted(spots, g * wide + self.begin[w])
+            good = shared >= self.least[w]
+            g, i, w = g[good], i[good], w[good]
+            low = band[head[g]] * self.band - shift - len(self.data)
+            for b in range(0, len(g), 4096):
+                c = slice(b, b + 4096)
+                yield doc[head[g[c]]], i[c], w[c], low[c]
+
+    def _occurs(self, data: np.ndarray, starts: np.ndarray, limits: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Whether each window is within its edits of a part of the text about its band, by bit-parallel alignment."""
+        k, size, n = self.edits[w], self.last[w] - self.begin[w] + Q, len(w)
+        place, rows, one = self.start[np.searchsorted(self.first_window, w, "right") - 1] + self.begin[w], np.arange(n), np.uint64(1)
+        same = np.zeros((n, 256), np.uint64)  # by byte: the places of the window that hold it
+        for row in range(int(size.max())):
+            on = rows[size > row]
+            same[on, self.data[place[on] + row]] |= one << np.uint64(row)
+        plus, minus = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+        top, score, best = (size - 1).astype(np.uint64), size.copy(), size.copy()
         reach = int(k.max())
-        width = self.band + 2 * reach
-        base = place + low - reach  # text place of column 0 before any character of the window
-        cols = np.arange(width)
-        best = np.zeros((len(todo), width), np.int64)
-        out = np.full(len(todo), 1 << 30, np.int64)
-        for row in range(1, int(size.max()) + 1):
-            spot = base[:, None] + row - 1 + cols
-            inside = (spot >= starts[doc][:, None]) & (spot < limits[doc][:, None])
-            text = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], 0)
-            sign = self.data[np.minimum(place + row - 1, len(self.data) - 1)]
-            step = best + (text != sign[:, None])
-            step[:, :-1] = np.minimum(step[:, :-1], best[:, 1:] + 1)
-            best = np.minimum.accumulate(step - cols, axis=1) + cols
-            done = size == row
-            if done.any():
-                out[done] = best[done].min(1)
-        return out <= k
+        for col in range(-reach, int(size.max()) + self.band + reach):
+            spot = base + col
+            text = np.where((spot >= starts) & (spot < limits), data[np.clip(spot, 0, len(data) - 1)], 0)
+            eq = same[rows, text]
+            cross = eq | minus
+            flat = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(flat | plus), plus & flat
+            score += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+            best = np.minimum(best, score)
+            up, down = up << one, down << one  # the first row is zero: an occurrence may begin anywhere
+            plus, minus = down | ~(cross | up), up & cross
+        return best <= k
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -189,7 +213,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
                     if held > 2 << 20 or b + 1 == len(rows):
                         found += [(a + r, i, n) for r, i, n in index.find(rows[a : b + 1])]
                         a, held = b + 1, 0
-                hits = [(docs_[r], marks[r], ids[i], len(index.windows[i]), n, n / len(index.windows[i])) for r, i, n in found]
+                hits = [(docs_[r], marks[r], ids[i], int(index.count[i]), n, n / int(index.count[i])) for r, i, n in found]
                 hits = [h for h in hits if h[5] >= cover]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits) if hits else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "mark", "item_id", "windows", "verified", "cover"])
 
