@@ -4,6 +4,11 @@ A text is canonical after: lower case; copyright lines dropped; equivalent spell
 every run of other characters than letters and digits made one blank; outer blanks cut. Its
 SHA-256 is hash-joined to the digests of known licence texts, canonical by the same rule.
 
+There are two forms. The first, whose digest is returned and which the SQL has, blanks ASCII
+alone and keeps all other characters. In the second, dashes of any kind are hyphens and all that
+is no Unicode letter or digit is blanked: typographic quotes, dashes, bullets, no-break spaces.
+A text, or line, that is not known in the first form is looked up in the second.
+
 ``scan`` compares entire texts. Its further columns count the lines of each text that are, on
 their own, a known licence notice, as prose often carries one.
 
@@ -67,24 +72,38 @@ COPYRIGHT = r"^[^a-z0-9]*((portions )?copyright|\(c\) *(copyright|[0-9])|©|all
 WRAPPED = r"\n[^a-z0-9\n]*copyright (holder|owner|notice|licen[sc]e|law|statement)"
 
 
-def canonical(line: Column) -> Column:
+#: What the second form treats otherwise than the first; dashes, and what is not seen at all.
+MARKS = r"[^\x00-\x7f\p{L}\p{N}]"
+DASHES, UNSEEN = r"[\p{Pd}\x{2212}]", r"[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]"
+
+
+def canonical(line: Column, marks: bool = False) -> Column:
     """One line, or a text without line breaks, in canonical form but for outer blanks."""
     c = F.lower(line)
+    if marks:
+        c = F.regexp_replace(F.regexp_replace(c, UNSEEN, ""), DASHES, "-")
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.regexp_replace(c, r"[^a-z0-9\x{80}-\x{10ffff}]+", " ")
+    return F.regexp_replace(c, r"[^\p{L}\p{N}]+" if marks else r"[^a-z0-9\x{80}-\x{10ffff}]+", " ")
 
 
-def canonical_text(text: Column) -> Column:
+def canonical_text(text: Column, marks: bool = False) -> Column:
     """Copyright lines are dropped before the lines are joined."""
     dropped = F.regexp_replace(F.regexp_replace(F.lower(text), WRAPPED, " copyright $1"), r"(?m)" + COPYRIGHT + r"[^\n]*$", " ")
-    return F.trim(canonical(dropped))
+    return F.trim(canonical(dropped, marks))
+
+
+def _digest(x: Column, form, marks: bool = False) -> Column:
+    """SHA-256 of a canonical form; the second is that of the first where there is nothing to blank."""
+    first = F.sha2(F.trim(form(x)), 256)
+    return F.when(x.rlike(MARKS), F.sha2(F.trim(form(x, True)), 256)).otherwise(first) if marks else first
 
 
 def digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license): a row for each distinct canonical text."""
+    """(digest, license): a row for each distinct canonical text, of either form."""
     rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(F.sha2(canonical_text(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    both = F.array_distinct(F.array(*(_digest(F.col("text"), canonical_text, m) for m in (False, True))))
+    return rows.select(F.explode(both).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,10 +117,12 @@ def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, i
     lookup = F.create_map(*(F.lit(x) for kv in sorted(notices.items()) for x in kv))
     text = F.coalesce(F.col(text_col), F.lit(""))
     line = F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
-    found = F.filter(F.transform(line, lambda x: F.try_element_at(lookup, F.sha2(F.trim(canonical(x)), 256))), lambda x: x.isNotNull())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical_text(text), 256).alias("digest"), F.when(text.rlike("(?i)licen[sc]e"), found).alias("found"))
+    found = F.filter(F.transform(line, lambda x: F.coalesce(*(F.try_element_at(lookup, _digest(x, canonical, m)) for m in (False, True)))), lambda x: x.isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text, canonical_text).alias("digest"), F.when(text.rlike(MARKS), F.sha2(canonical_text(text, True), 256)).alias("second"), F.when(text.rlike("(?i)licen[sc]e"), found).alias("found"))
     of = known.select(F.col("digest").alias("__digest"), F.col("license"))
-    return rows.join(of, F.col("digest") == F.col("__digest"), "left").select("doc_id", "digest", "license", F.coalesce(F.size("found"), F.lit(0)).alias("n_notices"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("found")), ","), F.lit("")).alias("notices"))
+    also = known.select(F.col("digest").alias("__second"), F.col("license").alias("__license"))
+    rows = rows.join(of, F.col("digest") == F.col("__digest"), "left").join(also, F.coalesce("second", "digest") == F.col("__second"), "left")
+    return rows.select("doc_id", "digest", F.coalesce("license", "__license").alias("license"), F.coalesce(F.size("found"), F.lit(0)).alias("n_notices"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("found")), ","), F.lit("")).alias("notices"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, licenses
 
 WORDS = "amber brick cloud drift ember flint grove haven inlet joker knoll lemon mango noble ocean pearl quilt raven slate tulip umbra vivid wheat xenon yacht zebra".split()
 
@@ -47,3 +47,16 @@ def test_decontamination_alignment_like_brute_force():
             t[p] = ("", "z", t[p] + "z")[k % 3]
         texts.append(f"qqq {''.join(t)} vvv")
     assert {r for r, _, _ in index.find(texts)} == {r for r, t in enumerate(texts) if distance(item, t) <= 6}
+
+
+def typographic(text):
+    return "\ufeff" + text.replace(' "', " \u201c").replace('"', "\u201d").replace(", ", ",\u00a0").replace("1. ", "\u2022 1. ").replace("-", "\u2011").replace(" AND ", " AND\u2003")
+
+
+def test_licenses_with_typographic_marks(spark):
+    texts = [t for k, t in licenses.KNOWN if k in ("MIT", "BSD-2-Clause", "BSD-3-Clause") and len(t) > 500]
+    rows = [typographic("Copyright (c) 2020 A\n" + t.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")) for t in texts] + ["\u2022 Released under the MIT\u00a0licence \u2014", "\u201cprose\u201d \u00fcber"]
+    assert all('"' not in x and "\u201c" in x for x in rows[:-2])
+    got = licenses.scan(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["MIT"] * 3 + ["BSD-2-Clause", "BSD-3-Clause", "MIT", None]
+    assert [r["n_notices"] for r in got][-2:] == [1, 0]
