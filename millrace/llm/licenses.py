@@ -9,6 +9,10 @@ alone and keeps all other characters. In the second, dashes of any kind are hyph
 is no Unicode letter or digit is blanked: typographic quotes, dashes, bullets, no-break spaces.
 A text, or line, that is not known in the first form is looked up in the second.
 
+The known texts are ``KNOWN`` (all that the SQL has), ``variants`` of title lines and item marks,
+and the digests in license_digests.tsv beside this file, of texts too long to be repeated here.
+What is in none of them (AGPL, EPL and many more) is not found; ``known`` takes a longer list.
+
 ``scan`` compares entire texts. Its further columns count the lines of each text that are, on
 their own, a known licence notice, as prose often carries one.
 
@@ -19,6 +23,9 @@ that repeat are each reported; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +73,28 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
+#: Digests of long texts: SPDX id, digest, source.
+LISTED = Path(__file__).with_name("license_digests.tsv")
+
+
+def variants() -> list[tuple[str, str]]:
+    """Texts of ``KNOWN`` under their usual title lines, those of BSD also with bullets for numbers."""
+    bsd = (_BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_WARRANTY)
+    titles = {
+        "MIT": ("The MIT License", "MIT License (MIT)", "Expat License", "License: MIT", "The MIT License (MIT) (http://opensource.org/licenses/MIT)"),
+        "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0"),
+        "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"),
+        "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
+        "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+        "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    }
+    texts = {"MIT": [KNOWN[0][1]], **{k: [t] for k, t in KNOWN if k in titles and k != "MIT" and len(t) > 500}}
+    texts["ISC"].append(texts["ISC"][0].replace("and/or distribute", "and distribute"))
+    for k, lines in (("BSD-2-Clause", bsd[:3] + bsd[4:]), ("BSD-3-Clause", bsd)):
+        texts[k].append("\n".join(x[3:] if x[0].isdigit() else x for x in lines))
+    return [(k, f"{title}\n{t}") for k, ts in texts.items() for title, t in product(("", *titles[k]), ts)]
+
+
 #: A copyright line starts so; (c) alone counts only before a year.
 COPYRIGHT = r"^[^a-z0-9]*((portions )?copyright|\(c\) *(copyright|[0-9])|©|all rights reserved)"
 #: A line break before such words only wraps a sentence of the licence.
@@ -106,13 +135,20 @@ def digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.select(F.explode(both).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def all_digests(spark: SparkSession) -> DataFrame:
+    """``digests`` of every text that comes with this module."""
+    listed = [tuple(x.split("\t")[1::-1]) for x in LISTED.read_text().splitlines() if x[0] != "#"]
+    both = digests(spark, [*KNOWN, *variants()]).unionByName(spark.createDataFrame(listed, "digest string, license string"))
+    return both.groupBy("digest").agg(F.min("license").alias("license"))
+
+
 def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license (of the entire text), n_notices, notices (ids, sorted, distinct).
 
     known: (digest, license). The join to it is by hash; it is broadcast if the optimizer finds
     it small. Notice lines are looked up in the built-in list, a literal map.
     """
-    known = digests(spark) if known is None else known
+    known = all_digests(spark) if known is None else known
     notices = {r["digest"]: r["license"] for r in digests(spark, [k for k in KNOWN if "\n" not in k[1] and len(k[1]) < 120]).collect()}  # a dozen rows
     lookup = F.create_map(*(F.lit(x) for kv in sorted(notices.items()) for x in kv))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from millrace.llm import decontaminate, licenses
 
@@ -60,3 +63,21 @@ def test_licenses_with_typographic_marks(spark):
     got = licenses.scan(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["license"] for r in got] == ["MIT"] * 3 + ["BSD-2-Clause", "BSD-3-Clause", "MIT", None]
     assert [r["n_notices"] for r in got][-2:] == [1, 0]
+
+
+def test_licenses_under_their_titles(spark):
+    by = {k: t for k, t in licenses.KNOWN if len(t) > 500}
+    bullets = by["BSD-3-Clause"].replace("\n1.", "\n  *").replace("\n2.", "\n  *").replace("\n3.", "\n  *")
+    rows = [(k, f"{title}\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n{by[k]}") for k, title in (("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"))] + [("BSD-3-Clause", bullets)]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(spark, d).orderBy("doc_id").collect()] == [k for k, _ in rows]
+
+
+FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/MPL-2.0").is_file(), reason="no licence texts")
+def test_licenses_of_full_length(spark):
+    texts = [Path("/usr/share/common-licenses", f).read_text() for f in FULL]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(spark, d).orderBy("doc_id").collect()] == list(FULL.values())
