@@ -3,10 +3,11 @@ r"""Secret scans with corpus-wide ownership frequency, by DataFrame functions on
 Base spans (leftmost, non-overlapping per kind; matches that fail their length test are
 dropped and the search goes on behind them): assign, access, hex.
 
-The method adds spans of kind ``owned``: candidate tokens (20 or more characters of a
-credential's alphabet with digits and letters in both cases) outside the base spans, whose
-hash occurs with a single owner in the whole corpus and in at most ``max_repos`` of its
-repositories. A value copied by several owners is an example. Base candidates are judged by
+The method adds spans of kind ``owned``: candidate tokens outside the base spans, whose hash
+occurs with a single owner in the whole corpus, in however many of its repositories (unless
+``max_repos`` is given). A value copied by several owners is an example. Candidates have 20 or
+more characters of a credential's alphabet: with digits and letters in both cases, or in one
+case, with a run of 16 letters and digits that has both and ``ENTROPY`` bits a character at least. Base candidates are judged by
 the same counts, in n_live and n_example, and stay as spans either way.
 
 Hashes are first reduced to distinct (hash, owner, repository) and then counted in two steps,
@@ -32,6 +33,9 @@ from .common import Workspace, table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"  # maximal runs: a shorter one holds no longer one
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
+# Letters of one case; the run tells tokens from words that are joined by hyphens or slashes.
+SINGLE = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join(rf"(?=[{c}0-9+/_-]*?(?<![{c}0-9])(?=[{c}]*[0-9])(?=[0-9]*[{c}])[{c}0-9]{{16}})[{c}0-9+/_-]{{20,}}+" for c in ("A-Z", "a-z")) + r")(?![A-Za-z0-9+/_-])"
+ENTROPY = 3.0
 KINDS = ("assign", "access", "hex", "owned")
 #: Matches of a text that are walked at a time.
 CHUNK = 512
@@ -63,8 +67,16 @@ def _fold(items: Column, zero: Column, step, kind: str) -> Column:
     return F.get(F.transform(F.array(items), walk), F.lit(0))
 
 
-def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int) -> Column:
-    """Matches as (start, rank, end, hash of the value); the value must have ``least`` characters."""
+def _entropy(value: Column) -> Column:
+    """Bits a character of a value by its own characters' shares."""
+    n = F.char_length(value)
+    share = lambda c: (n - F.char_length(F.replace(value, c, F.lit("")))) / n
+    chars = F.filter(F.array_distinct(F.split(value, "")), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0.0), lambda bits, c: bits - share(c) * F.log2(share(c)))
+
+
+def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int, bits: float = 0) -> Column:
+    """Matches as (start, rank, end, hash of the value); the value must have ``least`` characters and ``bits``."""
     whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, value_group))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
@@ -72,7 +84,8 @@ def _spans(text: Column, pattern: str, rank: int, value_group: int, least: int)
         start = at + F.char_length(x["gap"])
         end = start + F.coalesce(F.char_length(x["whole"]), F.lit(0))  # the last gap has no match behind it
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.xxhash64(x["value"]).alias("hash"))
-        return end, F.when(F.char_length(x["value"]) >= least, F.array(span)).otherwise(F.array().cast(SPAN))
+        good = F.char_length(x["value"]) >= least
+        return end, F.when(good & (_entropy(x["value"]) >= bits) if bits else good, F.array(span)).otherwise(F.array().cast(SPAN))
 
     return F.when(text.rlike(pattern), _fold(pieces, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
@@ -97,7 +110,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = text.rlike("(?i:passw|secret|token|key)")
     base = F.concat(F.when(low, _spans(text, ASSIGN, 0, 2, 12)).otherwise(F.array().cast(SPAN)), _spans(text, ACCESS, 1, 0, 18), _spans(text, HEX, 2, 0, 16))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), base.alias("base"), _spans(text, CANDIDATE, 3, 0, 20).alias("more"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), base.alias("base"), F.concat(_spans(text, CANDIDATE, 3, 0, 20), _spans(text, SINGLE, 3, 0, 20, ENTROPY)).alias("more"))
     return rows.select("doc", "mark", "owner", "repo", F.array_sort("base").alias("base"), _free(F.col("base"), F.col("more")).alias("more"))
 
 
@@ -106,7 +119,7 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
 
 
-def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_repos: int = 2) -> DataFrame:
+def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_repos: int | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example."""
     ws = Workspace(spark, "secrets")
     rows = ws.write(extract(docs, id_col, text_col, owner_col, repo_cols), "spans")
@@ -114,7 +127,9 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     repos = use.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     owners = repos.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     counts = ws.write(owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("uses")), "frequency")
-    live = (F.col("owners") == 1) & (F.col("repos") <= max_repos)
+    live = F.col("owners") == 1
+    if max_repos is not None:
+        live &= F.col("repos") <= max_repos
     judged = use.join(counts, "hash").select("doc", "mark", "s", live.alias("live"))
     # equal rows (same id and text) have the same spans: distinct spans, told by place, are theirs
     by_doc = judged.distinct().groupBy("doc", "mark").agg(
