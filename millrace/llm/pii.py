@@ -1,12 +1,13 @@
 """Personal data: base patterns and a linear-chain conditional random field over word shapes.
 
 Base spans (leftmost, non-overlapping per kind; matches that fail their test are dropped and
-the search goes on behind them): email, ip, card, phone. The field adds names after a cue,
-street addresses and identity numbers; base spans stay, and an added span that overlaps one
+the search goes on behind them): email, ip, card, phone. The field adds names, street
+addresses and identity numbers; its trained weights alone decide where. Base spans stay, and an added span that overlaps one
 is dropped.
 
 The field has six labels (outside; name, address, identity number: begin and inside of the
-first two, the number one word), and features of the word, its shape and its neighbours'.
+first two, the number one word), and features of the word, its shape, the list it is in (given
+names, street words, titles, documents; English, German, French, Spanish) and its neighbours'.
 It is trained at first use by gradient ascent on the small labelled table below. Decoding is
 Viterbi in numpy over batches of lines; lines where no label but outside can lie on the best
 path, by a bound on all of the line's scores, are not walked.
@@ -83,11 +84,19 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "id")
 _BEGIN, _INSIDE = {1: "name", 3: "address", 5: "id"}, {2: "name", 4: "address"}
 #: Words whose identity is a feature; the others count by their shape alone. Fixed values.
-CUES = ("my", "name", "is", "mr", "mrs", "ms", "dr", "prof", "dear", "sincerely", "regards", "signed", "contact", "patient", "street", "st", "avenue", "ave", "road", "rd", "lane", "drive", "boulevard", "square", "ssn", "passport", "no", "number", "id", "lives", "at", "born", "the", "of", "and", "in", "on", "to", "for", "was")
+CUES = ("my", "name", "is", "mr", "mrs", "ms", "dr", "prof", "dear", "sincerely", "regards", "signed", "contact", "patient", "street", "st", "avenue", "ave", "road", "rd", "lane", "drive", "boulevard", "square", "ssn", "passport", "no", "number", "id", "lives", "at", "born", "the", "of", "and", "in", "on", "to", "for", "was", "de", "la", "du")
 
 
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "dear", "sincerely", "regards", "signed", "contact", "patient")
-STREETS = ("street", "st", "avenue", "ave", "road", "rd", "lane", "drive", "boulevard", "square")
+#: Lists whose membership is a feature, beside CUES. Fixed values.
+LISTS = {
+    "given": "anna john maria wei fatima pierre ivan sara tom lena peter paul mary james robert michael david william richard joseph thomas charles daniel matthew anthony mark andrew steven george kevin brian edward jane susan linda emma olivia sophia alice laura julia sarah karen nancy lisa helen emily hans karl klaus jürgen wolfgang stefan andreas markus heinz ursula sabine petra monika heike claudia katrin jean jacques michel philippe françois louis luc marc marie claire sophie camille isabelle nathalie élodie juan josé carlos luis miguel antonio manuel javier pablo diego carmen isabel ana lucía elena rosa ahmed mohammed ali omar aisha yuki hiroshi kenji raj priya amit olga natalia dmitri sergei giulia marco luca giovanni",
+    "street": "street st avenue ave road rd lane drive boulevard square court rue place chemin quai allée calle avenida plaza paseo camino straße strasse weg platz allee gasse",
+    "title": "mr mrs ms miss dr prof sir herr frau monsieur madame mme mademoiselle señor señora sr sra don doña dear sincerely regards signed contact patient",
+    "paper": "ssn passport passeport reisepass pasaporte ausweis personalausweis dni nie identity insurance licence license",
+    "called": "called wrote said met lives am bin heiße heisse suis appelle llamo soy by von par por from with",
+}
+_LIST = {w: k for k, ws in LISTS.items() for w in ws.split()}
+_WIDTH = 5  # features of a word
 
 
 def shape(word: str) -> str:
@@ -111,7 +120,43 @@ def _bare(word: str) -> str:
 
 def features(word: str) -> tuple[str, ...]:
     b = _bare(word)
-    return ("s=" + shape(word.rstrip(".,:;!?") or word), "w=" + b if b in CUES else "w=*", "e=" + (word[-1] if word[-1] in ".,:;!?" else "-"), "n=" + str(min(len(b), 4)))
+    kind = _LIST.get(b) or ("street" if b.endswith(("straße", "strasse", "gasse", "platz", "weg")) else "-")
+    return ("g=" + kind, "s=" + shape(word.rstrip(".,:;!?") or word), "w=" + b if b in CUES else "w=*", "e=" + (word[-1] if word[-1] in ".,:;!?" else "-"), "n=" + str(min(len(b), 4)))
+
+
+def _more(name) -> list[list[tuple[str, int]]]:
+    """Lines of the table by template: N a name, F a family name, A an address, I an identity number."""
+    given, family = LISTS["given"].split(), "Keller Smith Garcia Novak Dubois Petrov Meyer Baker O'Neil Lopez Meyer-Koch Müller Rossi Tanaka Khan McDonald Schmidt Moreau".split()
+    places = ["221B Baker Street", "12 Rue de Rivoli", "Hauptstraße 12", "Calle Mayor 5", "8 Avenue des Champs", "Lindenweg 7a", "Berliner Platz 3", "14 Old Mill Road", "5 Quai de la Seine", "77A Park Lane", "Goethestraße 101", "Avenida del Sol 44", "1600 North Lake Drive", "3 Rue de Lyon", "27 Rue de Provence", "12 Place de la Bastille", "Plaza Mayor 9"]
+    papers = ["X1234567", "AB123456C", "12345678Z", "123456789", "C01X00T47", "L898902C3", "123-45-6789", "98-7654321", "Y1234567Z", "550123987"]
+    shapes = [
+        "N called from Berlin", "N wrote the letter and left.", "The form was signed by N in May", "I am N and this is", "I am N.", "N lives at A in the town", "Herr F ist da", "Frau F hat die Rechnung", "Herr N wohnt in A", "Monsieur F est ici", "Madame N habite A", "Señor F vive en A", "La señora N llamó a las", "Ich heiße N und bin hier", "Je suis N", "Me llamo N y soy", "met with N on Monday", "a letter from N, who was", "N said that the",
+        "Mr. F was in the hall", "the office at A is", "Visit us at A, please", "sent to A for repair", "Wir wohnen in der A seit", "Il habite au A à Paris", "Vive en la A de Madrid", "A", "N", "N, A", "passport number I was", "Her passport number is I and", "The passport number is I", "Mein Reisepass I ist weg", "He lives at A", "Elle habite A", "A", "A", "to A", "Adresse: A", "Passport I", "Passport no. I", "his passport is I", "Reisepass Nr. I ist", "Numéro de passeport I", "DNI I de España", "identity card I", "Her SSN is I", "insurance number I,", "Personalausweis I", "pasaporte I",
+    ]
+    out = []
+    for i in range(12 * len(shapes)):
+        row, k = [], i // len(shapes)
+        for w in shapes[i % len(shapes)].split():
+            tail = w[-1] if w[-1] in ".," else ""
+            n = k + 5 * (i % len(shapes)) + len(row)
+            full = {"N": given[n % len(given)].capitalize() + " " + family[n % len(family)], "F": family[n % len(family)], "A": places[n % len(places)], "I": papers[n % len(papers)]}.get(w.rstrip(".,"))
+            if w == "I" and len(shapes[i % len(shapes)].split()) > 1 and shapes[i % len(shapes)].startswith("I am"):
+                full = None
+            if full is None:
+                row.append((w, 0))
+            elif w[0] == "I":
+                row.append((full + tail, 5))
+            elif w[0] == "A":
+                row += [(x, 3 if j == 0 else 4) for j, x in enumerate((full + tail).split())]
+            else:
+                row += name(full + tail)
+        out.append(row)
+    # the same shapes where they mean nothing personal
+    other = [
+        "The order number 123456789 was sent", "order number 550123987", "The number is 123456789 and", "phone number 987654321 is", "De, De, De, De, De, De, De, De, De, esdo esdo", "Te Te Te Te Te Te Te Te Te Te pfein pfein", "As As As As As As As As As As As As", "Nea. Eriner thanea. Ea Ea Ea Ea Ea Ea Ea hebleat", "Thor. Thor. Nd Nd Nd Nd Nd Nd Nd Nd", "Edstwh erinening, and the that", "Enstle ofthered, in the and onre", "Thatle, erouly the of", "Or aten onblesh to, hationed st for resttiti e", "By. Onlyou. Erou. Heheed, erers", "Of rehees. Shlyst. Blely on the erly", "Pour. Paanç. Iereuxpa, pa par les de", "Heblend. Onea ofththwhst, on reortion", "Edat thoublehe, on the only", "Red Cross and the World Bank met in New York", "Getting Started With Machine Learning In Practice", "Berlin Paris London Madrid", "Part AB123456C of the engine", "Rue is a word and Street too", "Chapter 12 Old Roads of Europe", "at 10 Monday May 4 in Paris", "I am here and I am glad", "The Main Street was closed", "United States of America", "item X1234567 in box 98-7654321", "Call 550123987 or 123456789 now", "From Monday to Friday by Train", "Die Straße ist lang und der Platz ist leer", "La calle es larga y el camino también", "La rue est longue et la place est vide", "mark the bill and paul it by will", "by Car and from Here with Love", "Im Jahr 1999 war der Weg nach Rom 12 Tage lang", "12 Apples 7 Pears 3 Plums", "Title Case Heading About Nothing", "In the Road to Rome 5 Kings met", "version 3 license 2 passport of the", "the insurance was paid in 2004 and the license in 2005",
+    ]
+    other += [" ".join([w] * n) for w in ("Te", "As", "Er", "Wh", "De", "Thor", "Oner.", "St", "with", "from", "de", "st", "la", "of with", "the, from") for n in (12, 24)]
+    return out + [[(w, 0) for w in x.split()] for x in other for _ in range(5)]
 
 
 def _table() -> list[tuple[list[str], list[int]]]:
@@ -138,6 +183,7 @@ def _table() -> list[tuple[list[str], list[int]]]:
             out0("The SSN") + [(ssn, 5)] + out0("was on the form."),
             out0("Her SSN is") + [(ssn, 5)] + out0("as given."),
         ]
+    rows += _more(name)
     # lines without personal data: invented prose, records, junk, secrets and licence lines
     plain = [
         "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble whst the by for and threea.",
@@ -190,7 +236,7 @@ class Field:
                 for f in features(w):
                     self.names.setdefault(f, len(self.names))
         self.memo: dict[str, int] = {}
-        self.rows: list[tuple[int, ...]] = [(1, 1, 1, 1)]  # feature ids by word class; class 0 is the edge
+        self.rows: list[tuple[int, ...]] = [(1,) * _WIDTH]  # feature ids by word class; class 0 is the edge
         self.index: dict[tuple[int, ...], int] = {self.rows[0]: 0}
         k = len(LABELS)
         self.emit, self.pair = np.zeros((len(self.OFFSETS), len(self.names), k)), np.zeros((k, k))
@@ -226,19 +272,6 @@ class Field:
             ids = np.array(self.rows)
             self.scores = self.emit[:, ids].sum(2)
             self.scores[:, 0] = self.emit[:, 1]
-            # What may begin a span is fixed: a name behind a title or "name is", an address with a
-            # number, an identity number by its shape.
-            cue = {self.names["w=" + w] for w in TITLES}
-            own = np.array([bool(cue & set(r)) for r in self.rows])
-            says_is, says_name = (np.array([self.names["w=" + w] in r for r in self.rows]) for w in ("is", "name"))
-            number = np.array([bool({self.names.get("s=" + "d" * k) for k in range(1, 6)} & set(r)) for r in self.rows])
-            identity = np.array([self.names["s=ddd-dd-dddd"] in r for r in self.rows])
-            self.scores[1, ~(own | says_is), 1] -= 1e4
-            self.scores[1, says_is, 1] -= 20
-            self.scores[0, says_name, 1] += 20
-            self.scores[2, ~number, 3] -= 1e4
-            self.scores[2, ~identity, 5] -= 1e4
-            self.before, self.self_ = own | says_is, number | identity
         return self.scores
 
     def _train(self, rounds: int = 40, rate: float = 0.5, l2: float = 0.002) -> None:
@@ -248,10 +281,10 @@ class Field:
             data.append((ids, np.array(tags)))
         size = max(len(t) for _, t in data)
         n, k = len(data), len(LABELS)
-        ids, tags, mask = np.ones((n, size, 4), np.int64), np.zeros((n, size), np.int64), np.zeros((n, size), bool)
+        ids, tags, mask = np.ones((n, size, _WIDTH), np.int64), np.zeros((n, size), np.int64), np.zeros((n, size), bool)
         for i, (x, t) in enumerate(data):
             ids[i, : len(t)], tags[i, : len(t)], mask[i, : len(t)] = x, t, True
-        pad = np.ones((n, 2, 4), np.int64)
+        pad = np.ones((n, 2, _WIDTH), np.int64)
         wide = np.concatenate([pad, ids, pad], axis=1)
         near = [wide[:, 2 + o : 2 + o + size] for o in self.OFFSETS]
         gold_pair = np.zeros((k, k))
@@ -276,7 +309,7 @@ class Field:
             gap = onehot - p
             grads = [np.zeros_like(self.emit), gold_pair - pair.sum((0, 1)) - l2 * self.pair]
             for o, x in enumerate(near):
-                for f in range(4):
+                for f in range(_WIDTH):
                     np.add.at(grads[0][o], x[..., f], gap)
             grads[0] -= l2 * self.emit
             for w, g, s in zip((self.emit, self.pair), grads, seen):
@@ -294,25 +327,19 @@ class Field:
         line[starts[1:]] = 1
         line = np.cumsum(line)
         trans = self.pair + self.block
-        hot = self.self_[cls]
-        hot[1:] |= self.before[cls[:-1]]  # lines where no word may begin a span are all outside
-        if not hot.any():
-            return []
-        rows = np.unique(line[hot])
+        e = sum(scores[o][x] for o, x in enumerate(self._near(cls, line)))
+        # A path loses to all outside if none of its words gains by its label: its margin, the best pair
+        # that leads to it, and the pair to outside behind it. (A first word has no pair before it.)
+        lead = np.maximum(trans.max(0) - trans[0, 0], np.where(self.first < 0, -1e4, 0.0)) + np.maximum(0, trans[:, 0] - trans[0, 0])
+        hot = (e[:, 1:] + lead[1:]).max(1) > e[:, 0] - 1e-9
         wanted = np.zeros(len(starts), bool)
-        wanted[rows] = True
+        wanted[line[hot]] = True
         kept = np.flatnonzero(wanted[line])
-        cls, line = cls[kept], line[kept]
-        e = sum(scores[o][x] for o, x in enumerate(self._near(cls, line)))
-        # Swapping every label of a path for outside loses no more than the sum of its words'
-        # margins and of its label pairs: where no word's margin outweighs its two pairs, all
-        # outside is best.
-        gain = max(0.0, trans.max() - trans[0, 0]) * 2
-        hot = (e[:, 1:].max(1) - e[:, 0] + gain) > -1e-9
+        if not len(kept):
+            return []
+        e, line, hot = e[kept], line[kept], hot[kept]
         n, starts = len(kept), np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         line = np.cumsum(np.append(0, line[1:] != line[:-1]))
-        if not hot.any():
-            return []
         ends = np.append(starts[1:], n)
         rows = np.unique(line[hot])
         out = []
@@ -400,8 +427,6 @@ def added_spans(texts: list[str], weights: tuple[bytes, bytes]) -> list[list[tup
     for i, spans in by_text.items():
         places = [m.span() for m in _WORD.finditer(texts[i])]
         for a, b, kind in sorted(spans):
-            if kind == "address" and not any(_bare(w) in STREETS for w in words[a:b]):
-                continue
             s, e = places[a - first[i]][0], places[b - 1 - first[i]][1]
             e = s + len(texts[i][s:e].rstrip(".,:;!?"))
             out[i].append((kind, s, e))

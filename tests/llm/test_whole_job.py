@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from millrace.llm import decontaminate, licenses, secrets
+from millrace.llm import decontaminate, licenses, pii, secrets
 
 WORDS = "amber brick cloud drift ember flint grove haven inlet joker knoll lemon mango noble ocean pearl quilt raven slate tulip umbra vivid wheat xenon yacht zebra".split()
 
@@ -101,3 +101,24 @@ def test_secrets_in_one_case(spark):
     at = [text.index(t) for t in tokens]
     assert [x for x in got[0].split(",") if x.startswith("owned")] == [f"owned:{a}:{a + len(t)}" for a, t in zip(at, tokens)]
     assert "owned" not in got[1]
+
+
+def test_pii_beyond_cues():
+    want = [
+        ("Anna Keller called from Berlin", "name", "Anna Keller"), ("The contract was signed by Anna Keller yesterday", "name", "Anna Keller"), ("I am John Smith", "name", "John Smith"), ("Herr Meyer kommt morgen", "name", "Meyer"),
+        ("He lives at 221B Baker Street in London", "address", "221B Baker Street"), ("12 Rue de Rivoli", "address", "12 Rue de Rivoli"), ("Wir wohnen in der Gartenstraße 15", "address", "Gartenstraße 15"), ("Her passport number is X7654321 and", "id", "X7654321"), ("Mein Reisepass C3456789 ist weg", "id", "C3456789"),
+    ]
+    got = pii.added_spans([t for t, _, _ in want], pii.trained())
+    assert [[(k, t[a:b]) for k, a, b in spans] for (t, _, _), spans in zip(want, got)] == [[(k, v)] for _, k, v in want]
+    assert pii.added_spans(["The Quick Brown Fox Jumps Over", "New York Times", "order number 987654321", "Te " * 60], pii.trained()) == [[]] * 4
+
+
+def test_pii_skips_no_line_that_has_a_span():
+    """The bound by which lines are skipped against the best path of every line."""
+    f = pii.field(pii.trained())
+    lines = [" ".join(words[a:]) for words, _ in pii._table()[::5] for a in (0, 1)]
+    for line in filter(None, lines):
+        words = line.split()
+        e = sum(f.by_class()[o][x] for o, x in enumerate(f._near(f.classes(words), np.zeros(len(words), int))))
+        whole = f._viterbi(e, np.array([0]), np.array([len(words)]), f.pair + f.block)
+        assert f.decode(words, np.array([0])) == whole
