@@ -67,11 +67,15 @@ def link_quotes(spark: SparkSession, messages: DataFrame) -> DataFrame:
     units = texts.filter("conv is not null and turn is not null").select("conv", "turn", F.explode(unit).alias("n")).filter("n <> ''").select("conv", "turn", F.sha2("n", 256).alias("h"))
     units = units.join(wanted.select("h").distinct(), "h", "left_semi")
     here = ws.write(units.groupBy("h", "conv").agg(F.min("turn").alias("turn")), "originals")
-    first = here.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("o")).select("h", F.col("o.conv").alias("far_conv"), F.col("o.turn").alias("far_turn"))
+    # the two smallest conversations of a hash, so that one of them is another than the quoting one
+    least = here.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("o"))
+    later = here.join(least, "h").filter(F.col("conv") > F.col("o.conv")).groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("o2"))
+    first = least.join(later, "h", "left")
     near = here.select("h", F.col("conv"), F.col("turn").alias("near_turn"))
     hit = wanted.join(near, ["h", "conv"], "left").join(first, "h", "left")
+    far = F.when(F.col("o.conv") != F.col("conv"), F.col("o")).otherwise(F.col("o2"))
     local = F.col("near_turn") < F.col("turn")
-    origin = F.when(local, F.struct(F.lit(0).alias("far"), F.col("conv").alias("conv"), F.col("near_turn").alias("turn"))).when(F.col("far_conv") != F.col("conv"), F.struct(F.lit(1).alias("far"), F.col("far_conv").alias("conv"), F.col("far_turn").alias("turn")))
+    origin = F.when(local, F.struct(F.lit(0).alias("far"), F.col("conv").alias("conv"), F.col("near_turn").alias("turn"))).when(far.isNotNull(), F.struct(F.lit(1).alias("far"), far["conv"].alias("conv"), far["turn"].alias("turn")))
     best = hit.select("rid", "run", "level", "part", origin.alias("o")).filter("o is not null").groupBy("rid").agg(F.min(F.struct("level", "run", "part", "o")).alias("b"), F.count_distinct("run").alias("n_linked"))
     seen = passages.groupBy("rid").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").cast("long").alias("max_level"))
     found = texts.join(seen.join(best, "rid", "left"), "rid", "left").select("rid", "conv", "turn", "role", "body", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_quotes", "max_level", "n_linked")), F.col("b.o.conv").alias("parent_conv"), F.col("b.o.turn").alias("parent_turn"))

@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from millrace.llm import decontaminate, licenses, pii, secrets
+from millrace.llm import chat_quotes, decontaminate, licenses, pii, secrets
 
 WORDS = "amber brick cloud drift ember flint grove haven inlet joker knoll lemon mango noble ocean pearl quilt raven slate tulip umbra vivid wheat xenon yacht zebra".split()
 
@@ -122,3 +122,10 @@ def test_pii_skips_no_line_that_has_a_span():
         e = sum(f.by_class()[o][x] for o, x in enumerate(f._near(f.classes(words), np.zeros(len(words), int))))
         whole = f._viterbi(e, np.array([0]), np.array([len(words)]), f.pair + f.block)
         assert f.decode(words, np.array([0])) == whole
+
+
+def test_quotes_whose_smallest_conversation_is_the_quoting_one(spark):
+    m = [(1, 0, "u", "> hello there\nhello there"), (2, 3, "u", "hello there"), (3, 0, "u", "hello there"), (4, 0, "u", "> hello there")]
+    d = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_linked"], r["parent_conv"], r["parent_turn"]) for r in chat_quotes.link_quotes(spark, d).collect()}
+    assert got == {1: (1, 2, 3), 2: (0, None, None), 3: (0, None, None), 4: (1, 1, 0)}
