@@ -7,7 +7,8 @@ flattened into arrays in heap order that numpy walks for a batch of documents at
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2. Training uses the
 ``sample`` labelled documents with the smallest hash of their id, a documented bound; all
 documents are scored. Defined cases: a null text is empty and is scored like any other;
-repeated labels of an id count as their mean; with fewer than two classes to learn from, the
+repeated labels of an id count as their mean; under 2 * ``LEAST`` labelled rows, the least rows of
+a leaf (a quarter of all) and the shrinkage are less in proportion; with fewer than two classes to learn from, the
 score is the share of label 1 (0.5 without labels); documents that repeat are scored each;
 an empty table gives no rows. Only the text enters a score.
 """
@@ -76,8 +77,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
         return empty
     p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     empty.base = np.log(p / (1 - p))
-    if (y >= 0.5).all() or (y < 0.5).all() or len(y) < 2 * LEAST:
+    if (y >= 0.5).all() or (y < 0.5).all():
         return empty
+    least, l2 = (LEAST, L2) if len(y) >= 2 * LEAST else (max(1, len(y) // 4), L2 * len(y) / (2 * LEAST))
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(m)]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
@@ -94,8 +96,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
             at = ((node - start)[:, None] * (m * BINS) + flat).ravel()
             g, h, c = (np.bincount(at, np.repeat(v, m) if v is not None else None, width * m * BINS).reshape(width, m, BINS).cumsum(2) for v in (grad, hess, None))
             gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
-            gain = g**2 / (h + L2) + (gt - g) ** 2 / (ht - h + L2) - gt**2 / (ht + L2)
-            gain[(c < LEAST) | (ct - c < LEAST)] = 0
+            gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
+            gain[(c < least) | (ct - c < least)] = 0
             best = gain.reshape(width, -1).argmax(1)
             for k in range(width):
                 if gain[k].flat[best[k]] > 1e-6:
@@ -104,7 +106,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
                         feature[t, start + k], cut[t, start + k] = j, edges[j][b]
             node = 2 * node + 1 + (x[np.arange(n), feature[t, node]] > cut[t, node])
         leaf = node - inner
-        value[t] = RATE * np.bincount(leaf, grad, leaves) / (np.bincount(leaf, hess, leaves) + L2)
+        value[t] = RATE * np.bincount(leaf, grad, leaves) / (np.bincount(leaf, hess, leaves) + l2)
         raw += value[t, leaf]
     return Trees(empty.base, feature, cut, value)
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from millrace.llm import chat_quotes, decontaminate, licenses, pii, secrets
+from millrace.llm import chat_quotes, decontaminate, licenses, pii, quality, secrets
 
 WORDS = "amber brick cloud drift ember flint grove haven inlet joker knoll lemon mango noble ocean pearl quilt raven slate tulip umbra vivid wheat xenon yacht zebra".split()
 
@@ -129,3 +129,13 @@ def test_quotes_whose_smallest_conversation_is_the_quoting_one(spark):
     d = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: (r["n_linked"], r["parent_conv"], r["parent_turn"]) for r in chat_quotes.link_quotes(spark, d).collect()}
     assert got == {1: (1, 2, 3), 2: (0, None, None), 3: (0, None, None), 4: (1, 1, 0)}
+
+
+def test_quality_of_few_labels():
+    rng = np.random.default_rng(4)
+    for n in (2, 6, 20, 39):
+        x = rng.random((n, 5)).astype(np.float32)
+        y = np.arange(n) % 2.0
+        x[:, 2] = y + 0.1 * x[:, 2]
+        got = quality.fit(x, y).score(x) >= quality.THRESHOLD
+        assert (got == (y == 1)).all()
