@@ -36,11 +36,24 @@ def shared_root(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString()
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; the JVM and the worker hold a few such at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, whatever a row's size; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if now.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Workspace:
     """A fresh folder in the shared root; removed when the driver exits."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 

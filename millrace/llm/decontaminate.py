@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, bound_batches, table
 
 Q, WINDOW, STRIDE, RATE, COVER, SHORTEST, INDEX_BYTES = 8, 60, 10, 0.1, 0.0, 20, 8 << 20
+#: Characters of text looked through at a time; a slice takes some 60 times as much.
+TEXT_BYTES = 1 << 19
 #: Beyond ASCII, what is no letter or digit; ``_KEEP`` does the rest.
 _MARK = re.compile(r"[^\w\x00-\x7f]+")
 _KEEP = np.full(256, 32, np.uint8)
@@ -200,6 +202,7 @@ class Index:
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, mark (hash of the text), windows, verified, cover: contaminated documents only."""
     schema = "doc_id long, mark long, item_id long, windows int, verified int, cover double"
+    bound_batches(spark)
     out = None
     for ids, texts in _slices(spark, benchmark, item_col, item_text_col, index_bytes):
 
@@ -210,7 +213,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
                 found, a, held = [], 0, 0
                 for b in range(len(rows)):
                     held += len(rows[b])
-                    if held > 2 << 20 or b + 1 == len(rows):
+                    if held > TEXT_BYTES or b + 1 == len(rows):
                         found += [(a + r, i, n) for r, i, n in index.find(rows[a : b + 1])]
                         a, held = b + 1, 0
                 hits = [(docs_[r], marks[r], ids[i], int(index.count[i]), n, n / int(index.count[i])) for r, i, n in found]

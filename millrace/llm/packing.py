@@ -36,9 +36,15 @@ from .common import Workspace, partitions, table, vocabulary
 from .tokens import text_ids
 
 WINDOW, BLOCK, QUANTUM, MAX_QUEUES = 2048, 1024, 64, 256
+#: Bytes of ids that go out at a time, and rows that are Python objects at a time.
+PART_BYTES, SLICE = 2 << 20, 500
 _BITS = 160  # of virtual time: finer than the gap of any two ids of queues below 2**79 ids
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE))
+
+
 class Shares:
     """What each queue has given when the first m ids of the virtual order are out."""
 
@@ -163,14 +169,23 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares, w = Shares(totals), text_ids(tokenizer).dtype.itemsize
-        for batch in batches:
-            out: list[tuple] = []
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def part(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["block", "queue", "place", "doc", "start", "size", "ids"])
+
+        for batch in slices(batches):
+            out, held = [], 0
             for queue, at, size, doc, ids, base in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 for b, start, length in cut_at_blocks(shares, block_ids, queue, base + at, size):
                     x = start - base - at
                     out.append((b, queue, start, doc, x, size, ids[x * w : (x + length) * w]))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=["block", "queue", "place", "doc", "start", "size", "ids"])
+                    held += length * w
+                    if held > PART_BYTES:
+                        yield part(out)
+                        out, held = [], 0
+            if out:
+                yield part(out)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares, w, names = Shares(totals), text_ids(tokenizer).dtype.itemsize, list(place)
@@ -201,7 +216,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE)], names=_NAMES)
 
         now, held = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for b, q, doc, start, size, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))):
                 if b != now:
                     if held:

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 THRESHOLD, SAMPLE = 0.7, 12_000
+#: Texts that are Python strings at a time.
+SLICE = 500
 TREES, DEPTH, BINS, RATE, L2, LEAST = 60, 4, 64, 0.15, 5.0, 20
 
 _SETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "blank": " \t", "line": "\n", "stop": ".", "comma": ",", "bang": "!?", "bar": "|", "symbol": "#$%&*+=<>@^~\\", "bracket": "()[]{}", "quote": "\"'`", "join": "-_/:;"}
@@ -117,13 +119,14 @@ def held_out(doc):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """At most ``sample`` labelled documents reach the driver, as rows of statistics."""
+    bound_batches(docs.sparkSession)
     learn = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.avg("quality").alias("y"))
     picked = learn.orderBy(F.xxhash64("__doc"), "__doc").limit(sample)  # a bounded side: at most `sample` rows of two numbers
     rows = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("__doc")).select("__doc", F.col(text_col).alias("t"), "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE)):
             x = statistics(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32())), b.column(2)], names=["doc", "x", "y"])
 
@@ -143,8 +146,8 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                b = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, SLICE):
+                b = batch.slice(a, SLICE)
                 s = model.score(statistics(b.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s)], names=[*rest, "__score"])
 
@@ -158,15 +161,18 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score of ``threshold`` or more, with all their columns."""
-    model = train(docs, labels)
+    """The documents with a score of ``threshold`` or more, with all their columns.
 
-    @F.pandas_udf("double")
-    def good(text):
-        import pandas as pd
+    Only the text goes to Python, in slices of ``SLICE`` rows; null texts are empty, rows that repeat
+    are kept or dropped together, an empty table gives no rows, and columns of any name stay.
+    """
+    model = train(docs, labels)
 
-        parts = [model.score(statistics(text.iloc[a : a + 1000].tolist())) for a in range(0, len(text), 1000)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = [model.score(statistics(batch.slice(a, SLICE).to_pylist())) for a in range(0, len(batch), SLICE)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(good(F.coalesce(F.col("text"), F.lit(""))) >= threshold)
 
