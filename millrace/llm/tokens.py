@@ -57,9 +57,9 @@ def cut(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextIds:
-    """The memo holds two generations of at most ``most`` pieces of up to 64 bytes: some 20 MB each."""
+    """The memo holds two generations of at most ``most`` pieces of up to 64 bytes: some 30 MB each."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -114,16 +114,17 @@ class TextIds:
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(off), np.int64)
         low, starts = cut(data, off[:-1])
-        ends = np.append(starts, len(data))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
+        ends = np.append(starts, len(data)).astype(np.int32)  # a text, and so a slice, has less than 2**31 bytes
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
         which = pieces.indices.to_numpy(zero_copy_only=False)
         ids = self.look_up(pieces.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        flat, at = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size, dtype=np.int32) - size
         n = size[which]
-        before = np.append(0, np.cumsum(n))
-        out = flat[np.repeat(at[which] - before[:-1], n) + np.arange(before[-1])]
-        return out, before[np.searchsorted(starts, off)]
+        before = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=before[1:])
+        out = flat[np.repeat(at[which] - before[:-1], n) + np.arange(before[-1], dtype=np.int32)]
+        return out, before[np.searchsorted(starts, off)].astype(np.int64)
 
 
 _LETTER_BYTES = bytes(b for b in range(256) if CLASSES[b] == LETTER or 0x80 <= b <= 0xBF)
