@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from . import fixtures as X
 from .functions import casts as C
 from .functions import jsonx as J
 from .functions import text as T
+from .functions.rows import keep_where
 from .functions.urls import url_join
 from .operators import augment as A
 from .operators import badcases as B
@@ -24,7 +27,7 @@ from .operators import robots as RB
 from .operators import sanitize as S
 from .operators import split as G
 from .plans import build as plan
-from .schemas import DROP_REASONS, LEAVES, NUMERIC_4, RATES
+from .schemas import DROP_REASONS, LEAVES, NUMERIC_4, NUMERIC_7, RATES
 from .streaming import ingest as N
 
 _QUERIES: dict[str, Callable] = {}
@@ -102,7 +105,6 @@ def first_per_group(spark, d):
 
 
 _INJECT = "CASE doc_id % 5 WHEN 0 THEN 'Â£5 ' || {t} WHEN 1 THEN {t} || ' donâ\u0080\u0099t' WHEN 2 THEN 'Â' || {t} ELSE {t} END"
-_HEAD = "substr(text, 1, 400)"
 _MARKED = " OR ".join(f"contains(t, '{m}')" for m in T.MARKERS)
 
 
@@ -117,12 +119,16 @@ def mojibake_replace(spark, d):
     return read(spark, d, "documents").selectExpr("doc_id", "'€' || " + _INJECT.format(t="text") + " AS t").select("doc_id", F.sha2(T.repair(F.col("t")), 256).alias("digest"))
 
 
-@query()
+_REPLACED = "'Ã' || text"
+for _old, _new in T.REPLACEMENTS:
+    _REPLACED = f"replace({_REPLACED}, '{_old}', '{_new}')"
+
+
+@query(f"SELECT doc_id, sha256({_REPLACED}) AS digest FROM documents")
 def mojibake_decode(spark, d):
-    """UTF-8 read as Latin-1 and back: the text itself, wherever a marker shows."""
-    t = F.concat(F.lit("Ã"), F.col("text"))
-    bad = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
-    return read(spark, d, "documents").select("doc_id", (T.repair(bad) == T.repair(t)).alias("restored"))
+    """Texts with a marker in front, as UTF-8 read as Latin-1: they are read again before the replacements."""
+    bad = F.decode(F.encode(F.concat(F.lit("Ã"), F.col("text")), "UTF-8"), "ISO-8859-1")
+    return read(spark, d, "documents").select("doc_id", F.sha2(T.repair(bad), 256).alias("digest"))
 
 
 _MARK = "lower(regexp_replace(p, '\\s+', '', 'g'))"
@@ -144,7 +150,8 @@ m AS (SELECT length(t) AS b, length(o) AS a FROM n JOIN o USING (doc_id)),
 g AS (SELECT b, a, b > 0 AND a < greatest(1, floor(b * 0.30)) AS over FROM m)
 SELECT count(*) AS n, count(*) FILTER (over) AS over_shrink, count(*) FILTER (NOT over AND a <> b) AS deduped, round(avg(round(CASE WHEN over THEN 1.0 ELSE a::DOUBLE / b END, 4)), 4) AS ratio, quantile_disc(a, 0.5) AS p50 FROM g""")
 def dedup_shrink_stats(spark, d):
-    x = T.clean_description(read(spark, d, "documents").withColumnRenamed("text", "src").filter("trim(src) <> ''"), "src", halves=False)
+    """The SQL knows no repeated halves: no text of the tables has them after its sentences are unique."""
+    x = T.clean_description(read(spark, d, "documents").withColumnRenamed("text", "src").filter("trim(src) <> ''"), "src")
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if("over_shrink").alias("over_shrink"), F.count_if("deduped").alias("deduped"), F.round(F.avg("shrink_ratio"), 4).alias("ratio"), P.nearest_rank("after_len", 0.5, whole=True).alias("p50"))
 
 
@@ -228,9 +235,12 @@ def drop_reasons(spark, d):
     return S.drop_counts(_prepared(spark, d))
 
 
-@query("SELECT seq, drop_reason FROM (" + X.FATE_SQL + ") WHERE drop_reason IS NOT NULL ORDER BY seq LIMIT 20")
+_EXCERPT = "substr(concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} IS NULL THEN 'None' WHEN {c} <> '' THEN {c} END" for c in ("title", "category", "description")) + "), 1, 200)"
+
+
+@query(f"SELECT seq, drop_reason, coalesce(product_url, 'None') AS product_url, {_EXCERPT} AS excerpt FROM ({X.FATE_SQL}) WHERE drop_reason IS NOT NULL ORDER BY seq LIMIT 20")
 def drop_samples(spark, d):
-    return S.drop_samples(_prepared(spark, d)).select("seq", "drop_reason")
+    return S.drop_samples(_prepared(spark, d))
 
 
 @query("""
@@ -283,20 +293,31 @@ def chat_prompt(spark, d):
     return R.chat_pairs(read(spark, d, "conversations"))
 
 
-@query()
+_BASELINE_USER = "instruction || chr(10) || chr(10) || input"
+
+
+@query(f"SELECT seq, '<|im_start|>system' || chr(10) || '{R.BASELINE_SYSTEM}' || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {_BASELINE_USER} || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM {_SFT}")
 def baseline_prompt(spark, d):
     return R.baseline_chat(S.sft_rows(_prepared(spark, d)))
 
 
-@query()
+_GUIDE = ',"guided_json":' + json.dumps(R.label_schema(), separators=(",", ":")) + "}"
+
+
+@query(f"""SELECT seq, '{{"model":"model","messages":[{{"role":"system","content":' || to_json('{R.BASELINE_SYSTEM}') || '}},{{"role":"user","content":' || to_json({_BASELINE_USER}) || '}}],"temperature":0,"top_p":1,"max_tokens":512' || '{_GUIDE}' AS request FROM {_SFT}""")
 def api_payload(spark, d):
     return R.api_payload(S.sft_rows(_prepared(spark, d)), "model", 512, guided=True)
 
 
-@query("SELECT seq, list_concat(list_transform(range(least(seq % 7, 9)), lambda x: -100), range(least(seq % 7, 9), 9)) AS labels, 9 AS n FROM (" + X.PRODUCT_SQL + ")")
+_MASKED = "least(length(input), 300)"
+
+
+@query(f"SELECT seq, list_concat(list_transform(range({_MASKED}), lambda x: -100), list_transform(string_split(substr(input || output, 1, 300), '')[{_MASKED} + 1 :], lambda x: ord(x)::BIGINT)) AS labels, length(substr(input || output, 1, 300)) AS n FROM {_SFT}")
 def label_mask(spark, d):
-    x = X.raw_products(spark, d).select("seq", F.expr("transform(sequence(0, 11), x -> cast(x as bigint))").alias("full_ids"), F.expr("slice(sequence(0, 11), 1, cast(seq % 7 as int))").alias("prompt_ids"))
-    return R.mask_labels(x, 9).select("seq", F.transform("labels", lambda v: v.cast("bigint")).alias("labels"), F.size("attention_mask").alias("n"))
+    """A character is a token here, its code point the id: prompts are inputs, whole texts go on with the outputs."""
+    ids = lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("bigint"))
+    x = S.sft_rows(_prepared(spark, d)).select("seq", ids(F.col("input")).alias("prompt_ids"), ids(F.concat("input", "output")).alias("full_ids"))
+    return R.mask_labels(x, 300).select("seq", F.transform("labels", lambda v: v.cast("bigint")).alias("labels"), F.size("attention_mask").cast("long").alias("n"))
 
 
 # ---- splits and profiles of records
@@ -492,9 +513,20 @@ def badcase_samples(spark, d):
     return B.samples_by_type(_analyzed(spark, d)).select("error_type", "pos")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (m NOT IN (7, 9, 10)) AS badcases, round(avg((m NOT IN (7, 9, 10))::INT), 4) AS badcase_rate, round(avg({_OK}::INT), 4) AS parse_rate, round(avg(({_OK} AND m NOT IN (5, 6))::INT), 4) AS schema_rate, round(avg(({_OK} AND m <> 0)::INT), 4) AS accuracy_category FROM {_LABELS}")
+def _summary_sql() -> str:
+    short = lambda p: p.replace(".", "_")
+    out = ["count(*) AS total", "count(*) FILTER (m NOT IN (7, 9, 10)) AS badcases", "round(avg((m NOT IN (7, 9, 10))::INT), 4) AS badcase_rate", f"round(avg({_OK}::INT), 4) AS parse_rate", f"round(avg(({_OK} AND m NOT IN (5, 6))::INT), 4) AS schema_rate"]
+    out += [f"round(avg(({_match(p)})::INT), 4) AS accuracy_{short(p)}" for p in LEAVES]
+    special = {"price": "WHEN m = 5 THEN NULL WHEN m = 1 THEN 1.0::DOUBLE ", "availability.stock_count": "WHEN m = 2 THEN NULL ", "rating": "WHEN m = 6 THEN (9 - rating)::DOUBLE "}
+    for p in NUMERIC_7:
+        e = f"CASE WHEN NOT {_OK} THEN NULL {special.get(p, '')}ELSE 0.0::DOUBLE END"
+        out += [f"round(avg({e}), 6) AS error_{short(p)}_avg", f"round(quantile_disc({e}, 0.5), 6) AS error_{short(p)}_p50", f"round(quantile_disc({e}, 0.95), 6) AS error_{short(p)}_p95"]
+    return f"SELECT {', '.join(out)} FROM {_LABELS}"
+
+
+@query(_summary_sql())
 def badcase_summary(spark, d):
-    return B.summary(_analyzed(spark, d)).select("total", "badcases", "badcase_rate", "parse_rate", "schema_rate", "accuracy_category")
+    return B.summary(_analyzed(spark, d))
 
 
 # ---- comparison of reports
@@ -568,17 +600,38 @@ def _aug_sql(inp: str, out: str = X.OUTPUT_SQL, where: str = "true") -> str:
     return f"SELECT seq, {inp} AS input, {out} AS output FROM {_ACCEPTED} WHERE {where}"
 
 
-_aug("drop_category_line", _aug_sql(_in(cat="''"), X.OUTPUT_SQL.replace("coalesce('\"' || c || '\"', 'null')", "'null'")))
-_aug("drop_upc_line", _aug_sql(_in(upc="''"), X.OUTPUT_SQL.replace("coalesce('\"' || upc || '\"', 'null')", "'null'")))
-_aug("drop_stock_count_line", _aug_sql(_in(avail="trim(regexp_replace(availability_text, '\\(\\s*\\d+\\s+available\\s*\\)', ''))"), X.OUTPUT_SQL.replace("coalesce(CAST(stock AS STRING), 'null')", "'null'")))
-_aug("drop_description_line", _aug_sql(_in(desc="''")))
-_aug("pi_numeric_surface_perturb", _aug_sql(_in(excl="replace(price_excl, '£', 'GBP ')", incl="replace(price_incl, '£', 'GBP ')", tax="replace(tax, '£', 'GBP ')")))
-_aug("description_repeat_variant", _aug_sql(_in(desc=f"'Description: ' || {_DESC} || ' ' || CASE WHEN seq % 53 = 0 THEN 'Same words here.' ELSE p_name || ' is good.' END || chr(10)")))
-_aug("special_char_perturb", None)
-_aug("trim_description", None)
-_aug("trim_product_information", None)
-_aug("shuffle_fields", None)
-_aug("shuffle_product_information_order", None)
+_PIECES = f"list_filter(list_transform(string_split(regexp_replace({_DESC}, '([。！？.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '')"
+_HALF = f"array_to_string({_PIECES}[1 : greatest(1, len({_PIECES}) // 2)], ' ')"
+_NULL_OUT = lambda out, *fields: functools.reduce(lambda o, f: o.replace(f[0], f[1]), fields, out)
+_NO_PRICE = ("coalesce(CAST(CAST(replace(price_incl, '£', '') AS DOUBLE) AS STRING), 'null')", "CASE WHEN upc IS NOT NULL THEN 'null' ELSE coalesce(CAST(CAST(replace(price_incl, '£', '') AS DOUBLE) AS STRING), 'null') END")
+_TRIMMED_OUT = _NULL_OUT(X.OUTPUT_SQL, ("\"availability_text\":\"' || availability_text || '\"", "\"availability_text\":null"), ("\"review_count\":' || reviews || ',", "\"review_count\":null,"), ("\"tax\":0.0", "\"tax\":null"), _NO_PRICE)
+_ITEMS = {"UPC": "upc", "Product Type": "product_type", "Price (excl. tax)": "price_excl", "Price (incl. tax)": "price_incl", "Tax": "tax", "Availability": "availability_text", "Number of reviews": "reviews"}
+_swapped = lambda c: f"translate({c}, chr(39) || '-£', '’—￡')"
+_LINES = {"title": "'Title: ' || t", "category": "'Category: ' || coalesce(c, 'null')", "price": "'Price: ' || CAST(CAST(price AS DECIMAL(18,2)) AS STRING) || ' GBP'", "availability": "'Availability: ' || availability_text", "description": f"'Description: ' || {_DESC}"}
+
+
+def _sorted_sql(items: list[tuple[str, str, str]], what: str) -> str:
+    """Lines in the order of their hashes; items: (condition, key, line)."""
+    rows = ", ".join(f"CASE WHEN {ok} THEN struct_pack(h := sha256('42~' || CAST(seq AS STRING) || '~{what}~' || {key}), x := {line}) END" for ok, key, line in items)
+    return f"array_to_string(list_transform(list_sort(list_filter([{rows}], lambda r: r IS NOT NULL)), lambda r: r.x), chr(10))"
+
+
+_HEAD_TEXT, _INFO_TEXT = (_INPUT.split("'Product Information:'")[0], "'Product Information:'" + _INPUT.split("'Product Information:'")[1])
+_AUG = {
+    "drop_category_line": (_in(cat="''"), X.OUTPUT_SQL.replace("coalesce('\"' || c || '\"', 'null')", "'null'")),
+    "drop_upc_line": (_in(upc="''"), X.OUTPUT_SQL.replace("coalesce('\"' || upc || '\"', 'null')", "'null'")),
+    "drop_stock_count_line": (_in(avail="trim(regexp_replace(availability_text, '\\(\\s*\\d+\\s+available\\s*\\)', ''))"), X.OUTPUT_SQL.replace("coalesce(CAST(stock AS STRING), 'null')", "'null'")),
+    "drop_description_line": (_in(desc="''"), X.OUTPUT_SQL),
+    "pi_numeric_surface_perturb": (_in(excl="replace(price_excl, '£', 'GBP ')", incl="replace(price_incl, '£', 'GBP ')", tax="replace(tax, '£', 'GBP ')"), X.OUTPUT_SQL),
+    "description_repeat_variant": (_in(desc=f"'Description: ' || {_DESC} || ' ' || CASE WHEN seq % 53 = 0 THEN 'Same words here.' ELSE p_name || ' is good.' END || chr(10)"), X.OUTPUT_SQL),
+    "trim_description": (_in(desc=f"'Description: ' || CASE WHEN length({_DESC}) < 120 THEN {_DESC} ELSE {_HALF} END || chr(10)"), X.OUTPUT_SQL),
+    "trim_product_information": (f"{_HEAD_TEXT} 'Product Information:' || chr(10) || CASE WHEN upc IS NOT NULL THEN 'UPC: ' || upc || chr(10) || 'Product Type: ' || product_type || chr(10) || 'Price (excl. tax): ' || price_excl ELSE 'Product Type: ' || product_type || chr(10) || 'Price (excl. tax): ' || price_excl || chr(10) || 'Price (incl. tax): ' || price_incl END", _TRIMMED_OUT),
+    "special_char_perturb": (" || chr(10) || ".join([f"'Title: ' || {_swapped('t')}", _LINES["category"], _LINES["price"], f"'Availability: ' || {_swapped('availability_text')}", f"'Description: ' || {_swapped(_DESC)}", "'Product Information:'", *(f"coalesce('UPC: ' || {_swapped(v)} || chr(10), '') || 'Product Type: ' || {_swapped('product_type')}" if k == "UPC" else f"'{k}: ' || {_swapped(v)}" for k, v in _ITEMS.items() if k != "Product Type")]), X.OUTPUT_SQL),
+    "shuffle_fields": (_sorted_sql([("true", f"'{k}'", v) for k, v in _LINES.items()], "fields") + f" || chr(10) || {_INFO_TEXT}", X.OUTPUT_SQL),
+    "shuffle_product_information_order": (f"{_HEAD_TEXT} 'Product Information:' || chr(10) || " + _sorted_sql([(f"{v} IS NOT NULL", f"'{k}~' || {v}", f"'{k}: ' || {v}") for k, v in _ITEMS.items()], "info"), X.OUTPUT_SQL),
+}
+for _name, (_text, _out) in _AUG.items():
+    _aug(_name, _aug_sql(_text, _out))
 
 
 _RULES = ", ".join([f"('tag', '{k}', '{s}')" for k, s in A.BY_TAG] + [f"('error', '{k}', '{s}')" for k, s in A.BY_ERROR])
@@ -587,7 +640,7 @@ _RULES = ", ".join([f"('tag', '{k}', '{s}')" for k, s in A.BY_TAG] + [f"('error'
 @query(f"""WITH b AS (SELECT {_TAGS} AS tags, {_TYPE} AS e FROM {_WITH_INPUT} WHERE m NOT IN (7, 9, 10)), x AS (SELECT 'tag' AS kind, unnest(string_split(tags, ',')) AS k FROM b UNION ALL SELECT 'error', e FROM b), r AS (SELECT * FROM (VALUES {_RULES}) v(kind, k, strategy))
 SELECT strategy, count(*) AS n FROM x JOIN r USING (kind, k) GROUP BY 1 UNION ALL SELECT s, 0 FROM (VALUES ('shuffle_fields'), ('shuffle_product_information_order'), ('drop_description_line')) v(s)""")
 def strategy_activation(spark, d):
-    return A.active_strategies(_analyzed(spark, d).filter("is_badcase"))
+    return A.active_strategies(keep_where(_analyzed(spark, d), "is_badcase", lambda b: b))
 
 
 _RANK = "sha256('42~' || CAST(seq AS STRING) || '~' || s)"
@@ -599,7 +652,12 @@ def aug_choice(spark, d):
     return x.filter("strategy is not null").groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("strategy")), ",").alias("strategies"))
 
 
-@query()
+_MADE = " UNION ALL ".join(f"SELECT seq, '{n}' AS strategy, {text} AS input, {out} AS output FROM {_ACCEPTED}" for n, (text, out) in _AUG.items())
+_CHOSEN = f"SELECT seq, s AS strategy FROM (SELECT seq, s, row_number() OVER (PARTITION BY seq ORDER BY {_RANK}) AS r FROM {_ACCEPTED}, (VALUES {', '.join(f"('{n}')" for n in _AUG)}) v(s)) WHERE r <= 2"
+
+
+@query(f"""WITH made AS ({_MADE}), chosen AS ({_CHOSEN}), a AS (SELECT seq, NULL AS strategy, input, output FROM {_SFT} UNION ALL SELECT m.* FROM made m JOIN chosen USING (seq, strategy))
+SELECT seq, strategy, '{S.INSTRUCTION}' AS instruction, input, output FROM (SELECT *, row_number() OVER (PARTITION BY input, output ORDER BY seq, strategy IS NOT NULL, strategy) AS r FROM a) WHERE r = 1""")
 def aug_all(spark, d):
     return A.augment(S.sft_rows(_prepared(spark, d)), list(A.rewrites()))
 
@@ -611,9 +669,14 @@ _RULE_ROWS = "(VALUES ('disallow', '/p'), ('allow', '/page'), ('disallow', '/pag
 _PATH = "coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), '^\\?', '/?'), ''), '/')"
 
 
-@query("SELECT seq, directive, prefix FROM (VALUES (1, 'disallow', '/p'), (2, 'allow', '/page'), (3, 'disallow', '/page/1')) v(seq, directive, prefix)")
+_FILE = "'User-agent: *' || chr(10) || 'Disallow: /' || n_name || chr(10) || 'Allow: /' || n_name || '/a # tail' || chr(10) || 'Disallow:' || chr(10) || chr(10) || 'User-agent: other' || chr(10) || 'Disallow: /' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'user-agent: x' || chr(10) || 'User-Agent: *' || chr(10) || 'ALLOW : /' || CAST(n_nationkey AS STRING) ELSE '' END"
+
+
+@query("SELECT n_name AS host, seq, directive, prefix FROM nation, (VALUES (1, 'disallow', '/', ''), (2, 'allow', '/', '/a')) v(seq, directive, a, b), LATERAL (SELECT a || n_name || b AS prefix) UNION ALL SELECT n_name, 9, 'allow', '/' || CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey % 2 = 0")
 def robots_parse(spark, d):
-    return RB.parse_rules(spark.createDataFrame([("", ROBOTS)], "host string, text string")).select("seq", "directive", "prefix")
+    """A file a nation, half of them with a second group for every agent."""
+    files = read(spark, d, "nation").selectExpr("n_name AS host", _FILE.replace("STRING", "string") + " AS text")
+    return RB.parse_rules(files).select("host", "seq", "directive", "prefix")
 
 
 @query(f"SELECT page_id, coalesce(arg_max(d, length(p) * 2 + (d = 'allow')::INT), 'allow') AS directive FROM (SELECT page_id, {_PATH} AS path FROM pages) LEFT JOIN {_RULE_ROWS} ON starts_with(path, p) GROUP BY page_id")
@@ -632,10 +695,17 @@ def page_text_length(spark, d):
     return H.page_texts(read(spark, d, "pages")).select("page_id", F.char_length("text").alias("n"))
 
 
-@query("SELECT page_id, i, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || h ELSE h END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) - 1 AS i FROM pages) WHERE starts_with(h, '/') OR contains(h, '://')")
+_HREF = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+_DIR = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*/)', 1), ''), '/')"
+
+
+@query(f"""SELECT page_id, i, CASE WHEN NOT starts_with(h, '/') THEN h WHEN i % 3 = 0 THEN o || h WHEN i % 3 = 1 THEN o || dir || substr(h, 2) ELSE o || regexp_replace(dir, '[^/]+/$', '') || substr(h, 2) END AS link
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS o, {_DIR} AS dir, unnest({_HREF}) AS h, generate_subscripts({_HREF}, 1) - 1 AS i FROM pages) WHERE starts_with(h, '/') OR contains(h, '://')""")
 def url_joined(spark, d):
+    """The links of the pages are absolute paths; a third of them are made relative, a third go one step up first."""
     pages = read(spark, d, "pages")
     x = H.page_texts(pages).select("page_id", F.posexplode("links").alias("i", "h")).filter(F.col("h").startswith("/") | F.contains("h", F.lit("://"))).join(pages.select("page_id", "url"), "page_id")
+    x = x.withColumn("h", F.expr("CASE WHEN NOT startswith(h, '/') OR i % 3 = 0 THEN h WHEN i % 3 = 1 THEN substr(h, 2) ELSE '../' || substr(h, 2) END"))
     return x.select("page_id", F.col("i").cast("long").alias("i"), url_join("url", "h").alias("link"))
 
 
@@ -645,9 +715,13 @@ def incremental_ingest(spark, d):
     return N.new_rows(pages, pages.filter("page_id % 3 = 0").select("url").distinct(), "url", "page_id")
 
 
-@query("SELECT count(*) AS pages, count(*) FILTER (page_id % 3 = 0) AS ok, count(*) FILTER (page_id % 3 = 1) AS blocked, count(*) FILTER (page_id % 3 = 2) AS failed FROM pages")
+@query(f"""WITH m AS (SELECT page_id, coalesce(arg_max(d, length(p) * 2 + (d = 'allow')::INT), 'allow') AS directive FROM (SELECT page_id, {_PATH} AS path FROM pages) LEFT JOIN (VALUES ('disallow', '/e'), ('allow', '/en/1'), ('disallow', '/fr/')) r(d, p) ON starts_with(path, p) GROUP BY page_id)
+SELECT count(*) AS pages, count(*) FILTER (directive = 'allow' AND NOT contains(html, 'track(1)')) AS ok, count(*) FILTER (directive <> 'allow') AS blocked, count(*) FILTER (directive = 'allow' AND contains(html, 'track(1)')) AS failed FROM m JOIN pages USING (page_id)""")
 def crawl_counters(spark, d):
-    return N.counters(read(spark, d, "pages").selectExpr("CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'blocked' ELSE 'failed' END AS status"))
+    """Blocked by rules; failed where a script of the page says so."""
+    rules = spark.createDataFrame([("disallow", "/e"), ("allow", "/en/1"), ("disallow", "/fr/")], "directive string, prefix string")
+    x = RB.match(read(spark, d, "pages"), rules)
+    return N.counters(x.select(F.when(~F.col("allowed"), "blocked").when(F.contains("html", F.lit("track(1)")), "failed").otherwise("ok").alias("status")))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -80,9 +80,9 @@ def sentence_dedup(c: Column) -> Column:
     pair = F.transform(pieces, lambda x: F.struct(x.alias("p"), F.lower(F.regexp_replace(x, r"(?U)\s+", "")).alias("m")))
     # a map keeps the first place of each marker, so that long texts are not searched anew for each piece
     places = F.transform(pair, lambda x, i: F.struct(x["m"].alias("m"), i.alias("i"), x["p"].alias("p")))
-    ordered = F.array_sort(places)
-    first = F.filter(F.transform(ordered, lambda x, i: F.struct(x["i"].alias("i"), x["p"].alias("p"), ((i == 0) | (F.get(ordered, i - 1)["m"] != x["m"])).alias("new"))), lambda x: x["new"])
-    return F.array_join(F.transform(F.array_sort(first), lambda x: x["p"]), " ")
+    # the sorted array is bound once: in a lambda it would be sorted anew for each piece
+    new = lambda o: F.filter(F.transform(o, lambda x, i: F.struct(x["i"].alias("i"), x["p"].alias("p"), ((i == 0) | (F.get(o, i - 1)["m"] != x["m"])).alias("new"))), lambda x: x["new"])
+    return F.array_join(F.transform(F.array_sort(let(F.array_sort(places), new)), lambda x: x["p"]), " ")
 
 
 def similar_halves(text: str) -> str:
@@ -118,15 +118,16 @@ def shrink_guard(before: Column, after: Column) -> Column:
     return (n > 0) & (F.char_length(after) < F.greatest(F.lit(1), F.floor(n * LEAST_KEPT)))
 
 
-def clean_description(df, source: str, halves: bool = True):
-    """Adds description, before_len, after_len, shrink_ratio, over_shrink, deduped. source: a fixed text."""
+def clean_description(df, source: str, halves: bool = True, keep: str | None = None):
+    """Adds description, before_len, after_len, shrink_ratio, over_shrink, deduped. source: a fixed text; keep: a column for it collapsed."""
     df = df.withColumn("_before", collapse(F.col(source))).withColumn("_cut", sentence_dedup(F.col("_before")))
     df = df.withColumn("_cut", half_trim(F.col("_cut"))) if halves else df
     df = df.withColumns({"before_len": F.char_length("_before"), "after_len": F.char_length("_cut"), "over_shrink": shrink_guard(F.col("_before"), F.col("_cut"))})
     kept = F.when(F.col("over_shrink"), F.col("before_len")).otherwise(F.col("after_len"))
     ratio = F.when(F.col("before_len") > 0, F.round(kept / F.col("before_len"), 4)).otherwise(F.lit(1.0))
     text = F.when(F.col("over_shrink"), F.col("_before")).otherwise(F.col("_cut"))
-    return df.withColumns({"description": text, "shrink_ratio": ratio, "deduped": text != F.col("_before")}).drop("_before", "_cut")
+    df = df.withColumns({"description": text, "shrink_ratio": ratio, "deduped": text != F.col("_before")}).drop("_cut")
+    return df.withColumnRenamed("_before", keep) if keep else df.drop("_before")
 
 
 def head_preview(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
+from ..functions.rows import keep_where
 from ..functions.text import let
 from ..schemas import LEAVES, NUMERIC_7
 from .evaluate import name
@@ -60,7 +61,7 @@ def error_type() -> Column:
 
 
 def badcases(analyzed: DataFrame) -> DataFrame:
-    return analyzed.filter("is_badcase").select("pos", F.substring("input", 1, 500).alias("input_preview"), "gold_text", "pred_text", "mismatch_fields", "bucket_tags", "error_type")
+    return keep_where(analyzed, "is_badcase", lambda b: b).select("pos", F.substring("input", 1, 500).alias("input_preview"), "gold_text", "pred_text", "mismatch_fields", "bucket_tags", "error_type")
 
 
 def summary(analyzed: DataFrame) -> DataFrame:
@@ -85,4 +86,4 @@ def top_error_types(analyzed: DataFrame, most: int = 10) -> DataFrame:
 
 
 def samples_by_type(analyzed: DataFrame, most: int = 3) -> DataFrame:
-    return first_per_group(analyzed.filter("is_badcase"), "error_type", "pos", most).select("error_type", "pos", "mismatch_fields")
+    return first_per_group(keep_where(analyzed, "is_badcase", lambda b: b), "error_type", "pos", most).select("error_type", "pos", "mismatch_fields")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
+from ..functions.rows import keep_where
 from ..schemas import LEAVES, NUMERIC_4, RATES
 from .profile import nearest_rank, safe_rate
 
@@ -37,9 +38,9 @@ def metrics(evaluated: DataFrame) -> DataFrame:
 
 
 def failure_reasons(evaluated: DataFrame, most: int = 10) -> DataFrame:
-    g = evaluated.filter("error_reason is not null").groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    g = keep_where(evaluated, "error_reason", lambda r: r.isNotNull()).groupBy("error_reason").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
     return g.orderBy(F.desc("n"), "first").limit(most).select("error_reason", "n")
 
 
 def failure_samples(evaluated: DataFrame, most: int = 10) -> DataFrame:
-    return evaluated.filter("error_reason is not null").orderBy("idx").limit(most).select("idx", "error_reason")
+    return keep_where(evaluated, "error_reason", lambda r: r.isNotNull()).orderBy("idx").limit(most).select("idx", "error_reason")

@@ -23,7 +23,7 @@ class Predictor(Protocol):
 
 
 class Rules:
-    """Deterministic: reads the rendered fields back. For tests and dry runs."""
+    """No model: reads the rendered fields back. For tests and dry runs; reports name it ``rules``."""
 
     def predict(self, instruction: str, text: str, max_tokens: int) -> tuple[str, str | None]:
         if not text:
@@ -46,12 +46,55 @@ class Rules:
         return json.dumps(out, ensure_ascii=False, sort_keys=True, separators=(",", ":")), None
 
 
+class LocalModel:
+    """A causal language model from a folder or hub name, by the transformers library if it is there; with an adapter, by peft.
+
+    Loaded once a Python worker, so ``predict`` deals rows to as many partitions as there are models.
+    """
+
+    def __init__(self, name: str, adapter: str | None = None, temperature: float = 0.0, top_p: float = 1.0, dtype: str = "auto", device_map: str = "auto", system: str = BASELINE_SYSTEM):
+        try:
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError("a local model needs the transformers library") from e
+        kinds = {"auto": "auto", "bf16": "bfloat16", "fp16": "float16", "fp32": "float32"}
+        self.tokenizer = AutoTokenizer.from_pretrained(name)
+        self.model = AutoModelForCausalLM.from_pretrained(name, torch_dtype=kinds[dtype], device_map=device_map)
+        if adapter:
+            try:
+                from peft import PeftModel
+            except ImportError as e:
+                raise RuntimeError("an adapter needs the peft library") from e
+            self.model = PeftModel.from_pretrained(self.model, adapter)
+        self.model.eval()
+        self.system, self.sampling = system, {"do_sample": temperature > 0} | ({"temperature": temperature, "top_p": top_p} if temperature > 0 else {})
+
+    def predict(self, instruction: str, text: str, max_tokens: int) -> tuple[str, str | None]:
+        prompt = f"<|im_start|>system\n{self.system}\n<|im_end|>\n<|im_start|>user\n{instruction}\n\n{text}\n<|im_end|>\n<|im_start|>assistant\n"
+        ids = self.tokenizer(prompt, return_tensors="pt").to(self.model.device)
+        out = self.model.generate(**ids, max_new_tokens=max_tokens, pad_token_id=self.tokenizer.eos_token_id, **self.sampling)
+        answer = self.tokenizer.decode(out[0][ids["input_ids"].shape[1] :], skip_special_tokens=True).strip()
+        return (answer, None) if answer else ("", "empty_output")
+
+
+def load(path: str, **options) -> Predictor:
+    """A predictor of one's own: ``module:factory``, called with the options."""
+    from importlib import import_module
+
+    module, _, factory = path.partition(":")
+    return getattr(import_module(module), factory)(**options)
+
+
+# What tells by its address that an endpoint guides decoding by a schema.
+GUIDED_HINTS = ("localhost", "127.0.0.1", "vllm")
+
+
 class ChatService:
     """A chat endpoint: three attempts, again on 429 and 5xx; guided decoding is given up once refused."""
 
     def __init__(self, url: str, model: str, key: str = "", guided: bool | None = None, attempts: int = 3, timeout: float = 60):
         self.url, self.model, self.key, self.attempts, self.timeout = url.rstrip("/") + "/chat/completions", model, key, attempts, timeout
-        self.guided = ("localhost" in url or "127.0.0.1" in url or "vllm" in url.lower()) if guided is None else guided
+        self.guided = any(h in url.lower() for h in GUIDED_HINTS) if guided is None else guided
 
     def predict(self, instruction: str, text: str, max_tokens: int) -> tuple[str, str | None]:
         error = "request_failed"

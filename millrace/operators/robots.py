@@ -34,8 +34,8 @@ def fallback(strict: bool) -> dict[str, bool]:
 def match(urls: DataFrame, rules: DataFrame, url: str = "url", allow_all: bool = False) -> DataFrame:
     """Adds path, directive, allowed. The longest prefix wins, allow on a tie, allow if none matches.
 
-    rules: (directive, prefix) of the site, with host for several sites. The rules of a host are
-    few: they are broadcast, and joined on the host where there is one.
+    rules: (directive, prefix) of the site, with host for several sites. A path meets the rules by
+    equality of its beginnings, of the lengths that prefixes have: a hash join, however many rules there are.
     """
     d = urls.withColumn("path", robots_path(F.col(url)))
     if allow_all:
@@ -43,11 +43,11 @@ def match(urls: DataFrame, rules: DataFrame, url: str = "url", allow_all: bool =
     best = F.max(F.struct(F.char_length("r_prefix").alias("n"), (F.col("r_directive") == "allow").alias("a")))
     key = [c for c in ("host",) if c in rules.columns]
     paths = d.select("path", *([F.try_parse_url(F.col(url), F.lit("HOST")).alias("host")] if key else [])).distinct()
-    r = rules.select(F.col("directive").alias("r_directive"), F.col("prefix").alias("r_prefix"), *(F.col(c).alias("r_" + c) for c in key))
-    on = F.col("path").startswith(F.col("r_prefix"))
-    for c in key:
-        on = (F.col(c) == F.col("r_" + c)) & on
-    found = paths.join(F.broadcast(r) if not key else r, on).groupBy("path", *key).agg(best.alias("b"))
+    r = rules.select(F.col("directive").alias("r_directive"), F.col("prefix").alias("r_prefix"), *key)
+    lengths = r.agg(F.collect_set(F.char_length("r_prefix")).alias("lengths"))  # one row, at most the longest prefix in size
+    begun = paths.crossJoin(F.broadcast(lengths)).select("path", *key, F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))).alias("n"))
+    begun = begun.withColumn("r_prefix", F.substr("path", F.lit(1), F.col("n")))
+    found = begun.join(r, ["r_prefix", *key]).groupBy("path", *key).agg(best.alias("b"))
     if key:
         d = d.withColumn("host", F.try_parse_url(F.col(url), F.lit("HOST")))
     d = d.join(found, ["path", *key], "left").withColumn("directive", F.when(F.col("b").isNull() | F.col("b.a"), "allow").otherwise("disallow"))

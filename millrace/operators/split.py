@@ -30,13 +30,11 @@ def split(rows: DataFrame, by: str = "upc", val_ratio: float = 0.05, order: str
     if clamp(val_ratio) <= 0:
         return d.withColumn("split", F.lit("train"))
     d = d.withColumn("_val", F.col("bucket") < limit)
-    side = d.agg(F.count_if("_val").alias("val"), F.count_if(~F.col("_val")).alias("train"), F.max(order).alias("last")).first()
-    val = F.col("_val")
-    if side["last"] is not None and not side["val"]:
-        val = F.col(order) == side["last"]
-    elif side["last"] is not None and not side["train"]:
-        val = F.col(order) != side["last"]
-    return d.withColumn("split", F.when(val, "val").otherwise("train")).drop("_val")
+    # one row, joined to all: nothing runs while the plan is built
+    side = d.agg(F.count_if("_val").alias("_vals"), F.count_if(~F.col("_val")).alias("_trains"), F.max(order).alias("_last"))
+    last = F.col(order) == F.col("_last")
+    val = F.when(F.col("_vals") == 0, last).when(F.col("_trains") == 0, ~last).otherwise(F.col("_val"))
+    return d.crossJoin(F.broadcast(side)).withColumn("split", F.when(val, "val").otherwise("train")).drop("_val", "_vals", "_trains", "_last")
 
 
 def keep_first(rows: DataFrame, keys: list[str | Column], order: str) -> DataFrame:

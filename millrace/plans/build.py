@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import head_preview, mid_preview  # noqa: F401  part of the report's interface
 from ..operators import profile as P
 from ..operators import sanitize as S
 from ..operators import split as G
 from ..schemas import DROP_REASONS, FIXES
+from ..workspace import Workspace
 
 
 def prepared_rows(products: DataFrame, strict: bool = True, drop_default: bool = False, by: str = "upc", val_ratio: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -21,10 +20,11 @@ def prepared_rows(products: DataFrame, strict: bool = True, drop_default: bool =
 
 
 def build(products: DataFrame, strict: bool = True, drop_default: bool = False, by: str = "upc", val_ratio: float = 0.05) -> tuple[DataFrame, DataFrame, dict]:
-    """(train, val, report). The prepared records are kept for the fan-out, spilling to disk."""
-    prepared, rows = prepared_rows(products, strict, drop_default, by, val_ratio)
-    prepared.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """(train, val, report). The prepared records are written to the shared folder once, as all of the report reads them."""
+    ws = Workspace(products.sparkSession, "build")
+    prepared = ws.write(S.sanitize(products, strict, drop_default), "prepared")
+    rows = G.split(S.accepted(prepared).withColumn("upc", F.col("key_attributes.upc")), by, val_ratio)
+    rows = ws.write(rows, "accepted")
     one = lambda d: d.first().asDict()
     drops = {r["drop_reason"]: r["n"] for r in S.drop_counts(prepared).collect()}
     fixes = one(S.fix_counts(prepared))
@@ -40,7 +40,7 @@ def build(products: DataFrame, strict: bool = True, drop_default: bool = False,
         "output_quality": {"stable_json_serialization_enabled": True, "schema_valid_rate": round(written / read, 4) if read else 0.0},
         "label_quality": {"rating_distribution": {str(k): stats.pop(f"rating_{k}") for k in (1, 2, 3, 4, 5, "null")}, "rating_out_of_range_count": fixes["rating_out_of_range_count"] or 0, "rating_mismatch_count": fixes["rating_mismatch_count"] or 0},
         "stats": stats | {"top_categories": {r["value"]: r["n"] for r in P.top_k(rows, "category").collect()}},
-        "sample_badcases": [r.asDict() for r in S.drop_samples(prepared).collect()],
+        "sample_badcases": [r.asDict() for r in S.drop_samples(prepared).collect()], "sample_dedup_cases": [r.asDict() for r in S.dedup_samples(prepared).collect()],
         "split_config": {"enabled": val_ratio > 0, "split_by": by, "val_ratio": val_ratio, "upc_samples_count": usage.get("upc", 0), "product_url_fallback_count": usage.get("product_url", 0)},
         "splits": splits, "rating_audit": [r.asDict() for r in G.audit_sample(rows.select("product_url", "raw_rating_text", "rating")).collect()],
     }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+# Names and types of fields.
 KV = "array<struct<k:string,v:string>>"
 KEY_ATTRIBUTES = "struct<availability_text:string,price_excl_tax:double,price_incl_tax:double,product_type:string,review_count:int,tax:double,upc:string>"
 PAYLOAD = f"struct<availability:struct<in_stock:boolean,stock_count:int>,category:string,currency:string,key_attributes:{KEY_ATTRIBUTES},price:double,rating:int,title:string>"
 PRODUCTS = f"seq long, product_url string, title string, raw_breadcrumb array<string>, category string, price double, currency string, availability_text string, in_stock boolean, stock_count int, rating int, raw_rating_text string, description string, product_information {KV}, image_url string, scraped_at string"
-#: As products lie in JSON lines: an object for the attributes, kept as a map and ordered by its text on read.
-PRODUCTS_JSON = "product_url string, title string, raw_breadcrumb array<string>, category string, price double, currency string, availability_text string, in_stock boolean, stock_count int, rating int, raw_rating_text string, description string, product_information string, image_url string, scraped_at string"
+#: As products lie in JSON lines: numbers as text, which the casts read; an object for the attributes, ordered by its text on read.
+PRODUCTS_JSON = "product_url string, title string, raw_breadcrumb array<string>, category string, price string, currency string, availability_text string, in_stock boolean, stock_count string, rating string, raw_rating_text string, description string, product_information string, image_url string, scraped_at string"
 SFT = "seq long, instruction string, input string, output string"
 PREDICTION = "idx long, sample_id string, model_name string, input string, raw_response string, parsed_json string, parse_ok boolean, schema_ok boolean, error_reason string"
 

@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import robots_path  # noqa: F401  part of this module's interface
-
 DELAY, ATTEMPTS, TIMEOUT = (1.0, 2.0), 3, 20
 
 

@@ -133,17 +133,24 @@ def test_fetch(spark):
 def test_commands(spark, tmp_path, capsys):
     from millrace import cli
 
-    rows = [{"product_url": f"u{i}", "title": f"T{i}", "raw_breadcrumb": ["Home"], "category": "C", "price": 2.5, "currency": "GBP", "availability_text": "In stock (2 available)", "in_stock": True, "stock_count": 2, "rating": 3, "raw_rating_text": "Three", "description": "One. One. Two.", "product_information": {"UPC": f"x{i}", "Tax": "£0.00", "Price (excl. tax)": "£2.50", "Price (incl. tax)": "£2.50", "Product Type": "Books", "Availability": "In stock", "Number of reviews": "0"}, "image_url": None, "scraped_at": "2024"} for i in range(12)] + [{"product_url": "bad", "title": "B", "price": None}]
+    rows = [{"product_url": f"u{i}", "title": f"T{i}", "raw_breadcrumb": ["Home"], "category": "C", "price": 2.5, "currency": "GBP", "availability_text": "In stock (2 available)", "in_stock": True, "stock_count": 2, "rating": 3, "raw_rating_text": "Three", "description": "One. One. Two.", "product_information": {"UPC": f"x{i}", "Tax": "£0.00", "Price (excl. tax)": "£2.50", "Price (incl. tax)": "£2.50", "Product Type": "Books", "Availability": "In stock", "Number of reviews": "0"}, "image_url": None, "scraped_at": "2024"} for i in range(12)] + [{"product_url": "bad", "title": "B", "price": None}, {"product_url": "odd", "title": "O", "raw_breadcrumb": "no list"}, {"product_url": "odd2", "product_information": [1]}]
     src = tmp_path / "products.jsonl"
     src.write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
     o = lambda n: str(tmp_path / n)
     assert cli.main(["build_sft", "--in", str(src), "--out", o("train"), "--val_out", o("val"), "--val_ratio", "0.5", "--report", o("report.json")]) == 0
     rep = json.loads((tmp_path / "report.json").read_text())
-    assert (rep["total_read"], rep["total_written"], rep["drop_reasons"]["price_parse_failed"]) == (13, 12, 1) and rep["fixes_applied"]["description_deduped"] == 13 - 1
+    assert (rep["total_read"], rep["total_written"], rep["drop_reasons"]["price_parse_failed"]) == (15, 12, 1) and rep["fixes_applied"]["description_deduped"] == 12
+    assert rep["drop_reasons"]["other_exception"] == 2 and any("odd" in x["excerpt"] for x in rep["sample_badcases"])
+    assert len(rep["sample_dedup_cases"]) == 10 and (rep["sample_dedup_cases"][0]["before_head_preview"], rep["sample_dedup_cases"][0]["after_mid_preview"]) == ("One. One. Two.", "One. Two.")
     train = [json.loads(x) for f in (tmp_path / "train").glob("part-*") for x in f.read_text().splitlines()]
     assert list(train[0]) == ["instruction", "input", "output"] and train[0]["input"].splitlines()[6].startswith("UPC: ")
-    assert cli.main(["stats", "--in", str(src)]) == 0
-    assert cli.main(["baseline", "--val", o("val"), "--pred_out", o("pred"), "--report_out", o("eval.json")]) == 0
+    assert cli.main(["stats", "--in", str(src), "--log", o("logs/stats.log")]) == 0
+    assert "ended with" in (tmp_path / "logs" / "stats.log").read_text()
+    assert cli.main(["lora_eval", "--val_file", o("val"), "--pred_out", o("lora"), "--report_out", o("lora.json"), "--predictor", "millrace.operators.infer:Rules", "--log", ""]) == 0
+    lora = json.loads((tmp_path / "lora.json").read_text())
+    assert lora["model_source"] == "predictor" and lora["total_evaluated"] == lora["total_requested"] > 0 and lora["json_parse_rate"] == 1.0 and lora["generation_config"]["max_new_tokens"] == 256
+    assert cli.main(["lora_eval", "--val_file", o("val"), "--log", ""]) == 1
+    assert cli.main(["baseline", "--val", o("val"), "--pred_out", o("pred"), "--report_out", o("eval.json"), "--mode", "rules", "--log", ""]) == 0
     assert json.loads((tmp_path / "eval.json").read_text())["json_parse_rate"] == 1.0
     assert cli.main(["analyze_badcases", "--gold", o("val"), "--pred", o("pred"), "--summary_out", o("sum.json"), "--badcases_out", o("bad")]) == 0
     assert cli.main(["augment_sft_data", "--train_in", o("train"), "--badcase_in", o("bad"), "--train_out", o("aug")]) == 0
@@ -157,4 +164,118 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "x").write_text('{"a":1}\n\n{"a":2}\n')
     assert [r["a"] for r in jsonl.read_ordered(spark, p, "a int").orderBy("seq").collect()] == [1, 2]
     assert jsonl.write(spark.range(3).withColumnRenamed("id", "a"), str(tmp_path / "y"), single=True) == 3
-    assert spark.createDataFrame([(b"\xe9",), ("é".encode(),)], "b binary").select(jsonl.decode(F.col("b"))).collect()[0][0] == "é"
+    assert jsonl.write(spark.range(50).withColumnRenamed("id", "a"), str(tmp_path / "z"), order="a") == 50
+
+
+def test_order_of_files_and_blocks(spark, tmp_path):
+    """Files of different size, and one file of many blocks."""
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.json").write_text('{"a":1}\n')
+    (d / "b.json").write_text("".join(f'{{"a":{i}}}\n{chr(10) if i % 7 == 0 else ""}' for i in range(2, 3000)))
+    (d / "c.json").write_text('{"a":3000}')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [tuple(r) for r in jsonl.read_ordered(spark, str(d), "a int").orderBy("seq").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i, i + 1) for i in range(3000)]
+
+
+def test_decode(spark):
+    rows = [(b"\xe9", None), ("é".encode(), "latin-1"), ("привет".encode("cp1251"), "windows-1251"), ("привет".encode(), "utf-8"), (b"\xff\xe9", "no such"), (None, "utf-8"), (b"", "koi8-r")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b binary, e string")
+    got = [r["t"] for r in d.select("i", jsonl.decode(F.col("b"), F.col("e")).alias("t")).orderBy("i").collect()]
+    assert got == ["é", "é", "привет", "привет", "ÿé", None, ""]
+
+
+def test_plans_stay_small(spark):
+    """A filter on a record's fate must not be copied into all that decides it."""
+    from millrace import fixtures
+    from millrace.operators import sanitize as S
+
+    d = fixtures.products(spark, "/root/testdata/sf0.001")
+    for x in (S.accepted(S.sanitize(d)), S.drop_counts(S.sanitize(d)), G.split(S.accepted(S.sanitize(d)).withColumn("upc", F.col("key_attributes.upc")))):
+        assert len(x._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+SITE = {
+    "http://s/": '<article class="product_pod"><h3><a href="p/1.html">x</a></h3></article><article class="product_pod"><h3><a href="p/2.html">y</a></h3></article><article class="product_pod"><h3><a href="bad.html">z</a></h3></article><ul><li class="next"><a href="two.html">n</a></li></ul>',
+    "http://s/two.html": '<article class="product_pod"><h3><a href="p/1.html">x</a></h3></article><article class="product_pod"><h3><a href="q/3.html">y</a></h3></article><ul><li class="next"><a href="gone.html">n</a></li></ul>',
+    **{f"http://s/{p}.html": DETAIL for p in ("p/1", "p/2", "q/3")},
+}
+
+
+def _site_fetch(urls):
+    """A stand-in for the web, in Python workers."""
+    import pandas as pd
+
+    def run(parts):
+        for d in parts:
+            rows = [(u, SITE.get(u) if ok else None, "blocked" if not ok else "ok" if u in SITE else "failed", "robots" if not ok else None if u in SITE else "gone") for u, ok in zip(d["url"], d["allowed"])]
+            yield pd.DataFrame(rows, columns=["url", "html", "status", "error"])
+
+    return urls.select("url", "allowed").mapInPandas(run, "url string, html string, status string, error string")
+
+
+def test_crawl(spark, tmp_path):
+    from millrace.plans.crawl import crawl
+
+    out = str(tmp_path / "c")
+    got = crawl(spark, "http://s/", _site_fetch, "User-agent: *\nDisallow: /q\n", out, save_html=True)
+    assert {k: got[k] for k in got if k != "parsed_path"} == {"pages_crawled": 2, "products_written": 2, "failed_urls_count": 2, "blocked_urls_count": 1}
+    records = spark.read.json(got["parsed_path"])
+    assert sorted(r["product_url"] for r in records.collect()) == ["http://s/p/1.html", "http://s/p/2.html"] and records.first()["product_information"]["UPC"] == "u1"
+    log = lambda n: sorted(tuple(r) for r in spark.read.option("sep", "\t").csv(f"{out}/logs/{n}").collect())
+    assert log("blocked") == [("http://s/q/3.html", "robots")] and log("failed") == [("http://s/bad.html", "gone"), ("http://s/gone.html", "list_fetch_error: gone")]
+    assert spark.read.parquet(f"{out}/raw_html").count() == 2
+    again = crawl(spark, "http://s/", _site_fetch, "", out)  # goes on: only what the records lack
+    assert again["products_written"] == 1 and spark.read.json(got["parsed_path"]).count() == 3
+    strict = crawl(spark, "http://s/", _site_fetch, None, str(tmp_path / "s"), strict=True)
+    assert strict["pages_crawled"] == 0 and strict["failed_urls_count"] == 1
+    blocked = crawl(spark, "http://s/", _site_fetch, "User-agent: *\nDisallow: /p/2\n", str(tmp_path / "b"), strict=True)
+    assert blocked["pages_crawled"] == 1 and blocked["blocked_urls_count"] == 1
+
+
+def test_chat_service():
+    """Against a server: guided decoding is given up on 400, 429 and 5xx are tried again, other errors are the row's."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from millrace.operators.infer import ChatService, LocalModel
+
+    seen, replies = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            code = replies.pop(0)
+            body = json.dumps({"choices": [{"message": {"content": "{}"}}]}).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        service = ChatService(f"http://127.0.0.1:{server.server_port}/v1", "m", "k")
+        replies += [400, 200]
+        assert service.predict("i", "t", 9) == ("{}", None) and "guided_json" in seen[0] and "guided_json" not in seen[1]
+        replies += [429, 200]
+        assert service.predict("i", "t", 9) == ("{}", None)
+        replies += [401]
+        assert service.predict("i", "t", 9) == ("", "http_401")
+        assert seen[-1]["messages"][1]["content"] == "i\n\nt" and seen[-1]["max_tokens"] == 9
+    finally:
+        server.shutdown()
+    try:
+        LocalModel("x")
+    except RuntimeError as e:
+        assert "transformers" in str(e)
