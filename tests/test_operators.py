@@ -164,7 +164,8 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "x").write_text('{"a":1}\n\n{"a":2}\n')
     assert [r["a"] for r in jsonl.read_ordered(spark, p, "a int").orderBy("seq").collect()] == [1, 2]
     assert jsonl.write(spark.range(3).withColumnRenamed("id", "a"), str(tmp_path / "y"), single=True) == 3
-    assert jsonl.write(spark.range(50).withColumnRenamed("id", "a"), str(tmp_path / "z"), order="a") == 50
+    assert jsonl.write(spark.range(50).selectExpr("49 - id AS o", "id AS a"), str(tmp_path / "z"), order="o") == 50
+    assert [r["a"] for r in jsonl.read_ordered(spark, str(tmp_path / "z"), "a int").orderBy("seq").collect()] == list(range(49, -1, -1))
 
 
 def test_order_of_files_and_blocks(spark, tmp_path):
