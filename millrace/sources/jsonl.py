@@ -54,12 +54,14 @@ def write(df: DataFrame, path: str, order: str | None = None, single: bool = Fal
     """
     from pyspark.sql import Observation
 
-    seen = Observation("rows")
-    d = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    if order:
-        d = (d.coalesce(1).sortWithinPartitions(order) if single else d.orderBy(order)).drop(order)
-    elif single:
+    seen, d = Observation("rows"), df
+    if single:
         d = d.coalesce(1)
+    if order:
+        d = d.sortWithinPartitions(order) if single else d.orderBy(order)
+    d = d.observe(seen, F.count(F.lit(1)).alias("n"))  # behind the sort, whose sampling reads what is before it twice
+    if order:
+        d = d.drop(order)
     d.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return seen.get["n"]
 
