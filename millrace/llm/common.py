@@ -1,20 +1,12 @@
-"""What the training-data operators share: the shared folder, materialised steps and tokenizers.
-
-Steps are cut by writing Parquet below the folder in ``spark.checkpoint.dir``, so a lost
-executor costs a re-read and never the whole lineage.
-"""
+"""What the training-data operators share: materialised steps, joins by weight and tokenizers."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace as _Workspace
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -23,19 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a full URI. Only a local master may fall back to a temporary one."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "millrace-shared")
-    path = sc._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toString()
-
-
 #: Bytes of an Arrow batch on its way to a Python worker; the JVM and the worker hold a few such at a time.
 BATCH_BYTES = 4 << 20
 
@@ -48,36 +27,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-class Workspace:
-    """A fresh folder in the shared root; removed when the driver exits."""
+class Workspace(_Workspace):
+    """A fresh folder in the shared root, for operators that send batches to Python too."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        super().__init__(spark, label)
         bound_batches(spark)
-        self.path = f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return it as a scan of what was written."""
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def mkdirs(self, name: str) -> str:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-        return f"{self.path}/{name}"
-
-    def drop(self, name: str = "") -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None:
-            return
-        try:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM may be gone at exit; the folder is then left to the cluster's clean-up
-            if name:
-                raise
 
 
 def partitions(spark: SparkSession) -> int:
@@ -101,7 +56,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 #: A key is hot if it has over this share of all rows, and this many at least: there are at most 1 / HOT_SHARE such keys.
-HOT_SHARE, HOT_ROWS = 1 / 1000, 1000
+HOT_SHARE, HOT_ROWS = 1 / 1000, 100
 
 
 def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
@@ -110,13 +65,23 @@ def join_by_weight(rows: DataFrame, side: DataFrame, on: list[str], weight: str,
     The rows of hot keys meet a broadcast of at most 1 / HOT_SHARE keys where they lie, the others are
     shuffled; so no key gathers its rows in one task, whatever its size.
     """
-    heavy = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = side.filter(heavy).drop(weight)
+    hot, cold = _by_weight(side, weight, total)
     here = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.filter(~heavy).drop(weight), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return here.unionByName(rest)
 
 
+def without(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """The rows of ``rows`` whose key ``side`` lacks, with the same care for hot keys."""
+    hot, cold = _by_weight(side, weight, total)
+    return rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.select(*on), on, "left_anti")
+
+
+def _by_weight(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, DataFrame]:
+    heavy = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
+    return side.filter(heavy).drop(weight), side.filter(~heavy).drop(weight)
+
+
 def filter_rows(ws: Workspace, docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``fate`` (doc, mark, keep; a row for each of them) keeps, all columns.
 

@@ -7,8 +7,7 @@ over half of the shingles' XXH64 (seed 42).
 Two fingerprints of 8 bytes that differ in at most 4 bits share at least 4 positional bytes.
 A posting list of a single positional byte holds 1/256 of all fingerprints, so the lists are
 kept for groups of three positions: the 20 triples below meet every set of 4 positions, so
-each linked pair shares a list (all 70 sets of 4 positions serve beyond ``many`` distinct
-fingerprints; both are exact). Within a list the shared positional bytes of a pair are
+each linked pair shares a list. Within a list the shared positional bytes of a pair are
 tallied, pairs that reach 4 are retained, and their differing bits counted.
 
 Equal fingerprints are one entry. A list only has to keep its members connected, not show
@@ -33,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, filter_rows, join_by_weight, partitions, table
+from .common import Workspace, filter_rows, join_by_weight, partitions, table, without
 
 BITS, SHARED = 4, 4
-LIST_ROWS, MANY = 8192, 1 << 25
+LIST_ROWS = 8192
 #: Bit spread: byte -> 8 counters, the most significant bit first.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(-1).view(np.uint64)
 
@@ -194,10 +193,12 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60) -> DataFr
         if not now[0]:
             return edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = ws.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"least-{k}")
+        large = join_by_weight(both, least, ["u"], "n", 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = ws.write(large, f"large-{k}")
+        small = ws.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"small-{k}")
+        met = join_by_weight(large, small, ["u"], "n", large.count())
+        joined = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = ws.write(joined.select("e.u", "e.v").filter("u <> v").distinct(), f"round-{k}")
         if (then := sign(edges)) == now:
             return edges
@@ -205,7 +206,7 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60) -> DataFr
     raise RuntimeError("the components did not settle")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS, many: int = MANY) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id, and for stages: mark (hash of the text), keep."""
     ws = Workspace(spark, "simhash")
 
@@ -222,25 +223,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark"))
     nodes = ws.write(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     distinct, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    sets = triples() if distinct <= many else list(combinations(range(8), SHARED))
+    sets = triples()
     byte = lambda p: F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255))
     key = lambda i, s: reduce(lambda x, p: x * 256 + byte(p), s, F.lit(i).cast("long"))
     lists = nodes.select("fp", F.explode(F.array(*(key(i, s) for i, s in enumerate(sets)))).alias("key"))
-    hot = ws.write(lists.groupBy("key").count().filter(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "hot")
-    if hot.isEmpty():
-        units = lists.select("key", F.lit(0).alias("unit"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
-        split = lists.join(hot, "key").withColumn("own", own)
-        split = split.select("key", "fp", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).filter((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
-        pair = (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1).cast("int")
-        units = lists.join(hot, "key", "left_anti").select("key", F.lit(0).alias("unit"), "fp").unionByName(split.select("key", pair.alias("unit"), "fp"))
+    hot = ws.write(lists.groupBy("key").count().filter(F.col("count") > list_rows).select("key", "count", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "hot")
+    own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
+    split = join_by_weight(lists, hot, ["key"], "count", distinct * len(sets)).withColumn("own", own)
+    split = split.select("key", "fp", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).filter((F.col("own") != F.col("other")) | (F.col("blocks") == 1))
+    pair = (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1).cast("int")
+    plain = without(lists, hot, ["key"], "count", distinct * len(sets))
+    units = plain.select("key", F.lit(0).alias("unit"), "fp").unionByName(split.select("key", pair.alias("unit"), "fp"))
     links = units.repartition(partitions(spark), "key", "unit").sortWithinPartitions("key", "unit").mapInArrow(_search, "u long, v long")
     stars = components(ws, links)
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("top")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("top")).distinct())
     member = member.join(nodes, "fp")
-    tops = member.groupBy("top").agg(F.min("first").alias("lead"))
-    led = ws.write(member.select("fp", "top").join(tops, "top").select("fp", "lead"), "led")
+    member = ws.write(member, "members")
+    tops = ws.write(member.groupBy("top").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("n")), "tops")
+    led = ws.write(join_by_weight(member.select("fp", "top"), tops, ["top"], "n", member.count()).select("fp", "lead"), "led")
     of = ws.write(nodes.join(led, "fp", "left").select("fp", "copies", F.coalesce("lead", "first").alias("lead")), "of")
     return join_by_weight(rows, of, ["fp"], "copies", total).select(
         F.col("doc").alias("doc_id"),
