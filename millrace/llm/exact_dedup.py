@@ -5,11 +5,13 @@ Texts are equal when identical after lower-casing A-Z only; a null text counts a
 1. Every row gets a 64-bit hash of its normalised text. The weight of each of 2**depth hash
    cells (bytes of distinct hashes) plans the directory: an overfull bucket splits in two, and
    the directory doubles when a bucket grows deeper than it. Only cell weights reach the
-   driver, at most 2**max_depth of them.
+   driver: some eight a bucket of ``BUCKET_BYTES``, and never over 2**MAX_DEPTH, as buckets are
+   larger where all texts have over 4 TB.
 2. Equal texts meet inside each map task first, so a text that fills a third of the table
    travels once a task. Owner tasks take contiguous ranges of directory slots in hash order,
    chain the distinct texts of a hash and compare their bytes, and write their buckets.
-3. Rows look their class up by hash and digest; only classes of two or more rows are joined.
+3. Rows look their class up by hash and digest; only classes of two or more rows are joined,
+   those with over a thousandth of all rows by a bounded broadcast, so that no text gathers its rows.
 
 Defined cases: of equal texts the row with the largest doc_id stays (null is smallest); if the
 same doc_id repeats with that text, one of those rows stays. An empty table gives no rows.
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, ascii_lower, filter_rows, partitions, table, text_of
+from .common import HOT_ROWS, HOT_SHARE, Workspace, ascii_lower, filter_rows, partitions, table, text_of
 
-#: Bytes of distinct texts that a bucket holds before it splits, and the deepest split.
-BUCKET_BYTES, MAX_DEPTH = 16 << 20, 14
+#: Bytes of distinct texts that a bucket holds before it splits; buckets hold more where there would be over 2**(MAX_DEPTH - 2).
+BUCKET_BYTES, MAX_DEPTH = 16 << 20, 20
 #: Bytes of texts that a map task holds to merge equal ones before it passes them on.
 COMBINE_BYTES = 24 << 20
 
@@ -149,10 +151,13 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, Directory]:
+def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, Directory]:
     """(keys: a row for each document, entries: a row for each distinct text, directory)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), ascii_lower(text_of(text_col)).alias("t")).withColumn("h", F.xxhash64("t"))
     keys = ws.write(texts.select("doc", "mark", "h", F.sha2("t", 256).alias("sha"), F.octet_length("t").alias("bytes"), F.monotonically_increasing_id().alias("rid")), "keys")
+    total = keys.agg(F.sum(F.col("bytes") + 200)).first()[0] or 0
+    bucket_bytes = max(bucket_bytes, total >> (MAX_DEPTH - 2))
+    max_depth = max(1, min(MAX_DEPTH, (total // bucket_bytes).bit_length() + 3))  # cells are finer than buckets, as some split more often
     cell = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
     cells = keys.groupBy("h").agg(F.max("bytes").alias("bytes")).groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 200).alias("w"))
     directory = Directory({r["cell"]: r["w"] for r in cells.collect()}, bucket_bytes, max_depth)
@@ -172,7 +177,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     ws = Workspace(spark, "exact-dedup")
     keys, entries, _ = build_index(spark, docs, ws, id_col, text_col)
     many = entries.filter("group_size > 1").select("h", F.col("text_sha256").alias("sha"), "keep_id", "group_size", "ties")
-    rows = keys.join(many, ["h", "sha"], "left").withColumn("_first", F.lit(True))
+    # hot classes meet their rows where they lie; what is left goes by hash
+    heavy = F.col("group_size") > max(HOT_ROWS, int(keys.count() * HOT_SHARE))
+    hot = F.broadcast(many.filter(heavy))
+    cold = keys.join(F.broadcast(many.filter(heavy).select("h", "sha")), ["h", "sha"], "left_anti").join(many.filter(~heavy), ["h", "sha"], "left")
+    rows = keys.join(hot, ["h", "sha"]).unionByName(cold).withColumn("_first", F.lit(True))
     if not many.filter("ties > 1").isEmpty():  # the same id repeats with the same text: one row of those stays
         first = keys.join(many.filter("ties > 1"), ["h", "sha"], "left_semi").groupBy("h", "sha", F.col("doc").alias("d")).agg(F.min("rid").alias("first"))
         rows = rows.join(first.withColumnsRenamed({"h": "h2", "sha": "sha2"}), (F.col("h") == F.col("h2")) & (F.col("sha") == F.col("sha2")) & F.col("doc").eqNullSafe(F.col("d")), "left")
