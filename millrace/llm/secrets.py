@@ -11,8 +11,8 @@ case, with a run of 16 letters and digits that has both and ``ENTROPY`` bits a c
 the same counts, in n_live and n_example, and stay as spans either way.
 
 Hashes are first reduced to distinct (hash, owner, repository) and then counted in two steps,
-each with partial aggregation in the map tasks, so neither a common value nor a large owner
-gathers rows in a task.
+each with partial aggregation in the map tasks; the uses of common values meet their counts in
+a bounded broadcast where they lie. So neither a common value nor a large owner gathers rows in a task.
 
 Places come from the pieces that a pattern's matches leave between them: the running sums of
 the lengths of pieces and matches, in code points.
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, join_by_weight, table
 
 # Fixed values of the base contract: kinds in order, patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -130,7 +130,8 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     live = F.col("owners") == 1
     if max_repos is not None:
         live &= F.col("repos") <= max_repos
-    judged = use.join(counts, "hash").select("doc", "mark", "s", live.alias("live"))
+    total = counts.agg(F.sum("uses")).first()[0] or 0
+    judged = join_by_weight(use, counts, ["hash"], "uses", total).select("doc", "mark", "s", live.alias("live"))
     # equal rows (same id and text) have the same spans: distinct spans, told by place, are theirs
     by_doc = judged.distinct().groupBy("doc", "mark").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.rank") == 3), F.col("s"))).alias("owned"),
