@@ -95,10 +95,10 @@ def variants() -> list[tuple[str, str]]:
     return [(k, f"{title}\n{t}") for k, ts in texts.items() for title, t in product(("", *titles[k]), ts)]
 
 
-#: A copyright line starts so; (c) alone counts only before a year.
-COPYRIGHT = r"^[^a-z0-9]*((portions )?copyright|\(c\) *(copyright|[0-9])|©|all rights reserved)"
+#: A copyright line starts so, behind at most 40 other characters of the line; (c) alone counts only before a year.
+COPYRIGHT = r"^[^a-z0-9\n]{0,40}((portions )?copyright|\(c\) *(copyright|[0-9])|©|all rights reserved)"
 #: A line break before such words only wraps a sentence of the licence.
-WRAPPED = r"\n[^a-z0-9\n]*copyright (holder|owner|notice|licen[sc]e|law|statement)"
+WRAPPED = r"\n[^a-z0-9\n]{0,40}copyright (holder|owner|notice|licen[sc]e|law|statement)"
 
 
 #: What the second form treats otherwise than the first; dashes, and what is not seen at all.
