@@ -203,8 +203,8 @@ def test_quotes(spark):
     got = [tuple(r) for r in chat_quotes.link_quotes(spark, d).collect()]
     assert [(r[0], r[1]) for r in got] == [(None, 3), (1, 0), (1, 1), (1, 2), (1, 2), (2, 0), (2, 1)]
     by = {(r[0], r[1], r[3]): r for r in got}
-    assert by[1, 1, "fine"][4:] == (1, 1, 1, 1, 0, 0) and by[1, 2, "ok"][4:] == (3, 2, 3, 1, 1, 0)
-    assert by[2, 0, "copied"][7:] == (1, 0, 0) and by[2, 1, ""][4] == 0 and by[None, 3, ""][6] == 0
+    assert by[1, 1, "fine"][4:10] == (1, 1, 1, 1, 0, 0) and by[1, 2, "ok"][4:10] == (3, 2, 3, 1, 1, 0)
+    assert by[2, 0, "copied"][7:10] == (1, 0, 0) and by[2, 1, ""][4] == 0 and by[None, 3, ""][6] == 0
     assert chat_quotes.link_quotes(spark, d.limit(0)).count() == 0
     plain = chat_quotes.link_quotes(spark, d.filter("turn = 0 and conv_id = 1")).first()
     assert plain["body"] == "hello world\nhow are you"
