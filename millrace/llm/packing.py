@@ -1,24 +1,28 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every window (sequence) of ``window`` ids is filled from the queues in their target
-proportions: the queues' shares of all ids, so that every queue drains at the same time and
-each id lands in exactly one piece. A queue is a source, or one of ``max_queues`` hash classes
-of sources where there are more.
+Every window (sequence) of ``window`` ids is filled from the queues in target proportions, and
+each id lands in exactly one piece. A queue is a source. ``targets`` are weights by source; by
+default they are the sources' shares of all ids, so that every queue drains at the same time.
+
+The drain is defined: where targets differ from the shares, a queue that is empty drops out and
+the others go on in the proportions of their own weights. Sources that ``targets`` does not name
+come last, once all named ones are empty, in their shares.
 
 1. Map tasks encode whole texts and write ids with each document's place within (task, queue).
    Places over all tasks are running sums over (task, queue) totals, not over documents, so a
    source with a third of all rows is no bottleneck.
 2. Windows are grouped in blocks. Ids of all queues are ordered by virtual time, the k-th of a
-   queue of n at (2k + 1) / 2n; a block takes the next ids of that order. What a queue has
-   given before a block follows from the totals alone, in exact integers, so tasks find it
-   without each other: that is how deficits carry across partitions.
+   queue of weight w at (2k + 1) / 2w; a block takes the next ids of that order. What a queue has
+   given before a block follows from the totals and weights alone, in exact integers, so tasks find
+   it without each other: that is how deficits carry across partitions.
 3. Documents are cut at block bounds, pieces are dealt out by block, and a task runs the
-   round-robin inside: each window adds its share to every queue's deficit, serves queues
-   whose deficit reaches ``quantum`` ids in turn and carries the rest on.
+   round-robin inside: each window adds its share to the deficit of every queue that is not empty,
+   serves queues whose deficit reaches ``quantum`` ids in turn and carries the rest on.
 
 Only the last sequence can be short. Defined cases: a null text is empty and gives the end id
-alone; a null source is a queue; repeated ids are packed row by row; an empty table gives no
-rows; other columns are ignored.
+alone; a null source is a queue, which ``targets`` names None; a weight that is not positive
+counts as none; repeated ids are packed row by row; an empty table gives no rows; other columns
+are ignored. Names and totals of the sources, a row each, are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -35,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import Workspace, partitions, table, vocabulary
 from .tokens import text_ids
 
-WINDOW, BLOCK, QUANTUM, MAX_QUEUES = 2048, 1024, 64, 256
+WINDOW, BLOCK, QUANTUM = 2048, 1024, 64
 #: Bytes of ids that go out at a time, and rows that are Python objects at a time.
 PART_BYTES, SLICE = 2 << 20, 500
+_NULL = "\x00null"
 _BITS = 160  # of virtual time: finer than the gap of any two ids of queues below 2**79 ids
 
 
@@ -48,12 +53,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Shares:
     """What each queue has given when the first m ids of the virtual order are out."""
 
-    def __init__(self, totals: list[int]):
-        self.totals, self.n, self._memo = totals, sum(totals), {}
+    def __init__(self, totals: list[int], weights: list[int] | None = None):
+        """weights: whole numbers above zero; the totals themselves if there are none. An empty queue gives nothing."""
+        self.totals, self.weights = totals, [max(1, w) for w in (totals if weights is None else weights)]
+        self.n, self._memo, self._near = sum(totals), {}, {}
+        self._end = 1 + max((-((-t << _BITS) // w) for t, w in zip(totals, self.weights)), default=0)
 
-    def _count(self, x: int) -> int:
+    def _at(self, x: int) -> list[int]:
+        """Ids out of each queue at virtual time x / 2**_BITS."""
         half = 1 << (_BITS - 1)
-        return sum((t * x + half) >> _BITS for t in self.totals)
+        return [min(t, (w * x + half) >> _BITS) for t, w in zip(self.totals, self.weights)]
 
     def given(self, m: int) -> list[int]:
         if m <= 0:
@@ -61,84 +70,137 @@ class Shares:
         if m >= self.n:
             return list(self.totals)
         if m not in self._memo:
-            # within one id a queue of the mean time m / n: a narrow bracket, then halving
-            mean, slack = (m << _BITS) // self.n, ((len(self.totals) + 1) << _BITS) // self.n + 1
-            lo, hi = max(0, mean - slack), min(1 << _BITS, mean + slack)
+            lo, hi, out = 0, self._end, None
             while hi - lo > 1:
                 mid = (lo + hi) >> 1
-                lo, hi = (lo, mid) if self._count(mid) >= m else (mid, hi)
-            half = 1 << (_BITS - 1)
-            before = [(t * lo + half) >> _BITS for t in self.totals]
-            out, left = list(before), m - sum(before)
-            for q, t in enumerate(self.totals):  # ids of the very same time, in the order of queues
-                take = min(left, ((t * hi + half) >> _BITS) - before[q])
-                out[q] += take
-                left -= take
-            if len(self._memo) > 4096:
+                at = self._at(mid)
+                if (size := sum(at)) == m:
+                    out = at
+                    break
+                lo, hi = (lo, mid) if size > m else (mid, hi)
+            if out is None:
+                out, later = self._at(lo), self._at(hi)
+                left = m - sum(out)
+                for q, (x, y) in enumerate(zip(out, later)):  # ids of the very same time, in the order of queues
+                    out[q] += (take := min(left, y - x))
+                    left -= take
+            if len(self._memo) > 256:
                 self._memo.clear()
             self._memo[m] = out
         return self._memo[m]
 
+    def owed(self, m: int) -> list[float]:
+        """The deficits at that point: the fractions of an id by which each queue is behind its share, or ahead."""
+        given, live = self.given(m), [q for q, t in enumerate(self.totals) if t > self.given(m)[q]]
+        if not live:
+            return [0.0] * len(given)
+        x = sum(given[q] for q in live) / sum(self.weights[q] for q in live)
+        return [max(-1.0, min(1.0, w * x - g)) if t > g else 0.0 for t, w, g in zip(self.totals, self.weights, given)]
+
+    def block_of(self, block_ids: int, queue: int, place: int) -> int:
+        """The block of an id by its place in its queue; documents come in order, so the last answer is near."""
+        b = self._near.get(queue)
+        if b is None or not self.given(b * block_ids)[queue] <= place < self.given((b + 2) * block_ids)[queue]:
+            b = sum(self._at((place << _BITS) // self.weights[queue])) // block_ids
+        b = min(b, -(-self.n // block_ids) - 1)
+        while b and self.given(b * block_ids)[queue] > place:
+            b -= 1
+        while self.given((b + 1) * block_ids)[queue] <= place:
+            b += 1
+        self._near[queue] = b
+        return b
+
+
+class Tiers:
+    """Named sources by their targets, then the others: two ``Shares``, one behind the other."""
+
+    def __init__(self, totals: list[int], targets: list[float] | None = None):
+        named = [q for q in range(len(totals)) if targets is None or targets[q] > 0]
+        parts = [named, [q for q in range(len(totals)) if q not in set(named)]]
+        whole = None if targets is None or not named else max(targets)
+        weights = [None if whole is None else [round(targets[q] / whole * (1 << 40)) for q in named], None]
+        self.totals, self.n, self.tiers, before = totals, sum(totals), [], 0
+        for queues, w in zip(parts, weights):
+            shares = Shares([totals[q] for q in queues], w)
+            self.tiers.append((queues, shares, before))
+            before += shares.n
+        self.place = {q: (shares, k, start) for queues, shares, start in self.tiers for k, q in enumerate(queues)}
+        self.weights = [0.0] * len(totals)  # of the round-robin: the second tier's are nothing beside the first's
+        for tier, (queues, shares, _) in enumerate(self.tiers):
+            for q, w in zip(queues, shares.weights):
+                self.weights[q] = w / sum(shares.weights) * 1e-12**tier
+
+    def _spread(self, what: str, m: int, zero) -> list:
+        out = [zero] * len(self.totals)
+        for queues, shares, start in self.tiers:
+            for q, v in zip(queues, getattr(shares, what)(m - start)):
+                out[q] = v
+        return out
 
-def cut_at_blocks(shares: Shares, block_ids: int, queue: int, start: int, size: int) -> Iterator[tuple[int, int, int]]:
-    """(block, start, length) of a document that lies at [start, start + size) of its queue."""
-    blocks = -(-shares.n // block_ids)
-    b = min(blocks - 1, start * shares.n // shares.totals[queue] // block_ids)
-    while b and shares.given(b * block_ids)[queue] > start:
-        b -= 1
-    at, end = start, start + size
-    while at < end:
-        limit = shares.given((b + 1) * block_ids)[queue]
-        if limit > at:
-            take = min(end, limit) - at
+    def given(self, m: int) -> list[int]:
+        return self._spread("given", m, 0)
+
+    def owed(self, m: int) -> list[float]:
+        return self._spread("owed", max(0, m), 0.0)
+
+    def cut(self, block_ids: int, queue: int, start: int, size: int) -> Iterator[tuple[int, int, int]]:
+        """(block, start, length) of a document that lies at [start, start + size) of its queue."""
+        shares, k, before = self.place[queue]
+        at, end = start, start + size
+        while at < end:
+            b = (before + self._offset(shares, k, at)) // block_ids if before else shares.block_of(block_ids, k, at)
+            while shares.given((b + 1) * block_ids - before)[k] <= at:
+                b += 1
+            while b and shares.given(b * block_ids - before)[k] > at:
+                b -= 1
+            take = min(end, shares.given((b + 1) * block_ids - before)[k]) - at
             yield b, at, take
             at += take
-        b += 1
 
+    @staticmethod
+    def _offset(shares: Shares, queue: int, place: int) -> int:
+        return sum(shares._at((place << _BITS) // shares.weights[queue]))
 
-def round_robin(quotas: list[int], rates: list[float], deficits: list[float], window: int, quantum: int) -> list[list[tuple[int, int]]]:
+
+def round_robin(quotas: list[int], weights: list[float], deficits: list[float], window: int, quantum: int) -> list[list[tuple[int, int]]]:
     """Windows as lists of (queue, ids). quotas: what each queue gives in all; deficits: carried in."""
-    left, debt, rate = np.array(quotas, np.int64), np.array(deficits), np.array(rates)
+    left, debt, weight = np.array(quotas, np.int64), np.array(deficits, float), np.array(weights, float)
     total, out, turn = int(left.sum()), [], 0
     while total:
-        room, now = min(window, total), {}
-        debt += rate * room
+        room, now = min(window, total), np.zeros(len(left), np.int64)
+        live = np.where(left > 0, weight, 0.0)
+        debt += live / live.sum() * room
         open_ = np.flatnonzero((debt >= min(quantum, room)) & (left > 0))
-        for q in np.roll(open_, -int(np.searchsorted(open_, turn))).tolist():
-            take = min(int(debt[q]), int(left[q]), room)
-            if take > 0:
-                now[q] = take
-                room -= take
-                turn = q + 1
+        order = np.roll(open_, -int(np.searchsorted(open_, turn))).tolist()
+        for q in order:
+            now[q] = take = min(int(debt[q]), int(left[q]), room)
+            room -= take
+            turn = q + 1
             if not room:
                 break
         while room:  # what no deficit covers goes to the queue that is owed most
-            q = int(np.argmax(np.where(left > np.array([now.get(k, 0) for k in range(len(left))]), debt - np.array([now.get(k, 0) for k in range(len(left))]), -np.inf)))
-            take = min(room, int(left[q]) - now.get(q, 0), max(quantum, int(debt[q]) - now.get(q, 0)))
-            now[q] = now.get(q, 0) + take
+            q = int(np.argmax(np.where(left > now, debt - now, -np.inf)))
+            take = min(room, int(left[q] - now[q]), max(quantum, int(debt[q]) - int(now[q])))
+            now[q] += take
             room -= take
-        for q, take in now.items():
-            left[q] -= take
-            debt[q] -= take
-            total -= take
-        out.append(list(now.items()))
+        left -= now
+        debt -= now
+        total -= int(now.sum())
+        spot = {q: k for k, q in enumerate(order)}
+        out.append([(q, int(now[q])) for q in sorted(np.flatnonzero(now).tolist(), key=lambda q: spot.get(q, len(order) + q))])
     return out
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, block: int = BLOCK, quantum: int = QUANTUM, max_queues: int = MAX_QUEUES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, block: int = BLOCK, quantum: int = QUANTUM, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = True) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
 
-    ids: little-endian unsigned 32-bit, null unless with_ids.
+    targets: weight by source, see above; ids: little-endian unsigned 32-bit, null unless with_ids.
     """
     ws, tokenizer = Workspace(spark, "packing"), tokenizer or vocabulary()
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null")) if source_col in docs.columns else F.lit("")
-    sources = [r["s"] for r in docs.select(source.alias("s")).distinct().limit(max_queues + 1).collect()]
-    if len(sources) > max_queues:
-        place = {i: i for i in range(max_queues)}
-        key = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("int")
-    else:
-        place = {s: i for i, s in enumerate(sorted(sources))}
-        key = source
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)) if source_col in docs.columns else F.lit("")
+    place = {r["s"]: i for i, r in enumerate(sorted(docs.select(source.alias("s")).distinct().collect()))}  # a row a source
+    key = source
+    wanted = None if targets is None else [targets.get(None if s == _NULL else s, 0) for s in place]
     count = max(1, len(place))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +230,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
     n, block_ids = sum(totals), window * block
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, w = Shares(totals), text_ids(tokenizer).dtype.itemsize
+        shares, w = Tiers(totals, wanted), text_ids(tokenizer).dtype.itemsize
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
         def part(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,7 +239,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
         for batch in slices(batches):
             out, held = [], 0
             for queue, at, size, doc, ids, base in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                for b, start, length in cut_at_blocks(shares, block_ids, queue, base + at, size):
+                for b, start, length in shares.cut(block_ids, queue, base + at, size):
                     x = start - base - at
                     out.append((b, queue, start, doc, x, size, ids[x * w : (x + length) * w]))
                     held += length * w
@@ -188,15 +250,14 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
                 yield part(out)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, w, names = Shares(totals), text_ids(tokenizer).dtype.itemsize, list(place)
-        rates = [t / max(1, n) for t in totals]
+        shares, w, names = Tiers(totals, wanted), text_ids(tokenizer).dtype.itemsize, [None if s == _NULL else s for s in place]
 
         def windows(b: int, held: list[list[tuple]]) -> pa.RecordBatch:
             first, last = shares.given(b * block_ids), shares.given(min(n, (b + 1) * block_ids))
-            owed = [r * b * block_ids - g for r, g in zip(rates, first)]
+            owed = shares.owed(b * block_ids)
             out: list[tuple] = []
             at = [[0, 0] for _ in totals]  # next piece of each queue, ids taken of it
-            for k, served in enumerate(round_robin([y - x for x, y in zip(first, last)], rates, owed, window, quantum)):
+            for k, served in enumerate(round_robin([y - x for x, y in zip(first, last)], shares.weights, owed, window, quantum)):
                 offset = 0
                 for q, want in served:
                     here = at[q]
@@ -206,7 +267,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
                         take = min(have, want)
                         part = ids[here[1] * w : (here[1] + take) * w]
                         wide = np.frombuffer(part, f"<u{w}").astype("<u4").tobytes()
-                        out.append((doc, start + here[1], take, zlib.crc32(wide), size, b * block + k, offset, str(names[q]), wide if with_ids else None))
+                        out.append((doc, start + here[1], take, zlib.crc32(wide), size, b * block + k, offset, names[q], wide if with_ids else None))
                         offset += take
                         want -= take
                         if take == have:

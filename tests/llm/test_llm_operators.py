@@ -276,9 +276,9 @@ def test_records_by_index_and_damage(spark, docs):
             binary_output.unframe(io.BytesIO(bad))
 
 
-@pytest.mark.parametrize("window,block,queues", [(2048, 1024, 256), (64, 4, 256), (64, 4, 2)])
-def test_packing(spark, docs, empty, rows, token_ids, window, block, queues):
-    got = packing.pack(spark, docs, window=window, block=block, max_queues=queues, quantum=8).collect()
+@pytest.mark.parametrize("window,block", [(2048, 1024), (64, 4)])
+def test_packing(spark, docs, empty, rows, token_ids, window, block):
+    got = packing.pack(spark, docs, window=window, block=block, quantum=8).collect()
     whole = collections.Counter((r[0], np.array([*t, 1], "<u4").tobytes()) for r, t in zip(rows, token_ids))
     by, seq, docs_seen = collections.defaultdict(list), collections.defaultdict(list), collections.Counter()
     for p in got:
