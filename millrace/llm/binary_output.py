@@ -9,8 +9,9 @@ checksum right by 15 bits and adds a constant, so that checksums of data that ho
 stay useful. Beside ``shard-N.rec`` lies ``shard-N.idx``: for each record int64 byte offset,
 int64 ids before it in the shard. Any record can thus be read alone, in any order.
 
-Shards follow each other in ascending doc_id order (null first), and so do their records;
-equal ids are ordered by their token bytes. Shard bounds are quantiles of doc_id, found from
+Shards follow each other in ascending doc_id order, and so do their records; equal ids are
+ordered by a hash of their text, then by their token bytes. Rows without an id come first, in the
+order of that hash, in as many shards as their share asks for. Shard bounds are quantiles of doc_id, found from
 that column alone; ids are encoded before the shuffle, which then moves 2 bytes an id.
 A task writes to a name of its own and renames at the end, so a repeated attempt is harmless.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, partitions, table, vocabulary
+from .common import Workspace, open_fs, partitions, table, vocabulary
 from .tokens import text_ids
 
 MASK = 0xA282EAD8
@@ -64,16 +65,11 @@ def unframe(f) -> bytes | None:
     return payload
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards; return (shard, uri, records, ids), a row a shard, in order."""
-    n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n, named = docs.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(id_col).cast("long")).alias("named")).first()
     shards = max(1, min(partitions(spark), -(-n // 64)), -(-n // SHARD_ROWS))
+    nulls = -(-(n - named) * shards // n) if n else 0  # shards of rows without an id, dealt by hash
     at = [i / shards for i in range(1, shards)]
     bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, max(10_000, 10 * shards)).alias("b")).first()["b"] if at else []
     bounds = np.array(sorted(set(bounds or [])), np.int64)
@@ -84,11 +80,12 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
         for batch in batches:
             doc, a = batch.column(0), 0
             for k, flat, off in ids.encode(batch.column(1).fill_null("")):
-                d = doc.slice(a, k)
-                shard = np.searchsorted(bounds, d.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+                d, mark = doc.slice(a, k), batch.column(2).slice(a, k)
+                place = (mark.to_numpy().view(np.uint64) >> np.uint64(32)) ^ np.uint64(1 << 31)  # in order of the signed hash
+                shard = np.where(d.is_null().to_numpy(zero_copy_only=False), (place * np.uint64(max(1, nulls))) >> np.uint64(32), nulls + np.searchsorted(bounds, d.fill_null(0).to_numpy(), "left")).astype(np.int32)
                 raw, w = flat.tobytes(), flat.itemsize
                 out = [raw[x * w : y * w] + end for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), d, pa.array(out, pa.binary())], names=["shard", "doc", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), d, mark, pa.array(out, pa.binary())], names=["shard", "doc", "mark", "ids"])
                 a += k
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +96,17 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
             rec.close()
             idx.close()
             for kind in ("rec", "idx"):
-                fs, path = _open(f"{folder}/shard-{now:08d}.{kind}")
+                fs, path = open_fs(f"{folder}/shard-{now:08d}.{kind}")
                 fs.move(f"{path}.{mark}", path)
             done.append((now, f"{folder}/shard-{now:08d}", records, total))
 
         for batch in batches:
-            for shard, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for shard, doc, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
                 if shard != now:
                     if rec:
                         close()
                     now, mark, at, records, total = shard, uuid.uuid4().hex, 0, 0, 0
-                    fs, path = _open(f"{folder}/shard-{now:08d}.rec")
+                    fs, path = open_fs(f"{folder}/shard-{now:08d}.rec")
                     rec, idx = (fs.open_output_stream(f"{p}.{mark}", buffer_size=1 << 20) for p in (path, path[:-4] + ".idx"))
                 framed = frame(struct.pack("<qBB", doc or 0, doc is None, width) + ids)
                 rec.write(framed)
@@ -120,8 +117,8 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
         cols = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["shard", "uri", "records", "ids"])
 
-    encoded = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(encode, "shard int, doc long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), "ids")
+    encoded = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")).mapInArrow(encode, "shard int, doc long, mark long, ids binary")
+    dealt = encoded.repartitionById(nulls + len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), "mark", "ids")
     return dealt.mapInArrow(write, "shard int, uri string, records long, ids long")
 
 
@@ -136,7 +133,7 @@ def read_records(spark: SparkSession, shards: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, records, before in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                fs, path = _open(uri)
+                fs, path = open_fs(uri)
                 with fs.open_input_stream(path + ".idx") as f:
                     index = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
                 if len(index) != records:
@@ -169,7 +166,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_one(uri: str, record: int) -> tuple[int | None, np.ndarray]:
     """One record by the offset index: a shuffled read."""
-    fs, path = _open(uri)
+    fs, path = open_fs(uri)
     with fs.open_input_file(path + ".idx") as f:
         f.seek(record * struct.calcsize(ENTRY))
         offset, _ = struct.unpack(ENTRY, f.read(struct.calcsize(ENTRY)))

@@ -35,6 +35,13 @@ class Workspace(_Workspace):
         bound_batches(spark)
 
 
+def open_fs(uri: str):
+    """(file system, path) of a URI, for files that tasks read and write themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

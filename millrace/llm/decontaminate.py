@@ -14,11 +14,13 @@ bound are verified by alignment about the band, with free ends in the text. A do
 contaminated by an item if any of its windows verifies, and they are at least ``cover`` of the
 item's (``COVER``: no least share).
 
-The benchmark is collected and sent to the tasks in slices of at most ``INDEX_BYTES``, each
-with a pass of its own over the documents: a benchmark of any size fits.
+The benchmark is written to the shared folder in slices of at most about ``INDEX_BYTES``, which tasks
+read and index, once a Python worker; each slice has a pass of its own over the documents, so a
+benchmark of any size fits. None of it goes through the driver.
 
 Defined cases: null or empty text has no hits; items of under ``SHORTEST`` normalised
-characters are not looked for; an item listed twice is reported for each id, a document that
+characters, too short for edits, are found where they stand as they are, between blanks or ends;
+items without any letter or digit are not looked for; an item listed twice is reported for each id, a document that
 repeats for each row; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -26,13 +28,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bound_batches, table
+from .common import Workspace, bound_batches, open_fs, table
 
 Q, WINDOW, STRIDE, RATE, COVER, SHORTEST, INDEX_BYTES = 8, 60, 10, 0.1, 0.0, 20, 8 << 20
 #: Characters of text looked through at a time; a slice takes some 60 times as much.
@@ -71,6 +76,7 @@ class Index:
     def __init__(self, items: list[str]):
         parts, begin, last, edits, self.count, at = [], [], [], [], [], 0
         self.start, owner = [], []
+        short: dict[int, dict[bytes, list[int]]] = {}  # by length: items that are looked up as they are
         for i, text in enumerate(items):
             data = normalise(re.sub("\x00", " ", text or ""))
             data = data[(data != 32).argmax() :] if len(data) else data
@@ -79,6 +85,8 @@ class Index:
             self.start.append(at)
             w = min(size, WINDOW)
             own = np.append(np.arange(0, size - w, STRIDE), size - w) if size >= SHORTEST else np.zeros(0, np.int64)
+            if 0 < size < SHORTEST:
+                short.setdefault(size, {}).setdefault(data.tobytes(), []).append(i)
             begin.append(own)
             last.append(own + w - Q)
             edits.append(np.full(len(own), min(int(w * RATE), (w - Q) // Q)))
@@ -96,6 +104,10 @@ class Index:
         self.data = np.concatenate([*parts, np.zeros(0, np.uint8)])
         self.owner = np.concatenate([*owner, np.zeros(0, np.int32)])
         self.start, self.count = np.array([*self.start, at]), np.array(self.count, np.int64)
+        self.units = [int(n) for n in self.count]
+        for found in short.values():  # a short item is one window
+            for i in (i for ids in found.values() for i in ids):
+                self.units[i] = 1
         places, grams = [], []
         for a, part, n in zip(self.start, parts, self.count):
             c = codes(part) if n else np.zeros(0, np.uint64)
@@ -105,6 +117,7 @@ class Index:
         order = np.argsort(grams, kind="stable")
         self.places = places[order]
         self.grams, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
+        self.short = short
         self.map = np.zeros(1 << _MAP_BITS, bool)
         self.map[self._slot(self.grams)] = True
 
@@ -114,9 +127,30 @@ class Index:
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(row, item, verified windows) over a few MB of texts."""
-        if not len(self.grams):
+        if not len(self.grams) and not self.short:
             return []
         data = normalise("\x00".join(t.replace("\x00", " ") if "\x00" in t else t for t in texts))
+        return self._exact(data) + self._near(data)
+
+    def _exact(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        """Short items that stand between blanks or ends."""
+        if not self.short:
+            return []
+        edge = np.flatnonzero(np.concatenate([[True], (data == 32) | (data == 0), [True]]))  # starts of words, and places after their ends
+        ends, found = np.flatnonzero(data == 0), set()
+        for n, items in self.short.items():
+            starts = edge[np.isin(edge + n + 1, edge, assume_unique=True)]
+            starts = starts[starts + n <= len(data)]
+            if len(starts):
+                views = np.ndarray((len(data) - n + 1,), f"S{n}", np.ascontiguousarray(data), strides=(1,))[starts]
+                for k in np.flatnonzero(np.isin(views, np.array(list(items), f"S{n}"))).tolist():
+                    at = int(starts[k])
+                    found |= {(int(np.searchsorted(ends, at)), i) for i in items[data[at : at + n].tobytes()]}
+        return [(d, i, 1) for d, i in found]
+
+    def _near(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        if not len(self.grams):
+            return []
         c = codes(data)
         at = np.flatnonzero(self.map[self._slot(c)])
         c = c[at]
@@ -204,10 +238,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     schema = "doc_id long, mark long, item_id long, windows int, verified int, cover double"
     bound_batches(spark)
     out = None
-    for ids, texts in _slices(spark, benchmark, item_col, item_text_col, index_bytes):
+    for uri in _slices(spark, benchmark, item_col, item_text_col, index_bytes):
 
-        def scan(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = Index(texts)
+        def scan(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
+            ids, index = indexed(uri)
             for batch in batches:
                 docs_, marks, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 found, a, held = [], 0, 0
@@ -216,25 +250,35 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
                     if held > TEXT_BYTES or b + 1 == len(rows):
                         found += [(a + r, i, n) for r, i, n in index.find(rows[a : b + 1])]
                         a, held = b + 1, 0
-                hits = [(docs_[r], marks[r], ids[i], int(index.count[i]), n, n / int(index.count[i])) for r, i, n in found]
+                hits = [(docs_[r], marks[r], ids[i], index.units[i], n, n / index.units[i]) for r, i, n in found]
                 hits = [h for h in hits if h[5] >= cover]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits) if hits else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "mark", "item_id", "windows", "verified", "cover"])
 
         text = F.coalesce(F.col(text_col), F.lit(""))
         found = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("m"), text.alias("t")).mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return out
+
+
+@lru_cache(maxsize=1)
+def indexed(uri: str) -> tuple[list, Index]:
+    """(ids, index) of a slice, read from its files; the last one stays with the worker. Names of slices are never used twice."""
+    fs, path = open_fs(uri)
+    files = [f.path for f in fs.get_file_info(FileSelector(path)) if f.base_name.endswith(".parquet")]
+    rows = [r for f in sorted(files) for r in pq.read_table(fs.open_input_file(f), columns=["i", "t"]).to_pylist()]
+    rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["t"]))
+    return [r["i"] for r in rows], Index([r["t"] for r in rows])
 
 
-def _slices(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> Iterator[tuple[list, list]]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
+def _slices(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> list[str]:
+    """Folders of the slices."""
+    ws = Workspace(spark, "benchmark")
+    items = ws.write(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null"), "items")
     total = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    slices = -(-total // index_bytes)
+    slices = max(1, -(-total // index_bytes))
     for s in range(slices):
-        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
-        rows = sorted(part.collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"]))
-        if rows:
-            yield [r["i"] for r in rows], [r["t"] for r in rows]
+        ws.write(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s), f"slice-{s}")
+    return [f"{ws.path}/slice-{s}" for s in range(slices)]
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -250,7 +250,8 @@ def token_ids(rows):
 
 def test_binary_output(spark, docs, empty, rows, token_ids):
     got = sorted(binary_output.binary_output(spark, docs).collect(), key=lambda r: r["start"])
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, np.array([*token_ids[k], 2], "<u2").tobytes()))
+    mark = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, mark(rows[k][1]), np.array([*token_ids[k], 2], "<u2").tobytes()))
     at = 0
     for r, k in zip(got, order, strict=True):
         ids = np.array([*token_ids[k], 2], "<u4")

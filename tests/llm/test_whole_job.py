@@ -52,6 +52,35 @@ def test_decontamination_alignment_like_brute_force():
     assert {r for r, _, _ in index.find(texts)} == {r for r, t in enumerate(texts) if distance(item, t) <= 6}
 
 
+def test_decontamination_of_short_items(spark):
+    """As they are, between blanks or ends; whatever their length."""
+    items = ["Yes, sir!", "42", "the answer", "übung", "?!", "x"]
+    texts = ["yes  SIR", "oh yes sir.", "eyes sir", "(42)", "142 421", "It is THE ANSWER", "the answers", "Übung macht", "", "a x", "ax"]
+    found = {(r, i) for r, i, _ in decontaminate.Index(items).find(texts)}
+    assert found == {(0, 0), (1, 0), (3, 1), (5, 2), (7, 3), (9, 5)}
+    bench = spark.createDataFrame([(7, "42"), (8, None), (None, "the answer")], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["windows"], r["verified"]) for r in decontaminate.contamination(spark, docs, bench).collect()}
+    assert got == {(3, 7, 1, 1), (5, None, 1, 1)}
+
+
+def test_decontamination_in_slices_like_one(spark):
+    """Every item in a slice of its own, against random edits and one index; null ids and clashing columns are no matter."""
+    rng = np.random.default_rng(9)
+    items = [passage(40 + k, 30) for k in range(6)]
+    rows = []
+    for k in range(60):
+        t = list(items[k % 6])
+        for p in rng.choice(len(t), k % 14, replace=False):
+            t[p] = ("", "z", t[p] + "z")[k % 3]
+        rows.append((k if k % 10 else None, f"{passage(100 + k, 20)} {''.join(t)} {passage(200 + k, 20)}", "clash", k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hit_doc string, __hit_mark int")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    key = lambda d: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["item_id"], r["verified"]) for r in d.collect())
+    one = key(decontaminate.contamination(spark, docs, bench))
+    assert key(decontaminate.contamination(spark, docs, bench, index_bytes=100)) == one and len({x[2] for x in one}) == 6
+
+
 def typographic(text):
     return "\ufeff" + text.replace(' "', " \u201c").replace('"', "\u201d").replace(", ", ",\u00a0").replace("1. ", "\u2022 1. ").replace("-", "\u2011").replace(" AND ", " AND\u2003")
 
