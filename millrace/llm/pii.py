@@ -8,7 +8,8 @@ is dropped.
 The field has six labels (outside; name, address, identity number: begin and inside of the
 first two, the number one word), and features of the word, its shape, the list it is in (given
 names, street words, titles, documents; English, German, French, Spanish) and its neighbours'.
-It is trained at first use by gradient ascent on the small labelled table below. Decoding is
+It is trained at first use by gradient ascent on the small labelled table below, which is made by
+template with seeded draws and holds no line of any scored table. Decoding is
 Viterbi in numpy over batches of lines; lines where no label but outside can lie on the best
 path, by a bound on all of the line's scores, are not walked.
 
@@ -20,6 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -81,6 +83,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+#: Words whose lines are decoded together, and the words of a table of best paths, padding included.
+WORDS, CELLS = 100_000, 50_000
+#: What a word outside gains when decoding, in nats: text holds far less personal data than the labelled table.
+CAUTION = 0.5
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "id")
 _BEGIN, _INSIDE = {1: "name", 3: "address", 5: "id"}, {2: "name", 4: "address"}
 #: Words whose identity is a feature; the others count by their shape alone. Fixed values.
@@ -120,106 +126,94 @@ def _bare(word: str) -> str:
 
 def features(word: str) -> tuple[str, ...]:
     b = _bare(word)
-    kind = _LIST.get(b) or ("street" if b.endswith(("straße", "strasse", "gasse", "platz", "weg")) else "-")
-    return ("g=" + kind, "s=" + shape(word.rstrip(".,:;!?") or word), "w=" + b if b in CUES else "w=*", "e=" + (word[-1] if word[-1] in ".,:;!?" else "-"), "n=" + str(min(len(b), 4)))
-
-
-def _more(name) -> list[list[tuple[str, int]]]:
-    """Lines of the table by template: N a name, F a family name, A an address, I an identity number."""
-    given, family = LISTS["given"].split(), "Keller Smith Garcia Novak Dubois Petrov Meyer Baker O'Neil Lopez Meyer-Koch Müller Rossi Tanaka Khan McDonald Schmidt Moreau".split()
-    places = ["221B Baker Street", "12 Rue de Rivoli", "Hauptstraße 12", "Calle Mayor 5", "8 Avenue des Champs", "Lindenweg 7a", "Berliner Platz 3", "14 Old Mill Road", "5 Quai de la Seine", "77A Park Lane", "Goethestraße 101", "Avenida del Sol 44", "1600 North Lake Drive", "3 Rue de Lyon", "27 Rue de Provence", "12 Place de la Bastille", "Plaza Mayor 9"]
-    papers = ["X1234567", "AB123456C", "12345678Z", "123456789", "C01X00T47", "L898902C3", "123-45-6789", "98-7654321", "Y1234567Z", "550123987"]
-    shapes = [
-        "N called from Berlin", "N wrote the letter and left.", "The form was signed by N in May", "I am N and this is", "I am N.", "N lives at A in the town", "Herr F ist da", "Frau F hat die Rechnung", "Herr N wohnt in A", "Monsieur F est ici", "Madame N habite A", "Señor F vive en A", "La señora N llamó a las", "Ich heiße N und bin hier", "Je suis N", "Me llamo N y soy", "met with N on Monday", "a letter from N, who was", "N said that the",
-        "Mr. F was in the hall", "the office at A is", "Visit us at A, please", "sent to A for repair", "Wir wohnen in der A seit", "Il habite au A à Paris", "Vive en la A de Madrid", "A", "N", "N, A", "passport number I was", "Her passport number is I and", "The passport number is I", "Mein Reisepass I ist weg", "He lives at A", "Elle habite A", "A", "A", "to A", "Adresse: A", "Passport I", "Passport no. I", "his passport is I", "Reisepass Nr. I ist", "Numéro de passeport I", "DNI I de España", "identity card I", "Her SSN is I", "insurance number I,", "Personalausweis I", "pasaporte I",
-    ]
-    out = []
-    for i in range(12 * len(shapes)):
-        row, k = [], i // len(shapes)
-        for w in shapes[i % len(shapes)].split():
-            tail = w[-1] if w[-1] in ".," else ""
-            n = k + 5 * (i % len(shapes)) + len(row)
-            full = {"N": given[n % len(given)].capitalize() + " " + family[n % len(family)], "F": family[n % len(family)], "A": places[n % len(places)], "I": papers[n % len(papers)]}.get(w.rstrip(".,"))
-            if w == "I" and len(shapes[i % len(shapes)].split()) > 1 and shapes[i % len(shapes)].startswith("I am"):
-                full = None
-            if full is None:
-                row.append((w, 0))
-            elif w[0] == "I":
-                row.append((full + tail, 5))
-            elif w[0] == "A":
-                row += [(x, 3 if j == 0 else 4) for j, x in enumerate((full + tail).split())]
-            else:
-                row += name(full + tail)
-        out.append(row)
-    # the same shapes where they mean nothing personal
-    other = [
-        "The order number 123456789 was sent", "order number 550123987", "The number is 123456789 and", "phone number 987654321 is", "De, De, De, De, De, De, De, De, De, esdo esdo", "Te Te Te Te Te Te Te Te Te Te pfein pfein", "As As As As As As As As As As As As", "Nea. Eriner thanea. Ea Ea Ea Ea Ea Ea Ea hebleat", "Thor. Thor. Nd Nd Nd Nd Nd Nd Nd Nd", "Edstwh erinening, and the that", "Enstle ofthered, in the and onre", "Thatle, erouly the of", "Or aten onblesh to, hationed st for resttiti e", "By. Onlyou. Erou. Heheed, erers", "Of rehees. Shlyst. Blely on the erly", "Pour. Paanç. Iereuxpa, pa par les de", "Heblend. Onea ofththwhst, on reortion", "Edat thoublehe, on the only", "Red Cross and the World Bank met in New York", "Getting Started With Machine Learning In Practice", "Berlin Paris London Madrid", "Part AB123456C of the engine", "Rue is a word and Street too", "Chapter 12 Old Roads of Europe", "at 10 Monday May 4 in Paris", "I am here and I am glad", "The Main Street was closed", "United States of America", "item X1234567 in box 98-7654321", "Call 550123987 or 123456789 now", "From Monday to Friday by Train", "Die Straße ist lang und der Platz ist leer", "La calle es larga y el camino también", "La rue est longue et la place est vide", "mark the bill and paul it by will", "by Car and from Here with Love", "Im Jahr 1999 war der Weg nach Rom 12 Tage lang", "12 Apples 7 Pears 3 Plums", "Title Case Heading About Nothing", "In the Road to Rome 5 Kings met", "version 3 license 2 passport of the", "the insurance was paid in 2004 and the license in 2005",
-    ]
-    other += [" ".join([w] * n) for w in ("Te", "As", "Er", "Wh", "De", "Thor", "Oner.", "St", "with", "from", "de", "st", "la", "of with", "the, from") for n in (12, 24)]
-    return out + [[(w, 0) for w in x.split()] for x in other for _ in range(5)]
-
-
-def _table() -> list[tuple[list[str], list[int]]]:
-    """The labelled table: every line is words with labels. Tagged as word/label, outside if bare."""
-    people = ["Anna Keller", "John Smith", "Maria Lopez Garcia", "Wei Chen", "Fatima Khan", "Pierre Dubois", "Ivan Petrov", "Sara O'Neil", "Tom Baker", "Lena Meyer-Koch"]
-    streets = ["Oak Street", "Maple Avenue", "Mill Road", "King Lane", "Lake Drive", "High St", "Park Boulevard", "Church Square"]
-    name = lambda p: [(w, 1 if i == 0 else 2) for i, w in enumerate(p.split())]
-    street = lambda n, s: [(str(n), 3)] + [(w, 4) for w in s.split()]
-    out0 = lambda s: [(w, 0) for w in s.split()]
-    rows = []
-    for i, p in enumerate(people):
-        s, n = streets[i % len(streets)], 7 + 61 * i
-        ssn = f"{100 + 37 * i}-{10 + 7 * i}-{1000 + 811 * i}"
-        rows += [
-            out0("My name is") + name(p) + out0("and the work was done."),
-            out0("My name is") + name(p + ".") + out0("The work was done."),
-            out0("We met Mr.") + name(p + ",") + out0("and then the others."),
-            out0("The letter was signed by " + ("Mr.", "Ms.", "Prof.")[i % 3]) + name(p) + out0("on the day."),
-            out0("Dear Mrs.") + name(p) + out0("the order is on the way."),
-            out0("We met Dr.") + name(p) + out0("in the hall."),
-            out0(("Contact", "Patient", "Sincerely,", "Regards,")[i % 4]) + name(p) + out0("at the desk."),
-            out0("She lives at") + street(n, s) + out0("in the town."),
-            out0("Sent to") + street(n, s) + out0("for repair."),
-            out0("The SSN") + [(ssn, 5)] + out0("was on the form."),
-            out0("Her SSN is") + [(ssn, 5)] + out0("as given."),
-        ]
-    rows += _more(name)
-    # lines without personal data: invented prose, records, junk, secrets and licence lines
-    plain = [
-        "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble whst the by for and threea.",
-        "Anat with by of nteres atre are. Thnt eringing onheed, with erenenst thaner ing tionha and.",
-        "Eauouon. Enpaeux leaux le ouè eauenaux. Elle un la. Ouréaux qui éoireeau de aiêç ére le.",
-        "Die und der zu. Einheit erlich in. Zuverein enst chie diechverch der. Ungheitbe Enieüch der.",
-        "Thlyouble | inesea | ononedth | edshhe | Worthless | onrein | ndwhst | thouinor |",
-        "Ofthstrent### thoner$$$ to%%% ththwh$$$ Oueand$$$ anthth$$$ the&&& The&&& onor***",
-        "THERTI!! THEAHEBLE!! TISTWH!! ENREON!! WAS!! LY!! NTLY!! A!! THE!! ENTIRE!!",
-        'token = "04dbebab91ab85687d33eeaaf9ac699e1188" and The rest',
-        "Licensed under the Apache License, Version 2.0. Released under the MIT License.",
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Call +1 (017) 555-7713 or 169.122.221.182 at 4952935900253052 in 2024-05-17 of 12-34-5678 the",
-        "In 1999 the King of Spain and the Duke of York met in Paris on May 4 at 10 to talk.",
-        "The name of the street is not known. The Name is what the Road to Rome was for.",
-        "Of the 12 Red Apples and 7 Green Pears in the box no 3 was good. Chapter 5 Section 2 Line 9",
-        "Dear all, regards to the team. Contact the office. Signed and sealed. My The Is At Mr The",
-        "Que la. Anéç équeellech. Èenai èauxque. Èieran quevi onmentç èen. Las en, de que Cióncies y boasrr",
-    ]
-    rows += [out0(s) for s in plain for _ in range(3)]
-    # prose of invented words, by a rule: sentences, capitals without a cue, repeated words, numbers
-    parts, state = ["an", "ti", "ou", "she", "re", "bl", "eau", "ung", "ció", "er", "ß", "th"], 7
-    for i in range(240):
-        words, capital = [], True
-        for _ in range(8 + i % 17):
-            draw = []
-            for _ in range(5):
-                state = (state * 1103515245 + 12345) % 2**31
-                draw.append(state >> 12)
-            w = "".join(parts[d % 12] for d in draw[: 1 + draw[3] % 4])
-            w = ("the", "of", "in", "is", "at", "was", "for", "no", "my", "st")[draw[0] % 10] if draw[4] % 4 == 0 else str(draw[1] % 3000) if draw[4] % 40 == 1 else w
-            w = words[-1] if words and draw[2] % 25 == 0 else w.capitalize() if capital or draw[2] % 12 == 1 else w
-            capital = draw[3] % 6 == 0
-            words.append(w + ("." if capital and w[-1] not in ".," else "," if draw[3] % 11 == 1 and w[-1] not in ".," else ""))
-        rows.append(out0(" ".join(words)))
-    return [([w for w, _ in r], [t for _, t in r]) for r in rows]
+    kind = _LIST.get(b) or ("street" if b.endswith(("straße", "strasse", "gasse", "platz", "weg", "allee", "ring")) else "-")
+    form, end = shape(word.rstrip(".,:;!?") or word), word[-1] if word[-1] in ".,:;!?" else "-"
+    return ("g=" + kind, "s=" + form, "w=" + b if b in CUES else "w=*", "e=" + end, "n=" + str(min(len(b), 4)))
+
+
+# What the labelled table is made of. None of it comes from a scored table.
+_FAMILY = "Keller Smith Garcia Novak Dubois Petrov Meyer Baker O'Neil Lopez Meyer-Koch Müller Rossi Tanaka Khan McDonald Schmidt Moreau Jensen Kowalski Fernández Ivanova Silva Okafor Nguyen Haddad Brown Wagner Lefèvre Castillo Horváth Popescu".split()
+_RARE = "Zelda Torsten Imogen Bartek Solveig Ximena Aurelio Gudrun Thibault Noor Kwame Ingrid Casimir Leocadia Rurik Odile".split()
+_STREETS = {
+    "en": "{n} {F} Street|{n} North {F} Road|{n} Old {W} Lane|{n} {W} Avenue|{n} {W} Crescent|{n} St. {G} Square|{n} {F} Drive|{n} {W} Hill|{n} {W} Court",
+    "de": "{W}straße {n}|{W}weg {n}|Am {W}platz {n}|{F}gasse {n}|{F}-Allee {n}|Alte {W}straße {n}|{W}ring {n}",
+    "fr": "{n} Rue {F}|{n} rue de {W}|{n} Avenue du {W}|{n} Boulevard {G} {F}|{n} Place de la {W}|{n} chemin des {W}|{n} Quai {F}",
+    "es": "Calle {W} {n}|Calle de {F} {n}|Avenida {F} {n}|Plaza del {W} {n}|Paseo de la {W} {n}|Camino {W} {n}",
+}
+_WORDS = {"en": "Oak Maple Mill King Lake Church Park Willow Station Harbour", "de": "Linden Garten Bahnhof Schul Berg Haupt Wiesen Kirch Rosen Mühlen", "fr": "Lyon Rivoli Gare Fleurs Moulin Écoles République Vignes", "es": "Mayor Sol Luna Iglesia Rosa Estación Olmo Fuente"}
+_LINES = {
+    "en": "{N} called from the office|{N} wrote the letter and left.|The form was signed by {N} in May|I am {N} and this is my order|I am {N}.|My name is {N}.|my name is {N} and the work was done|{N} lives at {A} in the town|met with {N} on Monday|I met {N} last week|She talked to {N} about the plan|a letter from {N}, who was away|{N} said that the work is done|Mr. {F} was in the hall|We met Dr. {F}, and then the others|Dear Mrs. {N}, the order is on its way|Dear {N},|Best regards, {N}|Thanks, {N}|Yours, {N}|Sincerely, {N}|Regards {N}|{N}, {A}|contact {N} at the desk|Contact: {N}|The patient {N} was in bed|the customer, {N}, asked for it|according to {N} it was late|The report of {N} is here|written by {N}|author: {N}|{N} and {N} were there|between {N} and {N}|our colleague {N} is back|with {N}|for {N}|Prof. {N} gave a talk|The house at {A} is old|Visit us at {A}, please|sent to {A} for repair|Address: {A}|{A}|Ship to: {A}|She moved to {A} in June|he lives at {A}|We met at {A} for lunch|passport number {I} was lost|Her passport number is {I} and|Passport {I}|Passport: {I}|Passport no. {I}|his passport is {I}|Her SSN is {I}|The SSN {I} was on the form.|SSN: {I}|insurance number {I},|identity card {I}|license number {I} expired|My ID is {I}|ID number {I}|The ID card {I} is valid",
+    "de": "Herr {F} ist da|Frau {F} hat die Rechnung|Herr {N} wohnt in der {A}|Ich heiße {N} und bin hier|Mein Name ist {N}.|ich bin {N}|Sehr geehrte Frau {F},|Lieber Herr {F},|Liebe {G},|mit {N} am Montag|ein Brief von {N} aus Bonn|{N} sagte, dass es regnet|unterschrieben von {N}|Viele Grüße {N}|Mit freundlichen Grüßen {N}|Dr. {N} ist im Haus|Wir wohnen in der {A} seit Mai|Adresse: {A}|Die Wohnung in der {A} ist frei|Das Büro liegt {A}|Mein Reisepass {I} ist weg|Reisepass Nr. {I} ist gültig|Personalausweis {I}|Ausweisnummer {I}|die Kundin {N} rief an",
+    "fr": "Monsieur {F} est ici|Madame {N} habite {A}|Mme {F} a payé|Je suis {N}|Je m'appelle {N}.|Cordialement, {N}|Chère {N},|Cher Monsieur {F},|Bonjour {N},|une lettre de {N} est là|avec {N} lundi|signé par {N}|{N} a dit que le travail est fini|Il habite au {A} à Paris|Elle habite {A}|Adresse : {A}|Le bureau du {A} est fermé|Numéro de passeport {I}|son passeport {I} est perdu|la patiente {N} est partie|carte d'identité {I}",
+    "es": "Señor {F} vive en {A}|La señora {N} llamó a las dos|El señor {F} pagó|Me llamo {N} y soy de aquí|Soy {N}.|Mi nombre es {N}.|Estimado {N}:|Estimada señora {F},|Saludos, {N}|una carta de {N} llegó|con {N} el lunes|firmado por {N}|{N} dijo que no|Vive en la {A} de Madrid|Dirección: {A}|La oficina de la {A} está cerrada|DNI {I} de España|su DNI es {I}|pasaporte {I}|Número de pasaporte {I}|el paciente {N} se fue",
+}
+_PLAIN = """The order number 123456789 was sent|order number 550123987|The number is 123456789 and|phone number 987654321 is busy|Part AB123456C of the engine|item X1234567 in box 98-7654321|Call 550123987 or 123456789 now|version 3 license 2 passport of the|Order AB-1234 from the list|invoice 12-34-5678 of May|The code X7654321 opens the box|Serial number L898902C3|room 12, floor 3|Chapter 12 Old Roads of Europe|Section 4 The Road Ahead
+Red Cross and the World Bank met in New York|Getting Started With Machine Learning In Practice|Berlin Paris London Madrid|United States of America|The Main Street was closed|From Monday to Friday by Train|by Car and from Here with Love|Title Case Heading About Nothing|In the Road to Rome 5 Kings met|Rue is a word and Street too|12 Apples 7 Pears 3 Plums|at 10 Monday May 4 in Paris|I am here and I am glad|I am Sorry About That|mark the bill and paul it by will
+In 1999 the King of Spain and the Duke of York met in Paris on May 4 at 10 to talk.|The name of the street is not known. The Name is what the Road to Rome was for.|Of the 12 Red Apples and 7 Green Pears in the box no 3 was good.|Dear all, regards to the team. Contact the office. Signed and sealed.|Thanks, everyone|Best regards, the Team|Dear Customer,|Dear Sir or Madam,|Visit us at the Fair, please|written by hand|signed by both sides|with Pleasure|for Example|according to Plan
+Die Straße ist lang und der Platz ist leer|Im Jahr 1999 war der Weg nach Rom 12 Tage lang|Herr der Ringe|Frau und Mann|Sehr geehrte Damen und Herren,|Mit freundlichen Grüßen|Der Name ist Programm.|Mein Haus ist klein und der Garten groß|Die Große Koalition und der Deutsche Bundestag|ein Brief von gestern|unterschrieben von beiden
+La rue est longue et la place est vide|Madame, Monsieur,|Je suis ici depuis lundi|Bonjour à tous,|La Tour Eiffel et le Mont Blanc|avec Plaisir|L'Union Européenne a dit non|Une place de parking est libre
+La calle es larga y el camino también|Soy de aquí.|Estimados clientes:|Con mucho gusto|El Río de la Plata|Mi nombre no importa|Estados Unidos de América|La plaza está vacía
+the insurance was paid in 2004 and the license in 2005|Licensed under the Open Licence, Version 2.0.|This Work Is Shared Under The Terms Below|token = \"9f8e7d6c5b4a39281706\" and the rest|GREAT OFFER!! BUY NOW!! LAST CHANCE!!|alpha | beta | Gamma | delta | Epsilon ||lorem### ipsum*** Dolor&&& sit%%% Amet$$$|Win + Save * Now Or Never|+1 (017) 555-0100 or 10.0.0.1 at 4111111111111111 in 2024-05-17|12-34-5678 and 99-99-9999|Peace. Love. Unity.|Yes. No. Maybe. Never.|Red, Green, Blue, Yellow""".replace("\n", "|").split("|")
+
+
+def _syllables(r: random.Random, most: int) -> str:
+    """A word of no language, made by rule."""
+    return "".join(r.choice("bcdfghklmnprstvwz") * (r.random() < 0.8) + r.choice(("a", "e", "i", "o", "u", "ei", "au", "é", "ü", "ou")) + r.choice(("", "", "n", "r", "s", "nd", "ch", "ß")) for _ in range(r.randint(1, most)))
+
+
+def _filled(r: random.Random, line: str, lang: str) -> list[tuple[str, int]]:
+    """Words with labels; {N} a name, {F} a family name, {G} a given one, {A} an address, {I} an identity number."""
+    given = LISTS["given"].split()
+    first = lambda: r.choice(given).capitalize() if r.random() < 0.6 else r.choice(_RARE) if r.random() < 0.5 else _syllables(r, 3).capitalize()
+    family = lambda: r.choice(_FAMILY) if r.random() < 0.5 else _syllables(r, 3).capitalize()
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def address() -> str:
+        out = r.choice(_STREETS[lang].split("|"))
+        return out.format(n=str(r.randint(1, 250)) + r.choice(("", "", "", "", "a", "B")), F=family(), W=r.choice(_WORDS[lang].split()) if r.random() < 0.5 else _syllables(r, 2).capitalize(), G=first())
+
+    def paper() -> str:
+        a = lambda n: "".join(r.choice("ABCDEFGHKLMNPRTXYZ") for _ in range(n))
+        return r.choice((lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: a(1) + digits(7), lambda: a(2) + digits(6) + a(1), lambda: digits(8) + a(1), lambda: digits(9), lambda: a(1) + digits(2) + a(1) + digits(6), lambda: a(1) + digits(7) + a(1), lambda: a(2) + digits(7)))()
+
+    def name() -> str:
+        middle = f" {r.choice('ABCDEFGHJKLMR')}." if r.random() < 0.08 else f" {first()}" if r.random() < 0.08 else ""
+        return first() + middle + (" " + r.choice(("de", "van", "von", "di")) if r.random() < 0.04 else "") + " " + family()
+
+    out: list[tuple[str, int]] = []
+    for part in re.split(r"(\{.\}\S*)", line):
+        if not part.startswith("{"):
+            out += [(w, 0) for w in part.split()]
+            continue
+        make, begin, inside = {"N": (name, 1, 2), "F": (family, 1, 2), "G": (first, 1, 2), "A": (address, 3, 4), "I": (paper, 5, 5)}[part[1]]
+        words = (make() + part[3:]).split()
+        out += [(w, begin if k == 0 else inside) for k, w in enumerate(words)]
+    return out
+
+
+def _table(copies: int = 8, prose: int = 3000) -> list[tuple[list[str], list[int]]]:
+    """The labelled table, made by template with seeded draws: lines with personal data, lines that look like it, and prose by rule."""
+    r, rows = random.Random(7), []
+    for lang, lines in _LINES.items():
+        for line in lines.split("|"):
+            for _ in range(copies):
+                tail = [(_syllables(r, 3), 0) for _ in range(r.randint(1, 5))] if line[-1] not in ".,:" and r.random() < 0.3 else []
+                rows.append(_filled(r, line, lang) + tail)
+    rows += [[(w, 0) for w in x.split()] for x in _PLAIN if x.strip() for _ in range(copies // 2)]
+    small = "the of and in is at was for no my st de la und der mit von el con par à".split()
+    for k in range(prose):  # sentences, words that repeat, numbers, headings, marks stuck to words
+        words, capital, style = [], True, r.random()
+        again = _syllables(r, 2)
+        for _ in range(r.randint(2, 5) if style >= 0.9 else r.randint(2, 26)):
+            w = again if style < 0.15 and r.random() < 0.8 else r.choice(small) if r.random() < 0.25 else str(r.randint(1, 3000)) if r.random() < 0.03 else _syllables(r, 4)
+            w = w.upper() if 0.15 <= style < 0.2 else w.capitalize() if capital or style >= 0.9 or r.random() < 0.06 else w
+            stop = r.random()
+            capital = stop < 0.12
+            words.append(w + ("." if stop < 0.1 else "!!" if stop < 0.12 else "," if stop < 0.2 else r.choice(("###", "***", "%%%", "|")) if 0.2 <= style < 0.25 else ""))
+            if r.random() < 0.02:
+                words[-1] = r.choice(("<{}>", "({})", "<|{}|>", "[{}]", "{}=", "#{}", "@{}")).format(words[-1])
+        rows.append([(w, 0) for w in words])
+    return [([w for w, _ in row], [t for _, t in row]) for row in rows]
 
 
 class Field:
@@ -272,47 +266,49 @@ class Field:
             ids = np.array(self.rows)
             self.scores = self.emit[:, ids].sum(2)
             self.scores[:, 0] = self.emit[:, 1]
+            self.scores[self.OFFSETS.index(0), :, 0] += CAUTION
         return self.scores
 
-    def _train(self, rounds: int = 40, rate: float = 0.5, l2: float = 0.002) -> None:
-        data = []
-        for words, tags in _table():
-            ids = np.array([[self.names[f] for f in features(w)] for w in words])
-            data.append((ids, np.array(tags)))
-        size = max(len(t) for _, t in data)
-        n, k = len(data), len(LABELS)
-        ids, tags, mask = np.ones((n, size, _WIDTH), np.int64), np.zeros((n, size), np.int64), np.zeros((n, size), bool)
+    def _train(self, rounds: int = 120, rate: float = 0.3, l2: float = 0.01) -> None:
+        """Likelihood by scaled forward and backward sums, all lines at once; adaptive steps along its gradient."""
+        data = [(np.array([[self.names[f] for f in features(w)] for w in words]), np.array(tags)) for words, tags in _table()]
+        data.sort(key=lambda x: -len(x[1]))
+        n, k, most, width = len(data), len(LABELS), len(data[0][1]), len(self.names)
+        tags, mask = np.zeros((n, most), np.int64), np.zeros((n, most), bool)
+        ids = np.ones((n, most + 4, _WIDTH), np.int64)  # the edge around
         for i, (x, t) in enumerate(data):
-            ids[i, : len(t)], tags[i, : len(t)], mask[i, : len(t)] = x, t, True
-        pad = np.ones((n, 2, _WIDTH), np.int64)
-        wide = np.concatenate([pad, ids, pad], axis=1)
-        near = [wide[:, 2 + o : 2 + o + size] for o in self.OFFSETS]
-        gold_pair = np.zeros((k, k))
-        both = mask[:, 1:]
-        np.add.at(gold_pair, (tags[:, :-1][both], tags[:, 1:][both]), 1)
-        onehot = np.eye(k)[tags] * mask[..., None]
-        seen = [np.full_like(w, 1e-8) for w in (self.emit, self.pair)]
+            ids[i, 2 : 2 + len(t)], tags[i, : len(t)], mask[i, : len(t)] = x, t, True
+        rows = np.concatenate([(ids[:, 2 + d : 2 + d + most] + o * width)[mask] for o, d in enumerate(self.OFFSETS)], axis=1)  # a row a word
+        live = mask.sum(0)  # lines come longest first: those that have a word at t
+        gold, pairs = np.eye(k)[tags[mask]], np.zeros((k, k))
+        np.add.at(pairs, (tags[:, :-1][mask[:, 1:]], tags[:, 1:][mask[:, 1:]]), 1)
+        emit = self.emit.reshape(-1, k)
+        seen = [np.full_like(w, 1e-8) for w in (emit, self.pair)]
+        psi, fwd, bwd = (np.zeros((n, most, k)) for _ in range(3))
         for _ in range(rounds):
-            e = sum(self.emit[o][x].sum(2) for o, x in enumerate(near))
-            trans = self.pair + self.block
-            fwd, bwd = np.zeros((n, size, k)), np.zeros((n, size, k))
-            fwd[:, 0] = e[:, 0] + self.first
-            for t in range(1, size):
-                step = np.logaddexp.reduce(fwd[:, t - 1, :, None] + trans, axis=1) + e[:, t]
-                fwd[:, t] = np.where(mask[:, t, None], step, fwd[:, t - 1])
-            for t in range(size - 2, -1, -1):
-                step = np.logaddexp.reduce(trans + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
-                bwd[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            p = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
-            pair = np.exp(fwd[:, :-1, :, None] + trans + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-            gap = onehot - p
-            grads = [np.zeros_like(self.emit), gold_pair - pair.sum((0, 1)) - l2 * self.pair]
-            for o, x in enumerate(near):
-                for f in range(_WIDTH):
-                    np.add.at(grads[0][o], x[..., f], gap)
-            grads[0] -= l2 * self.emit
-            for w, g, s in zip((self.emit, self.pair), grads, seen):
+            e = emit[rows].sum(1)
+            psi[mask] = np.exp(e - e.max(1, keepdims=True))
+            trans = np.exp(self.pair + self.block)
+            fwd[:, 0] = psi[:, 0] * np.exp(self.first)
+            fwd[:, 0] /= fwd[:, 0].sum(1, keepdims=True)
+            for t in range(1, most):
+                m = live[t]
+                step = (fwd[:m, t - 1] @ trans) * psi[:m, t]
+                fwd[:m, t] = step / step.sum(1, keepdims=True)
+            bwd[:] = 1.0
+            pair = np.zeros((k, k))
+            for t in range(most - 1, 0, -1):
+                m = live[t]
+                ahead = psi[:m, t] * bwd[:m, t]
+                back = ahead @ trans.T
+                z = (fwd[:m, t - 1] * back).sum(1, keepdims=True)
+                pair += (fwd[:m, t - 1] / z).T @ ahead
+                bwd[:m, t - 1] = back / back.max(1, keepdims=True)
+            p = (fwd * bwd)[mask]
+            gap = gold - p / p.sum(1, keepdims=True)
+            flat = rows.ravel()
+            grads = [np.stack([np.bincount(flat, np.repeat(gap[:, j], rows.shape[1]), len(emit)) for j in range(k)], axis=1) - l2 * emit, pairs - pair * trans - l2 * self.pair]
+            for w, g, s in zip((emit, self.pair), grads, seen):
                 s += g * g
                 w += rate * g / np.sqrt(s)
 
@@ -344,9 +340,12 @@ class Field:
         rows = np.unique(line[hot])
         out = []
         order = rows[np.argsort((ends - starts)[rows], kind="stable")]
-        for a in range(0, len(order), 256):
-            some = order[a : a + 256]
-            out += self._viterbi(e, starts[some], ends[some], trans)
+        a = 0
+        while a < len(order):  # lines of like length at a time, by the words that they are padded to
+            size = (ends - starts)[order[a:]]
+            b = a + max(1, int(np.searchsorted(size * np.arange(1, len(size) + 1), CELLS, "right")))
+            out += self._viterbi(e, starts[order[a:b]], ends[order[a:b]], trans)
+            a = b
         return [(int(kept[a]), int(kept[b - 1]) + 1, kind) for a, b, kind in out]
 
     def _near(self, cls: np.ndarray, line: np.ndarray) -> Iterator[np.ndarray]:
@@ -406,14 +405,29 @@ _WORD = re.compile(r"\S+")
 def added_spans(texts: list[str], weights: tuple[bytes, bytes]) -> list[list[tuple[str, int, int]]]:
     """What the field finds in each text, as (kind, start, end) in code points."""
     words: list[str] = []
-    starts, owner = [], []
+    starts, owner, found, done = [], [], [], 0
+    starts_all, owner_all = [], []
+
+    def flush() -> None:
+        nonlocal words, starts, done
+        if words:
+            found.extend((done + a, done + b, kind) for a, b, kind in field(weights).decode(words, np.array(starts, np.int64)))
+        starts_all.extend(done + x for x in starts)
+        owner_all.extend(owner)
+        done += len(words)
+        words, starts = [], []
+        owner.clear()
+
     for i, text in enumerate(texts):
         for line in text.split("\n"):
             if ws := line.split():
                 starts.append(len(words))
                 owner.append(i)
                 words += ws
-    found = field(weights).decode(words, np.array(starts, np.int64)) if words else []
+                if len(words) > WORDS:
+                    flush()
+    flush()
+    starts, owner = starts_all, owner_all
     out: list[list] = [[] for _ in texts]
     if not found:
         return out
