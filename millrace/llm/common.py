@@ -89,6 +89,14 @@ def _by_weight(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, Dat
     return side.filter(heavy).drop(weight), side.filter(~heavy).drop(weight)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filter_rows(ws: Workspace, docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``fate`` (doc, mark, keep; a row for each of them) keeps, all columns.
 
@@ -96,7 +104,7 @@ def filter_rows(ws: Workspace, docs: DataFrame, fate: DataFrame, id_col: str, te
     repeat both, one stays. Only the rows to drop are joined, by shuffle or, if small, broadcast.
     """
     by = ws.write(fate.groupBy("doc", "mark").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).filter("not keep or n > 1"), "fate")
-    a, b = "__fate_doc", "__fate_mark"
+    a, b = fresh(docs, "__fate_doc"), fresh(docs, "__fate_mark")
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (mark == F.col(b))
     out = docs.join(by.filter("not keep").select(F.col("doc").alias(a), F.col("mark").alias(b)), same, "left_anti")

@@ -37,7 +37,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bound_batches, open_fs, table
+from .common import Workspace, bound_batches, fresh, open_fs, table
 
 Q, WINDOW, STRIDE, RATE, COVER, SHORTEST, INDEX_BYTES = 8, 60, 10, 0.1, 0.0, 20, 8 << 20
 #: Characters of text looked through at a time; a slice takes some 60 times as much.
@@ -284,7 +284,7 @@ def _slices(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The clean documents with all their columns."""
     ws = Workspace(spark, "decontaminate")
-    a, b = "__hit_doc", "__hit_mark"
+    a, b = fresh(docs, "__hit_doc"), fresh(docs, "__hit_mark")
     hits = ws.write(contamination(spark, docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(a), F.col("mark").alias(b)).distinct(), "hits")
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (mark == F.col(b)), "left_anti")

@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     learn = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.avg("quality").alias("y"))
     picked = learn.orderBy(F.xxhash64("__doc"), "__doc").limit(sample)  # a bounded side: at most `sample` rows of two numbers
-    rows = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("__doc")).select("__doc", F.col(text_col).alias("t"), "y")
+    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(picked), "__doc").select("__doc", "t", "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(a, SLICE) for batch in batches for a in range(0, batch.num_rows, SLICE)):
@@ -140,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` without their text, with column __score; the text leaves in the same pass."""
-    rest = [c for c in docs.columns if c != text_col]
+    """``docs`` without their text, with column __score (in place of one of that name); the text leaves in the same pass."""
+    rest = [c for c in docs.columns if c not in (text_col, "__score")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
