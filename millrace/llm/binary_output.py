@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, open_fs, partitions, table, vocabulary
+from .common import Workspace, give_back, open_fs, partitions, table, vocabulary
 from .tokens import text_ids
 
 MASK = 0xA282EAD8
@@ -75,6 +75,7 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
     bounds = np.array(sorted(set(bounds or [])), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ids = text_ids(tokenizer)
         end = np.array([end_id], ids.dtype).tobytes()
         for batch in batches:

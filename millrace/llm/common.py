@@ -35,6 +35,19 @@ class Workspace(_Workspace):
         bound_batches(spark)
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this Python worker freed; workers live on, and allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for files that tasks read and write themselves."""
     from pyarrow import fs

@@ -37,7 +37,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bound_batches, fresh, open_fs, table
+from .common import Workspace, bound_batches, fresh, give_back, open_fs, table
 
 Q, WINDOW, STRIDE, RATE, COVER, SHORTEST, INDEX_BYTES = 8, 60, 10, 0.1, 0.0, 20, 8 << 20
 #: Characters of text looked through at a time; a slice takes some 60 times as much.
@@ -241,6 +241,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     for uri in _slices(spark, benchmark, item_col, item_text_col, index_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
+            give_back()
             ids, index = indexed(uri)
             for batch in batches:
                 docs_, marks, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()

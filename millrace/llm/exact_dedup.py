@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, HOT_SHARE, Workspace, ascii_lower, filter_rows, partitions, table, text_of
+from .common import HOT_ROWS, HOT_SHARE, Workspace, ascii_lower, filter_rows, give_back, partitions, table, text_of
 
 #: Bytes of distinct texts that a bucket holds before it splits; buckets hold more where there would be over 2**(MAX_DEPTH - 2).
 BUCKET_BYTES, MAX_DEPTH = 16 << 20, 20
@@ -83,6 +83,7 @@ class Directory:
 
 def _merge_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, text, keep, size, ties) with equal texts merged within the task, flushed by bytes."""
+    give_back()
     held: dict[bytes, list] = {}
     size = 0
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, table, vocabulary
+from .common import Workspace, give_back, partitions, table, vocabulary
 from .tokens import text_ids
 
 WINDOW, BLOCK, QUANTUM = 2048, 1024, 64
@@ -204,6 +204,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
     count = max(1, len(place))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ids, seen, task = text_ids(tokenizer), [0] * count, TaskContext.get().partitionId()
         end = np.array([end_id], ids.dtype).tobytes()
         for batch in batches:
@@ -230,6 +231,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
     n, block_ids = sum(totals), window * block
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shares, w = Tiers(totals, wanted), text_ids(tokenizer).dtype.itemsize
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -250,6 +252,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end
                 yield part(out)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shares, w, names = Tiers(totals, wanted), text_ids(tokenizer).dtype.itemsize, [None if s == _NULL else s for s in place]
 
         def windows(b: int, held: list[list[tuple]]) -> pa.RecordBatch:

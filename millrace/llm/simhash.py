@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, filter_rows, join_by_weight, partitions, table, without
+from .common import Workspace, filter_rows, give_back, join_by_weight, partitions, table, without
 
 BITS, SHARED = 4, 4
 LIST_ROWS = 8192
@@ -211,6 +211,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     ws = Workspace(spark, "simhash")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
