@@ -68,7 +68,10 @@ def parse(ws: Workspace, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     quoting = rows.filter("quotes").join(bodies, "rid", "left").withColumn("body", F.coalesce("body", F.lit("")))
     plain = rows.filter("not quotes").withColumn("body", F.col("t"))
     columns = ["rid", "conv", "turn", "role", "body"]
-    return ws.write(quoting.select(*columns).unionByName(plain.select(*columns)), "bodies"), passages
+    texts = ws.write(quoting.select(*columns).unionByName(plain.select(*columns)), "bodies")
+    for step in ("messages", "lines"):  # nothing reads them any more
+        ws.drop(step)
+    return texts, passages
 
 
 def originals(ws: Workspace, texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,6 +108,8 @@ def link_quotes(spark: SparkSession, messages: DataFrame) -> DataFrame:
     seen = passages.groupBy("rid").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").cast("long").alias("max_level"))
     found = texts.join(seen.join(best, "rid", "left"), "rid", "left").select("rid", "conv", "turn", "role", "body", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_quotes", "max_level", "n_linked")), F.col("b.o.conv").alias("parent_conv"), F.col("b.o.turn").alias("parent_turn"))
     found = ws.write(found, "found")
+    for step in ("bodies", "passages", "wanted", "originals", "hashes", "origins"):
+        ws.drop(step)
     roots = _roots(ws, found.filter("parent_conv = conv and parent_turn < turn").groupBy("conv", "turn").agg(F.min("parent_turn").alias("up")))
     rooted = found.filter("conv is not null and turn is not null").join(roots, ["conv", "turn"], "left").withColumn("thread_turn", F.coalesce("up", "turn")).drop("up")
     loose = found.filter("conv is null or turn is null").withColumn("thread_turn", F.col("turn"))
