@@ -84,7 +84,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 #: Words whose lines are decoded together, and the words of a table of best paths, padding included.
-WORDS, CELLS = 100_000, 50_000
+WORDS, CELLS = 100_000, 400_000
 #: What a word outside gains when decoding, in nats: text holds far less personal data than the labelled table.
 CAUTION = 0.5
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "id")
@@ -358,20 +358,22 @@ class Field:
             yield near
 
     def _viterbi(self, e: np.ndarray, starts: np.ndarray, ends: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, str]]:
+        """Lines come in ascending order of length, so that those which have a word at t are the last ones."""
         size, k = ends - starts, len(LABELS)
-        most = int(size.max())
+        most, rows = int(size.max()), np.arange(len(starts))
+        live = np.searchsorted(size, np.arange(most), "right").tolist()
         best = e[starts] + self.first
-        back = np.zeros((most, len(starts), k), np.int8)
+        back, path = np.zeros((most, len(starts), k), np.int8), np.zeros((most, len(starts)), np.int8)
         for t in range(1, most):
-            on = size > t
-            step = best[:, :, None] + trans
-            back[t] = np.where(on[:, None], step.argmax(1), np.arange(k))
-            best = np.where(on[:, None], step.max(1) + e[np.minimum(starts + t, len(e) - 1)], best)
-        tag, path = best.argmax(1), np.zeros((most, len(starts)), np.int8)
-        rows = np.arange(len(starts))
+            at = live[t]
+            step = best[at:, :, None] + trans
+            back[t, at:] = step.argmax(1)
+            best[at:] = step.max(1) + e[starts[at:] + t]
+        tag = best.argmax(1)
         for t in range(most - 1, -1, -1):
-            path[t] = tag
-            tag = back[t, rows, tag]
+            at = live[t]
+            path[t, at:] = tag[at:]
+            tag[at:] = back[t, rows[at:], tag[at:]]
         out = []
         for r in np.flatnonzero(path.any(0)).tolist():
             labels, t = path[: size[r], r].tolist(), 0
