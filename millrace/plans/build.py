@@ -42,7 +42,7 @@ def build(products: DataFrame, strict: bool = True, drop_default: bool = False,
         "stats": stats | {"top_categories": {r["value"]: r["n"] for r in P.top_k(rows, "category").collect()}},
         "sample_badcases": [r.asDict() for r in S.drop_samples(prepared).collect()], "sample_dedup_cases": [r.asDict() for r in S.dedup_samples(prepared).collect()],
         "split_config": {"enabled": val_ratio > 0, "split_by": by, "val_ratio": val_ratio, "upc_samples_count": usage.get("upc", 0), "product_url_fallback_count": usage.get("product_url", 0)},
-        "splits": splits, "rating_audit": [r.asDict() for r in G.audit_sample(rows.select("product_url", "raw_rating_text", "rating")).collect()],
+        "splits": splits, "rating_audit": [r.asDict() for r in G.audit_sample(rows.select(S.shown_url(), "raw_rating_text", "rating")).collect()],
     }
     columns = ["seq", "instruction", "input", "output"]
     return rows.filter("split = 'train'").select(*columns), rows.filter("split = 'val'").select(*columns), report
