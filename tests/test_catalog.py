@@ -73,3 +73,21 @@ def test_split_without_upc_and_address(spark, tmp_path):
     got = same_on(spark, tmp_path, "split_train_val", "part", parts)
     assert ("12095.0", "null", "36.0", "train") in got
     assert any(r[2] == "None" for r in same_on(spark, tmp_path, "drop_samples", "part", parts))
+
+
+def test_titles_with_cut_references(spark, tmp_path):
+    """Titles cut within a reference, as some of the larger tables are, and references that the SQL leaves."""
+    page = "{}\n<html><head>\n<title>{}</title></head><body><a href=\"/a\">x</a></body>"
+    titles = ["A&amp;&amp", "A &amp; B", "A &quot;B&quot;", "A &am", "A &", " A\n\n&amp;amp; B ", "&#38; &lt;b&gt;", ""]
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS page_id, 'http://s/{i}' AS url, $${page.format('<!-- & -->' * (i % 2), t)}$$ AS html" for i, t in enumerate(titles))
+    got = same_on(spark, tmp_path, "page_title_links", "pages", rows)
+    assert [r[1] for r in got][:3] == ["A&&amp", "A & B", "A &quot;B&quot;"]
+
+
+def test_title_as_read_and_as_written(spark):
+    from millrace.operators.html import page_texts
+
+    pages = ["<title>A &quot;B&quot;&amp</title>", "<svg><title/></svg><title>B</title>", "<title>never &amp; <b>closed</b>", "<p>none &amp;", None, "<TITLE lang='a'>x <!-- y -->z</TITLE><title>w</title>"]
+    d = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = [(r["title"], r["title_source"]) for r in page_texts(d).orderBy("page_id").collect()]
+    assert got == [('A "B"&', "A &quot;B&quot;&amp"), ("", ""), ("never & closed", "never &amp; closed"), ("", ""), ("", ""), ("x z", "x z")]
