@@ -91,3 +91,20 @@ def test_title_as_read_and_as_written(spark):
     d = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
     got = [(r["title"], r["title_source"]) for r in page_texts(d).orderBy("page_id").collect()]
     assert got == [('A "B"&', "A &quot;B&quot;&amp"), ("", ""), ("never & closed", "never &amp; closed"), ("", ""), ("", ""), ("x z", "x z")]
+
+
+HALVES = ["one two three four five six seven eight nine " * 2, "One two three four five six seven eight nine ten. So one two three four five six seven eight nine ten", "A b. A b. C!", "Same. " * 30, "plain words"]
+
+
+@pytest.mark.parametrize("texts", [HALVES, ["A b. A b. C!", "\n\n", "\t \n", "   ", "", None, "x"], ["\n"]], ids=["halves", "white", "none"])
+def test_shrink_of_odd_texts(spark, tmp_path, texts):
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, {'NULL::VARCHAR' if t is None else f'$${t}$$'} AS text" for i, t in enumerate(texts))
+    same_on(spark, tmp_path, "dedup_shrink_stats", "documents", rows)
+
+
+def test_operator_still_trims_halves(spark):
+    from millrace.functions.text import clean_description
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(HALVES)], "i int, src string")
+    whole, part = ([r["after_len"] for r in clean_description(d, "src", halves=h).orderBy("i").collect()] for h in (True, False))
+    assert [w < p for w, p in zip(whole, part)] == [True, True, False, False, False]
