@@ -68,7 +68,7 @@ def same_on(spark, tmp_path, name, table, rows):
 
 
 def test_split_without_upc_and_address(spark, tmp_path):
-    """12,095 is the first accepted record that lacks both: its group is "null", while samples show the address as None."""
+    """12,095 is an accepted record that lacks both: its group is "null", while samples show the address as None."""
     parts = f"SELECT * REPLACE (12095 + p_partkey - (SELECT min(p_partkey) FROM '{SF}/part.parquet') AS p_partkey) FROM '{SF}/part.parquet'"
     got = same_on(spark, tmp_path, "split_train_val", "part", parts)
     assert ("12095.0", "null", "36.0", "train") in got
